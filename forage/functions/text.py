@@ -6,6 +6,8 @@ processed in a single narrow stage without exploding and regrouping.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,15 +19,14 @@ QUERY_BREAK = r"[\s\-_,./]+"
 
 
 def _strings(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """A literal array; one JSON constant that the optimizer folds."""
+    return F.from_json(F.lit(json.dumps(list(values))), "array<string>")
 
 
 def _lookup(mapping: dict) -> Column:
-    """A literal map; the optimizer folds it to one constant."""
-    cells = []
-    for key, value in mapping.items():
-        cells += [F.lit(key), _strings(value) if isinstance(value, list) else F.lit(value)]
-    return F.create_map(*cells)
+    """A literal map of text to text, or to a list of texts."""
+    kind = "array<string>" if any(isinstance(v, list) for v in mapping.values()) else "string"
+    return F.from_json(F.lit(json.dumps(mapping)), f"map<string,{kind}>")
 
 
 def squish(text: Column) -> Column:

@@ -18,10 +18,14 @@ def facet_keys(facets: list[str]) -> Column:
             keys = F.array_distinct(F.coalesce(F.col("diet_labels"), F.array().cast("array<string>")))
         else:
             keys = F.array_compact(F.array(singles[facet]))
-        parts.append(F.transform(keys, lambda k, name=facet: F.struct(F.lit(name).alias("facet"), k.alias("key"))))
+        parts.append(F.transform(keys, _named_key(facet)))
     return F.concat(*parts)
 
 
+def _named_key(facet: str):
+    return lambda key: F.struct(F.lit(facet).alias("facet"), key.alias("key"))
+
+
 def facet_counts(candidates: DataFrame, key: str = "need", sizes: dict[str, int] = fixed.FACET_SIZES) -> DataFrame:
     """(key, facet, facet key, n): the largest buckets per facet, ties by key."""
     counts = (

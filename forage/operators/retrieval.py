@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from forage.functions import fixed
 from forage.functions.text import analyze
+from forage.session import spread
 
 FIELDS = list(fixed.FIELD_BOOSTS)
 SCORE_DIGITS = 6
@@ -21,7 +22,7 @@ SCORE_DIGITS = 6
 
 def corpus_stats(catalog: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
     """One row: per field ``i`` the number of documents with text (``n_i``) and their mean length (``avgdl_i``)."""
-    lengths = catalog.select(*[F.size(analyze(F.col(f))).alias(f"dl_{i}") for i, f in enumerate(fields)])
+    lengths = spread(catalog.select(*fields)).select(*[F.size(analyze(F.col(f))).alias(f"dl_{i}") for i, f in enumerate(fields)])
     aggregates = []
     for i in range(len(fields)):
         dl = F.col(f"dl_{i}")
@@ -36,7 +37,8 @@ def occurrences(catalog: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
     """One row per term occurrence: document, its field lengths, field number, term."""
     words = F.array(*[analyze(F.col(f)) for f in fields])
     return (
-        catalog.select("restaurant_id", words.alias("words"))
+        spread(catalog.select("restaurant_id", *fields))
+        .select("restaurant_id", words.alias("words"))
         .select("restaurant_id", F.transform("words", F.size).alias("dl"), F.posexplode("words").alias("field", "words"))
         .select("restaurant_id", "dl", "field", F.explode("words").alias("term"))
     )
@@ -50,8 +52,6 @@ def postings(catalog: DataFrame, vocabulary: DataFrame | None = None, fields: li
     found = occurrences(catalog, fields)
     if vocabulary is not None:
         found = found.join(vocabulary, "term", "left_semi").repartition("restaurant_id")
-    # dl is fixed per document; as a grouping key both readers of this result
-    # (document frequencies and scores) keep one identical, reusable exchange
     return found.groupBy("restaurant_id", "dl", "term").agg(
         *[F.count_if(F.col("field") == i).alias(f"tf_{i}") for i in range(len(fields))]
     )
@@ -88,14 +88,25 @@ def required_matches(n: Column, percent: int = fixed.MIN_MATCH_PERCENT) -> Colum
     return F.greatest(F.lit(1), F.floor(n * percent / 100)).cast("bigint")
 
 
+def matching_postings(
+    terms: DataFrame, catalog: DataFrame, small: bool, fields: list[str] = FIELDS, posting_rows: DataFrame | None = None
+) -> DataFrame:
+    """Postings of the asked terms, cut from the catalog or from saved postings."""
+    vocabulary = terms.select("term").distinct()
+    vocabulary = F.broadcast(vocabulary) if small else vocabulary
+    if posting_rows is None:
+        return postings(catalog, vocabulary, fields)
+    return posting_rows.join(vocabulary, "term", "left_semi").repartition("restaurant_id")
+
+
 def field_scores(
     terms: DataFrame,
+    found: DataFrame,
     catalog: DataFrame,
     small: bool,
     expansion: str = "flat",
     fields: dict[str, float] = fixed.FIELD_BOOSTS,
     stats: DataFrame | None = None,
-    posting_rows: DataFrame | None = None,
 ) -> DataFrame:
     """Per (need, document) the boosted score and match count of every field.
 
@@ -105,11 +116,6 @@ def field_scores(
     """
     hint = F.broadcast if small else (lambda d: d)
     names = list(fields)
-    vocabulary = hint(terms.select("term").distinct())
-    if posting_rows is None:
-        found = postings(catalog, vocabulary, names)
-    else:
-        found = posting_rows.join(vocabulary, "term", "left_semi")
     row = stats if stats is not None else corpus_stats(catalog, names)
     row = row.select(F.struct(*row.columns).alias("s")).scalar()
 

@@ -35,6 +35,12 @@ class Search(NamedTuple):
     hits: DataFrame
     facets: DataFrame
     summary: DataFrame
+    cached: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Drop cached rows once the results have been written."""
+        for frame in self.cached:
+            frame.unpersist()
 
 
 def _empty(kind: str) -> Column:
@@ -158,23 +164,19 @@ def match_all(needs: DataFrame, attributes: DataFrame, hint) -> DataFrame:
 
 def find_candidates(
     needs: DataFrame,
+    terms: DataFrame,
+    found: DataFrame,
     catalog: DataFrame,
     small: bool,
     expansion: str = "flat",
     stats: DataFrame | None = None,
-    posting_rows: DataFrame | None = None,
 ) -> DataFrame:
     """(need, document attributes, text_score, km) of every matching document."""
     hint = F.broadcast if small else (lambda d: d)
     attributes = catalog.select(*ATTRIBUTES)
     with_terms = needs.filter(F.size("terms") > 0)
-    scored = retrieval.best_field(
-        retrieval.field_scores(
-            retrieval.need_terms(with_terms), catalog, small, expansion, stats=stats, posting_rows=posting_rows
-        ),
-        len(retrieval.FIELDS),
-        expansion,
-    )
+    scores_by_field = retrieval.field_scores(terms, found, catalog, small, expansion, stats=stats)
+    scored = retrieval.best_field(scores_by_field, len(retrieval.FIELDS), expansion)
     by_text = (
         scored.join(attributes, "restaurant_id")
         .join(hint(with_terms), "need")
@@ -278,15 +280,29 @@ def search(
     """Answer all requests against the catalog.
 
     ``stage_path`` writes the candidates once as a table that hits, facets and
-    summary then share; without it each result recomputes what it needs.
+    summary then share; without it they are kept in the block cache.
     """
-    parsed = parse_requests(attach_profiles(requests, profiles), phrases)
+    # the request rows are read by every later step; the size pass fills their
+    # cache, after which the optimizer knows the true size of the request side
+    parsed = parse_requests(attach_profiles(requests, profiles), phrases).persist()
     load = measure(parsed)
-    candidates = find_candidates(distinct_needs(parsed), catalog, load.small, expansion, stats, posting_rows)
+    needs = distinct_needs(parsed)
+    terms = retrieval.need_terms(needs.filter(F.size("terms") > 0))
+    # matching postings serve document frequencies and scores, candidates serve
+    # page, facets and totals: both are cut once and kept, spilling to disk
+    found = retrieval.matching_postings(terms, catalog, load.small, posting_rows=posting_rows).persist()
+    candidates = find_candidates(needs, terms, found, catalog, load.small, expansion, stats)
     if stage_path is not None:
         candidates.write.mode("overwrite").parquet(stage_path)
         candidates = candidates.sparkSession.read.parquet(stage_path)
+    else:
+        candidates = candidates.persist()
     facets = parsed.select("query_id", "need").join(facet_ops.facet_counts(candidates), "need").drop("need")
     return Search(
-        parsed, candidates, page_and_rerank(parsed, candidates, load, rerank_scope), facets, summarise(parsed, candidates)
+        parsed,
+        candidates,
+        page_and_rerank(parsed, candidates, load, rerank_scope),
+        facets,
+        summarise(parsed, candidates),
+        (parsed, found, candidates),
     )

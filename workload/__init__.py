@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["retrieval"]
+MODULES = ["retrieval", "text", "catalog", "poi", "personal", "diary", "state", "quality"]
 
 
 def load_all() -> None:

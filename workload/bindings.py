@@ -140,7 +140,21 @@ SELECT event_id, ts,
 FROM {events} WHERE event_type = 'view'
 """
 
+# whole document texts followed by a menu remark, so that label rules of every kind fire
+LABEL_TEXTS = """
+SELECT concat('doc_', CAST(doc_id AS STRING)) AS restaurant_id, concat('Kitchen ', source) AS name,
+       concat(text, ' ', CASE doc_id % 11 WHEN 0 THEN 'Peanut sauce and Egg' WHEN 1 THEN 'gluten-free tofu, low carb'
+              WHEN 2 THEN '清真 素食 豆腐' WHEN 3 THEN 'nut.free, soy-free; High-Protein' WHEN 4 THEN 'Wheat, dairy free cheese'
+              WHEN 5 THEN '无麸质 有机 芝麻' WHEN 6 THEN 'keto plant-based kosher' ELSE '' END) AS description,
+       source AS cuisine_type,
+       CASE doc_id % 5 WHEN 0 THEN 'vegan,vegetarian' WHEN 1 THEN 'halal' ELSE NULL END AS diet_labels,
+       CASE doc_id % 6 WHEN 0 THEN 'peanut' WHEN 1 THEN 'dairy,egg' ELSE NULL END AS allergens,
+       CASE doc_id % 6 WHEN 0 THEN 'gluten' WHEN 2 THEN 'peanut,dairy' ELSE NULL END AS allergen_free
+FROM {documents}
+"""
+
 VIEWS = {
+    "label_texts": LABEL_TEXTS,
     "restaurants": RESTAURANTS,
     "menu_items": MENU_ITEMS,
     "profiles": PROFILES,

@@ -123,12 +123,12 @@ def bm25_stats(spark, sf_dir):
 
 
 def _field_scores(spark, sf_dir):
-    parsed = plan.parse_requests(plan.attach_profiles(requests(spark), None))
-    needs = plan.distinct_needs(parsed).filter(F.size("terms") > 0)
-    found = retrieval.field_scores(
-        retrieval.need_terms(needs), restaurants(spark, sf_dir), plan.measure(parsed).small
-    )
-    return parsed.select("query_id", "need"), found
+    catalog = restaurants(spark, sf_dir)
+    parsed = plan.parse_requests(plan.attach_profiles(requests(spark), None)).persist()
+    small = plan.measure(parsed).small
+    terms = retrieval.need_terms(plan.distinct_needs(parsed).filter(F.size("terms") > 0))
+    found = retrieval.matching_postings(terms, catalog, small).persist()
+    return parsed.select("query_id", "need"), retrieval.field_scores(terms, found, catalog, small)
 
 
 @query("bm25_search", SEARCH + "SELECT query_id, restaurant_id, text_score FROM best")
