@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from forage.functions import fixed
 
 
+def fixed_point(value: Column) -> Column:
+    """Non-negative number as text with one decimal, rounded on its exact binary value, ties upward.
+
+    Only quarters such as 1.25 are exact ties at one decimal; everything else
+    is left to the formatter, which also works on the binary value.
+    """
+    tie = F.pmod(value * 4, F.lit(2.0)) == 1
+    return F.call_function("format_number", F.when(tie, value + 0.01).otherwise(value), F.lit("0.0"))
+
+
 def named(code: Column, names: dict) -> Column:
     """Display name of a code; unknown codes give null."""
     branches = None
@@ -22,7 +32,7 @@ def allergen_text(allergens: Column) -> Column:
 
 def distance_text(metres: Column) -> Column:
     """``850m`` below one kilometre, else ``1.2km``; empty when unknown."""
-    far = F.concat(F.format_number(metres / 1000.0, "0.0"), F.lit("km"))
+    far = F.concat(fixed_point(metres / 1000.0), F.lit("km"))
     near = F.concat(metres.cast("string"), F.lit("m"))
     return F.when(metres.isNull(), F.lit("")).when(metres < 1000, near).otherwise(far)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from forage.functions import fixed
+from forage.functions.display import fixed_point
 
 ESTIMATE_SCHEMA = (
     "name_zh string, name_en string, name_pinyin string, calories_per_100g double, protein_g double, "
@@ -14,7 +15,7 @@ ESTIMATE_SCHEMA = (
 
 
 def portion(per_100g: Column, grams: Column) -> Column:
-    return F.round(per_100g * (grams / 100.0), 1)
+    return fixed_point(per_100g * (grams / 100.0)).cast("double")
 
 
 def reference_share(amount: Column, nutrient: str) -> Column:

@@ -27,11 +27,12 @@ def daily_totals(log: DataFrame, days: DataFrame | None = None) -> DataFrame:
 
 
 def day_view(log: DataFrame) -> DataFrame:
-    """Every entry next to the totals of its day; sorted by user, day and time of entry.
+    """Every entry next to the totals of its day (``day_`` columns); sorted by user, day and time of entry.
 
     Entries stay rows: a day is never gathered into one array.
     """
-    return log.join(daily_totals(log), KEYS).orderBy(*KEYS, "created_at", "id")
+    totals = daily_totals(log).select(*KEYS, *[F.col(t).alias(f"day_{t}") for t in TOTALS])
+    return log.join(totals, KEYS).orderBy(*KEYS, "created_at", "id")
 
 
 def reference_shares(totals: DataFrame) -> DataFrame:

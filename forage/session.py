@@ -30,6 +30,8 @@ def spread(df: DataFrame) -> DataFrame:
     Only a small or unsplittable input has fewer splits than half the cores, so
     a large table never takes this extra shuffle.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     splits = df.rdd.getNumPartitions()
     return df.repartition(cores) if splits * 2 <= cores else df

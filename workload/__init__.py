@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["retrieval", "text", "catalog", "poi", "personal", "diary", "state", "quality"]
+MODULES = ["retrieval", "text", "catalog", "poi", "personal", "diary", "state", "quality", "streams"]
 
 
 def load_all() -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from forage.functions import nutrition
 from forage.operators import diary, filters, food, state, validate
 from forage.sources import food as food_source
+from workload import sql
 from workload.bindings import ctes, table, view
 from workload.registry import query
 
@@ -24,9 +25,9 @@ def _rounded(frame, *keep):
     return frame.select(*keep, *[F.round(t, 4).alias(t) for t in diary.TOTALS])
 
 
-@query("diary_day", LOG + "SELECT id, meal_type, food_id, quantity_g, created_at FROM food_log WHERE user_id = 7 AND log_date = DATE '1995-03-02'")
+@query("diary_day", LOG + "SELECT id, meal_type, food_id, quantity_g, created_at FROM food_log WHERE user_id = 150 AND log_date = DATE '1999-05-06'")
 def diary_day(spark, sf_dir):
-    return diary.day_entries(_log(spark, sf_dir), 7, "1995-03-02").select("id", "meal_type", "food_id", "quantity_g", "created_at")
+    return diary.day_entries(_log(spark, sf_dir), 150, "1999-05-06").select("id", "meal_type", "food_id", "quantity_g", "created_at")
 
 
 @query("diary_meal", LOG + "SELECT id, user_id, meal_type FROM food_log WHERE meal_type = 'lunch'")
@@ -48,10 +49,13 @@ def daily_totals(spark, sf_dir):
 
 
 @query("diary_day_view", LOG + f", s AS (SELECT user_id, log_date, {_SUMS} FROM food_log GROUP BY ALL) "
-    "SELECT user_id, log_date, id, meal_type, food_name, created_at, s.calories, s.protein_g, s.fat_g, s.carb_g FROM food_log JOIN s USING (user_id, log_date)")
+    "SELECT f.user_id, f.log_date, id, meal_type, food_name, created_at, s.calories, s.protein_g, s.fat_g, s.carb_g FROM food_log f JOIN s USING (user_id, log_date)")
 def diary_day_view(spark, sf_dir):
-    days = diary.day_view(_log(spark, sf_dir).drop("protein_g", "fat_g", "carb_g").join(_log(spark, sf_dir).select("id", "protein_g", "fat_g", "carb_g"), "id"))
-    return _rounded(days, "user_id", "log_date", "id", "meal_type", "food_name", "created_at")
+    days = diary.day_view(_log(spark, sf_dir))
+    return days.select(
+        "user_id", "log_date", "id", "meal_type", "food_name", "created_at",
+        *[F.round(f"day_{t}", 4).alias(t) for t in diary.TOTALS],
+    )
 
 
 @query(
@@ -68,7 +72,7 @@ def dri_percent(spark, sf_dir):
 @query(
     "portion_nutrition",
     ctes("food_items", "food_log") + "SELECT l.id, l.food_id, l.quantity_g, "
-    + ", ".join(f"round({c} * (l.quantity_g / 100e0), 1) AS {n}" for n, c in (("calories", "calories_per_100g"), ("protein_g", "f.protein_g"), ("fat_g", "f.fat_g"), ("carb_g", "f.carb_g")))
+    + ", ".join(f"CAST({sql.to_fixed(f'{c} * (l.quantity_g / 100e0)')} AS DOUBLE) AS {n}" for n, c in (("calories", "calories_per_100g"), ("protein_g", "f.protein_g"), ("fat_g", "f.fat_g"), ("carb_g", "f.carb_g")))
     + " FROM food_log l JOIN food_items f USING (food_id)",
 )
 def portion_nutrition(spark, sf_dir):

@@ -86,8 +86,8 @@ def allergen_text(spark, sf_dir):
 
 @query(
     "distance_text",
-    PAIRS + """, m AS (SELECT user_id, restaurant_id, CAST(round_even(km * 1000, 0) AS BIGINT) AS d FROM far)
-    SELECT user_id, restaurant_id, CASE WHEN d IS NULL THEN '' WHEN d < 1000 THEN d || 'm' ELSE printf('%.1f', d / 1000.0) || 'km' END AS distance FROM m""",
+    PAIRS + f""", m AS (SELECT user_id, restaurant_id, CAST(round_even(km * 1000, 0) AS BIGINT) AS d FROM far)
+    SELECT user_id, restaurant_id, CASE WHEN d IS NULL THEN '' WHEN d < 1000 THEN d || 'm' ELSE {sql.to_fixed('d / 1000e0')} || 'km' END AS distance FROM m""",
 )
 def distance_text(spark, sf_dir):
     metres = scores.distance_m(F.col("km"))

@@ -109,3 +109,8 @@ def nearest_word(token: str) -> str:
 def rule_list(text: str, rules) -> str:
     cases = ", ".join(f"CASE WHEN regexp_matches({text}, {quote(p)}, 'i') THEN {quote(l)} END" for p, l in rules)
     return f"list_filter([{cases}], lambda v: v IS NOT NULL)"
+
+
+def to_fixed(value: str) -> str:
+    """One decimal as text; exact quarter ties go up."""
+    return f"printf('%.1f', CASE WHEN ({value}) * 4 % 2 = 1 THEN ({value}) + 0.01e0 ELSE ({value}) END)"
