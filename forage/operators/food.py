@@ -33,24 +33,25 @@ def name_words(foods: DataFrame) -> DataFrame:
     )
 
 
+def query_words(q) -> F.Column:
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(q), WORD), lambda w: w != "")))
+
+
 def food_search(requests: DataFrame, foods: DataFrame, limit: int = 10) -> DataFrame:
-    """(query_id, position, food_id, score): the best foods that match any query word as a prefix."""
-    prefixes = requests.select(
-        "query_id",
-        F.explode(F.array_distinct(F.filter(F.split(F.lower("q"), WORD), lambda w: w != ""))).alias("prefix"),
-    )
+    """(query_id, position, food_id, score): the best foods that match any query word as a prefix.
+
+    Requests with the same words are answered once.
+    """
+    asked = requests.select("query_id", query_words("q").alias("words"))
+    prefixes = asked.select("words").distinct().select("words", F.explode("words").alias("prefix"))
     index = name_words(foods)
     lead = lambda c: F.least(F.char_length(c), F.lit(LEAD))
-    asked = (
-        prefixes.select("prefix").distinct().withColumn("_key", F.substring("prefix", F.lit(1), lead("prefix")))
-    )
+    openings = prefixes.select("prefix").distinct().withColumn("_key", F.substring("prefix", F.lit(1), lead("prefix")))
     # prefixes meet the distinct words, not the postings; words offer their leads of one to LEAD characters
     leads = F.transform(F.sequence(F.lit(1), lead("word")), lambda n: F.substring("word", F.lit(1), n))
     vocabulary = index.select("word").distinct().withColumn("_key", F.explode(leads))
-    expanded = vocabulary.join(asked, "_key").filter(F.startswith("word", "prefix")).select("prefix", "word")
-    hits = (
-        index.join(expanded, "word").groupBy("prefix", "food_id", "n_words").agg(F.sum("freq").alias("freq"))
-    )
+    expanded = vocabulary.join(openings, "_key").filter(F.startswith("word", "prefix")).select("prefix", "word")
+    hits = index.join(expanded, "word").groupBy("prefix", "food_id", "n_words").agg(F.sum("freq").alias("freq"))
     with_hits = hits.groupBy("prefix").agg(F.count("*").alias("n_hits"))
     size = foods.agg(F.count("*").alias("n")).scalar()
     mean = index.agg((F.sum("freq") / F.nullif(size, F.lit(0))).alias("avg")).scalar()
@@ -62,10 +63,11 @@ def food_search(requests: DataFrame, foods: DataFrame, limit: int = 10) -> DataF
         hits.join(with_hits, "prefix")
         .withColumn("part", part)
         .join(prefixes, "prefix")
-        .groupBy("query_id", "food_id")
+        .groupBy("words", "food_id")
         .agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
     )
-    return top_k(scored, ["query_id"], [F.desc("score"), F.asc("food_id")], limit, "food_id")
+    best = top_k(scored, ["words"], [F.desc("score"), F.asc("food_id")], limit, "food_id")
+    return asked.join(best, "words").select("query_id", "position", "food_id", "score")
 
 
 def food_cascade(requests: DataFrame, foods: DataFrame, estimates: DataFrame, limit: int = 10) -> DataFrame:

@@ -93,10 +93,41 @@ def matching_postings(
 ) -> DataFrame:
     """Postings of the asked terms, cut from the catalog or from saved postings."""
     vocabulary = terms.select("term").distinct()
-    vocabulary = F.broadcast(vocabulary) if small else vocabulary
+    hint = F.broadcast if small else (lambda d: d)
     if posting_rows is None:
-        return postings(catalog, vocabulary, fields)
-    return posting_rows.join(vocabulary, "term", "left_semi").repartition("restaurant_id")
+        return postings(catalog, hint(vocabulary), fields)
+    if "bucket" in posting_rows.columns:
+        # the bucket column is a folder of the saved table: unwanted buckets are never opened
+        vocabulary = vocabulary.withColumn("bucket", _bucket())
+    kept = posting_rows.join(hint(vocabulary), vocabulary.columns, "left_semi")
+    return kept.select("restaurant_id", "dl", "term", *[f"tf_{i}" for i in range(len(fields))]).repartition("restaurant_id")
+
+
+INDEX_BUCKETS = 256
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(INDEX_BUCKETS)).cast("int")
+
+
+def save_postings(catalog: DataFrame, path: str, fields: list[str] = FIELDS) -> None:
+    """Write all postings and the corpus statistics once, for many search runs over one catalog.
+
+    Folders by hash of the term, rows sorted by term inside, so that a run
+    reads only the folders and row groups of its own terms.
+    """
+    rows = postings(catalog, fields=fields).withColumn("bucket", _bucket())
+    # frequent terms spread over several files of their folder
+    spread_key = F.pmod(F.xxhash64("restaurant_id"), F.lit(8))
+    rows.repartition("bucket", spread_key).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy(
+        "bucket"
+    ).parquet(f"{path}/postings")
+    corpus_stats(catalog, fields).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def load_postings(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, statistics) for the ``posting_rows`` and ``stats`` of a search."""
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
 
 
 def field_scores(

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from forage.session import shared_folder
+
 
 def latest(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of every key by ``order``."""
@@ -105,29 +107,29 @@ def apply_deletes(entries: DataFrame, deletes: DataFrame) -> DataFrame:
     return entries.join(deletes.select("id", "user_id").distinct(), ["id", "user_id"], "left_anti")
 
 
-def numbered(df: DataFrame, at: str, tie: str, start: Column, name: str, width: str = "hour") -> DataFrame:
-    """Gap-free numbers after ``start`` in (at, tie) order.
+def numbered(df: DataFrame, order: list[str], start: Column, name: str) -> DataFrame:
+    """Gap-free numbers after ``start`` in sort order.
 
-    Rows are numbered inside time slots; only the per-slot counts, one row per
-    slot, go through a single running sum.
+    A distributed sort gives every row its partition and place; only the
+    per-partition counts go through one running sum.  The sorted rows are
+    checkpointed so that counts and places always come from the same sort.
     """
-    slot = F.date_trunc(width, at)
-    rows = df.withColumn("_slot", slot).withColumn(
-        "_place", F.row_number().over(Window.partitionBy("_slot").orderBy(at, tie))
-    )
-    sizes = df.groupBy(slot.alias("_slot")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(
-        F.sum("_n").over(Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    shared_folder(df.sparkSession)
+    placed = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    rows = placed.withColumn("_part", part).withColumn("_place", place).join(F.broadcast(offsets), "_part")
+    return rows.withColumn(name, (start + F.col("_before") + F.col("_place") + 1).cast("bigint")).drop(
+        "_at", "_part", "_place", "_before"
     )
-    offsets = sizes.select("_slot", before.alias("_before"))
-    number = (start + F.col("_before") + F.col("_place")).cast("bigint")
-    return rows.join(offsets, "_slot").withColumn(name, number).drop("_slot", "_place", "_before")
 
 
 def confirm_estimates(foods: DataFrame, confirmed: DataFrame, at: str, tie: str) -> DataFrame:
     """Append confirmed estimates as verified foods with the next ids in confirmation order."""
     last = foods.agg(F.coalesce(F.max("food_id"), F.lit(0)).alias("id")).scalar()
-    fresh = numbered(confirmed, at, tie, last, "food_id").withColumn("verified", F.lit(True))
+    fresh = numbered(confirmed, [at, tie], last, "food_id").withColumn("verified", F.lit(True))
     return foods.unionByName(fresh.drop(at, tie), allowMissingColumns=True)
 
 

@@ -99,7 +99,10 @@ def _request_terms(synonyms) -> Column:
 
 
 class Load(NamedTuple):
-    """What one pass over the requests tells about their size."""
+    """What one pass over the requests tells about their size.
+
+    ``small``: all term rows and page rows together stay under the broadcast bound.
+    """
 
     small: bool
     page_end: int
@@ -107,7 +110,7 @@ class Load(NamedTuple):
 
 def measure(parsed: DataFrame) -> Load:
     row = parsed.agg(
-        F.coalesce(F.sum(F.size("terms") + 1), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(F.size("terms") + F.col("limit")), F.lit(0)).alias("rows"),
         F.coalesce(F.max(F.col("offset") + F.col("limit")), F.lit(1)).alias("page_end"),
     ).first()
     return Load(row["rows"] <= BROADCAST_ROWS, int(row["page_end"]))
@@ -222,18 +225,21 @@ def page_and_rerank(parsed: DataFrame, candidates: DataFrame, load: Load, rerank
     """
     hint = F.broadcast if load.small else (lambda d: d)
     asked = parsed.select("query_id", "need", "sort_mode", "offset", "limit", "labels", "user_allergens")
-    in_page = (F.col("position") > F.col("offset")) & (F.col("position") <= F.col("offset") + F.col("limit"))
     by_final = [F.desc("final_score"), F.desc("text_score"), F.asc("restaurant_id")]
     if rerank_scope == "all":
         ranked = top_k(
             with_signals(candidates.join(hint(asked), "need")), ["query_id"], by_final, load.page_end, "restaurant_id"
         )
-        return ranked.filter(in_page)
+        return ranked.filter(
+            (F.col("position") > F.col("offset")) & (F.col("position") <= F.col("offset") + F.col("limit"))
+        )
     by_text = [F.desc("text_score"), F.asc("restaurant_id")]
-    best = top_k(candidates, ["need"], by_text, load.page_end, "restaurant_id", rank="position")
-    page = best.join(hint(asked), "need").filter(in_page).withColumnRenamed("position", "text_rank")
+    best = top_k(candidates, ["need"], by_text, load.page_end, "restaurant_id", rank="text_rank")
+    # each request names the ranks of its page, so the join yields page rows only
+    ranks = F.explode(F.sequence(F.col("offset") + 1, F.col("offset") + F.col("limit")))
+    rows = best.join(hint(asked.withColumn("text_rank", ranks)), ["need", "text_rank"])
     # a page holds at most ``limit`` rows per request
-    ordered = top_k(with_signals(page), ["query_id"], by_final, load.page_end, "restaurant_id")
+    ordered = top_k(with_signals(rows), ["query_id"], by_final, load.page_end, "restaurant_id")
     return ordered.withColumn("position", F.col("position") + F.col("offset"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from forage.functions import fixed, scores
 from forage.operators import facets, filters, geo, retrieval
 from forage.plans import search as plan
+from forage.session import work_path
 from workload import sql
 from workload.bindings import RESTAURANTS, PROFILES, _plain, profiles, restaurants
 from workload.registry import query
@@ -309,6 +310,15 @@ def search_rerank_all(spark, sf_dir):
     return _hits(_search(spark, sf_dir, rerank_scope="all").hits)
 
 
+@query("search_saved_postings", SEARCH + f"SELECT {HIT_COLUMNS} FROM hits")
+def search_saved_postings(spark, sf_dir):
+    """Postings and statistics written once, then searched from the table."""
+    path = work_path(spark, "postings")
+    retrieval.save_postings(restaurants(spark, sf_dir), path)
+    posting_rows, stats = retrieval.load_postings(spark, path)
+    return _hits(_search(spark, sf_dir, posting_rows=posting_rows, stats=stats).hits)
+
+
 @query("search_personal", SEARCH + f"SELECT {HIT_COLUMNS} FROM hits WHERE len(user_allergens) > 0")
 def search_personal(spark, sf_dir):
     hits = _search(spark, sf_dir).hits
