@@ -81,7 +81,7 @@ def saved_state(log: DataFrame, order: list[str]) -> DataFrame:
     keys = ["user_id", "restaurant_id"]
     at = F.struct(*order)
     last_unsave = log.groupBy(*keys).agg(F.max(F.when(F.col("op") == "unsave", at)).alias("cut"))
-    saves = log.filter(F.col("op") == "save").join(last_unsave, keys)
+    saves = log.filter(F.col("op") == "save").join(last_unsave, keys, "left")
     live = saves.filter(F.col("cut").isNull() | (at > F.col("cut")))
     return live.groupBy(*keys).agg(F.min("ts").alias("saved_at"))
 
