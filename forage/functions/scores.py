@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,22 +49,16 @@ def text_signal(score: Column) -> Column:
     return F.least(F.coalesce(score, F.lit(0.0)) / 10.0, F.lit(1.0))
 
 
-def weight(sort_mode: Column, signal: str, modes=fixed.SORT_MODES) -> Column:
-    """Weight of a signal under a sort mode; unknown modes use ``default``."""
-    out = F.lit(modes["default"][signal])
-    branches = None
-    for mode, weights in modes.items():
-        branches = (F if branches is None else branches).when(sort_mode == mode, F.lit(weights[signal]))
-    return branches.otherwise(out)
+def weights(sort_mode: Column, modes=fixed.SORT_MODES) -> Column:
+    """Weights of a sort mode as a struct; unknown modes use ``default``."""
+    signals = ", ".join(f"{s}: double" for s in modes["default"])
+    table = F.from_json(F.lit(json.dumps(modes)), f"map<string,struct<{signals}>>")
+    return F.coalesce(F.try_element_at(table, sort_mode), F.try_element_at(table, F.lit("default")))
 
 
 def final_score(sort_mode: Column, text: Column, diet: Column, rating: Column, distance: Column) -> Column:
-    return (
-        weight(sort_mode, "text") * text_signal(text)
-        + weight(sort_mode, "diet") * (diet + 2.0) / 4.0
-        + weight(sort_mode, "rating") * rating
-        + weight(sort_mode, "distance") * distance
-    )
+    w = weights(sort_mode)
+    return w["text"] * text_signal(text) + w["diet"] * (diet + 2.0) / 4.0 + w["rating"] * rating + w["distance"] * distance
 
 
 def triggered_allergens(avoided: Column, present: Column) -> Column:

@@ -20,25 +20,28 @@ FIELDS = list(fixed.FIELD_BOOSTS)
 SCORE_DIGITS = 6
 
 
+def field_words(fields: list[str]) -> Column:
+    """Term lists of all fields, in field order."""
+    return F.transform(F.array(*fields), analyze)
+
+
 def corpus_stats(catalog: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
     """One row: per field ``i`` the number of documents with text (``n_i``) and their mean length (``avgdl_i``)."""
-    lengths = spread(catalog.select(*fields)).select(*[F.size(analyze(F.col(f))).alias(f"dl_{i}") for i, f in enumerate(fields)])
+    lengths = spread(catalog.select(*fields)).select(F.transform(field_words(fields), F.size).alias("dl"))
     aggregates = []
     for i in range(len(fields)):
-        dl = F.col(f"dl_{i}")
         aggregates += [
-            F.count_if(dl > 0).alias(f"n_{i}"),
-            F.coalesce(F.sum(dl) / F.nullif(F.count_if(dl > 0), F.lit(0)), F.lit(0.0)).alias(f"avgdl_{i}"),
+            f"count_if(dl[{i}] > 0) AS n_{i}",
+            f"coalesce(sum(dl[{i}]) / nullif(count_if(dl[{i}] > 0), 0), 0D) AS avgdl_{i}",
         ]
-    return lengths.agg(*aggregates)
+    return lengths.agg(*map(F.expr, aggregates))
 
 
 def occurrences(catalog: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
     """One row per term occurrence: document, its field lengths, field number, term."""
-    words = F.array(*[analyze(F.col(f)) for f in fields])
     return (
         spread(catalog.select("restaurant_id", *fields))
-        .select("restaurant_id", words.alias("words"))
+        .select("restaurant_id", field_words(fields).alias("words"))
         .select("restaurant_id", F.transform("words", F.size).alias("dl"), F.posexplode("words").alias("field", "words"))
         .select("restaurant_id", "dl", "field", F.explode("words").alias("term"))
     )
@@ -53,22 +56,25 @@ def postings(catalog: DataFrame, vocabulary: DataFrame | None = None, fields: li
     if vocabulary is not None:
         found = found.join(vocabulary, "term", "left_semi").repartition("restaurant_id")
     return found.groupBy("restaurant_id", "dl", "term").agg(
-        *[F.count_if(F.col("field") == i).alias(f"tf_{i}") for i in range(len(fields))]
+        *[F.expr(f"count_if(field = {i}) AS tf_{i}") for i in range(len(fields))]
     )
 
 
 def document_frequency(posting_rows: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
     return posting_rows.groupBy("term").agg(
-        *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(fields))]
+        *[F.expr(f"count_if(tf_{i} > 0) AS df_{i}") for i in range(len(fields))]
     )
 
 
-def idf(n: Column, df: Column) -> Column:
-    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+def idf(n: str, df: str) -> str:
+    """Inverse document frequency as SQL over column names."""
+    return f"ln(1 + ({n} - {df} + 0.5D) / ({df} + 0.5D))"
 
 
-def saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
-    return tf / (tf + fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * dl / avgdl))
+def saturation(tf: str, dl: str, avgdl: str) -> str:
+    """Length-normalised term frequency as SQL over column names."""
+    k1, b = fixed.BM25_K1, fixed.BM25_B
+    return f"{tf} / ({tf} + {k1}D * ({1 - b}D + {b}D * {dl} / {avgdl}))"
 
 
 def need_terms(needs: DataFrame) -> DataFrame:
@@ -150,23 +156,27 @@ def field_scores(
     row = stats if stats is not None else corpus_stats(catalog, names)
     row = row.select(F.struct(*row.columns).alias("s")).scalar()
 
-    weighted = terms.join(document_frequency(found, names), "term").select(
-        "need", "n_terms", "n_groups", "term", "groups",
-        *[(F.col("mult") * idf(row.getField(f"n_{i}"), F.col(f"df_{i}"))).alias(f"w_{i}") for i in range(len(names))],
-        "mult",
+    fields_at = range(len(names))
+    weighted = (
+        terms.join(document_frequency(found, names), "term")
+        .withColumn("corpus", row)
+        .select(
+            "need", "n_terms", "n_groups", "term", "groups", "mult",
+            *[F.expr(f"mult * {idf(f'corpus.n_{i}', f'df_{i}')} AS w_{i}") for i in fields_at],
+            *[f"corpus.avgdl_{i}" for i in fields_at],
+        )
     )
     matched = found.join(hint(weighted), "term")
-    aggregates = [F.max("n_terms").alias("n_terms"), F.max("n_groups").alias("n_groups")]
+    aggregates = ["max(n_terms) AS n_terms", "max(n_groups) AS n_groups"]
     for i, boost in enumerate(fields.values()):
-        tf, present = F.col(f"tf_{i}"), F.col(f"tf_{i}") > 0
-        part = F.col(f"w_{i}") * saturation(tf, F.col("dl")[i], row.getField(f"avgdl_{i}"))
-        aggregates.append((boost * F.sum(F.when(present, part))).alias(f"score_{i}"))
+        part = f"w_{i} * {saturation(f'tf_{i}', f'dl[{i}]', f'avgdl_{i}')}"
+        aggregates.append(f"{boost}D * sum(CASE WHEN tf_{i} > 0 THEN {part} END) AS score_{i}")
         if expansion == "grouped":
-            groups = F.array_distinct(F.flatten(F.collect_set(F.when(present, F.col("groups")))))
-            aggregates.append(F.size(groups).cast("bigint").alias(f"matched_{i}"))
+            count = f"CAST(size(array_distinct(flatten(collect_set(CASE WHEN tf_{i} > 0 THEN groups END)))) AS BIGINT)"
         else:
-            aggregates.append(F.coalesce(F.sum(F.when(present, F.col("mult"))), F.lit(0)).alias(f"matched_{i}"))
-    return matched.groupBy("need", "restaurant_id").agg(*aggregates)
+            count = f"coalesce(sum(CASE WHEN tf_{i} > 0 THEN mult END), 0)"
+        aggregates.append(f"{count} AS matched_{i}")
+    return matched.groupBy("need", "restaurant_id").agg(*map(F.expr, aggregates))
 
 
 def best_field(scores: DataFrame, n_fields: int, expansion: str = "flat", percent: int = fixed.MIN_MATCH_PERCENT) -> DataFrame:

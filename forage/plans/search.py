@@ -49,25 +49,37 @@ def _empty(kind: str) -> Column:
 
 def parse_requests(requests: DataFrame, phrases: bool = False, synonyms=fixed.DIET_SYNONYMS) -> DataFrame:
     """Add language, tokens, labels, spelling and the need key to request rows."""
-    q = text.squish(F.coalesce(F.col("q"), F.lit("")))
-    tokens = text.query_tokens(F.col("q"))
+    raw = F.coalesce(F.col("q"), F.lit(""))
+    tokens = text.query_tokens(raw)
+    placed = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    # a radius of 0 or none means the default
+    radius = F.coalesce(F.nullif("radius_km", F.lit(0.0)), F.lit(5.0))
     return (
-        requests.withColumn("spell_suggestion", text.correct_query(F.coalesce(F.col("q"), F.lit(""))))
-        .withColumn("has_text", F.coalesce(F.col("q"), F.lit("")) != "")
-        .withColumn("q", q)
-        .withColumn("language", text.detect_language(F.col("q")))
-        .withColumn("tokens", text.merge_phrases(tokens, synonyms) if phrases else tokens)
-        .withColumn("detected_labels", text.detected_labels(F.col("tokens"), synonyms))
-        .withColumn("query_tokens", text.expand_tokens(F.col("tokens"), synonyms))
-        .withColumn("labels", text.active_labels(F.col("diet_labels"), F.col("detected_labels")))
-        .withColumn("terms", _request_terms(synonyms))
-        .withColumn("n_groups", F.size(F.array_distinct(F.transform("terms", lambda t: t["group"]))))
-        .withColumn("price_levels", F.coalesce(F.col("price_levels"), _empty("int")))
-        .withColumn("placed", F.col("lat").isNotNull() & F.col("lng").isNotNull())
-        .withColumn("lat", F.when(F.col("placed"), F.col("lat")))
-        .withColumn("lng", F.when(F.col("placed"), F.col("lng")))
-        # a radius of 0 or none means the default
-        .withColumn("radius_km", F.when(F.col("placed"), F.coalesce(F.nullif("radius_km", F.lit(0.0)), F.lit(5.0))))
+        requests.withColumns(
+            {
+                "spell_suggestion": text.correct_query(raw),
+                "has_text": raw != "",
+                "language": text.detect_language(text.squish(raw)),
+                "tokens": text.merge_phrases(tokens, synonyms) if phrases else tokens,
+                "price_levels": F.coalesce(F.col("price_levels"), _empty("int")),
+                "radius_km": F.when(placed, radius),
+                "lat": F.when(placed, F.col("lat")),
+                "lng": F.when(placed, F.col("lng")),
+            }
+        )
+        .withColumns(
+            {
+                "detected_labels": text.detected_labels(F.col("tokens"), synonyms),
+                "query_tokens": text.expand_tokens(F.col("tokens"), synonyms),
+            }
+        )
+        .withColumns(
+            {
+                "labels": text.active_labels(F.col("diet_labels"), F.col("detected_labels")),
+                "terms": _request_terms(synonyms),
+            }
+        )
+        .withColumn("n_groups", F.size(F.array_distinct(F.col("terms.group"))))
         .withColumn("need", F.sha2(F.to_json(F.struct(*NEED_COLUMNS)), 256))
     )
 
@@ -199,22 +211,18 @@ def with_signals(rows: DataFrame) -> DataFrame:
     diet = scores.diet_score(
         F.col("diet_labels"), F.col("allergens"), F.col("allergen_free"), F.col("labels"), F.col("user_allergens")
     )
-    return (
-        rows.withColumn("diet_score", diet)
-        .withColumn("rating_score", scores.rating_score(F.col("rating")))
-        .withColumn("distance_score", scores.distance_score(F.col("km")))
-        .withColumn(
-            "final_score",
-            F.round(
-                scores.final_score(
-                    F.col("sort_mode"), F.col("text_score"), F.col("diet_score"), F.col("rating_score"), F.col("distance_score")
-                ),
-                retrieval.SCORE_DIGITS,
-            ),
-        )
-        .withColumn("distance_m", scores.distance_m(F.col("km")))
-        .withColumn("allergen_warning", scores.triggered_allergens(F.col("user_allergens"), F.col("allergens")))
+    signals = rows.withColumns(
+        {
+            "diet_score": diet,
+            "rating_score": scores.rating_score(F.col("rating")),
+            "distance_score": scores.distance_score(F.col("km")),
+            "distance_m": scores.distance_m(F.col("km")),
+            "allergen_warning": scores.triggered_allergens(F.col("user_allergens"), F.col("allergens")),
+        }
     )
+    parts = ("sort_mode", "text_score", "diet_score", "rating_score", "distance_score")
+    final = scores.final_score(*map(F.col, parts))
+    return signals.withColumn("final_score", F.round(final, retrieval.SCORE_DIGITS))
 
 
 def page_and_rerank(parsed: DataFrame, candidates: DataFrame, load: Load, rerank_scope: str = "page") -> DataFrame:

@@ -182,8 +182,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str, **streams: DataFrame) -> DataFrame:
     """A bound view; ``streams`` may replace a driver table by a streaming read of it."""
     sql = VIEWS[name]
-    used = {t: streams.get(t) if t in streams else table(spark, sf_dir, t) for t in re.findall(r"\{(\w+)\}", sql)}
-    return spark.sql(sql, **used)
+    used = set(re.findall(r"\{(\w+)\}", sql))
+    files = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in used if t not in streams}
+    for t, source in files.items():
+        sql = sql.replace("{" + t + "}", source)
+    if any(t in streams for t in used):
+        return spark.sql(sql, **{t: streams[t] for t in used if t in streams})
+    return spark.sql(sql.replace("{{", "{").replace("}}", "}"))
 
 
 def words(column: str) -> F.Column:
