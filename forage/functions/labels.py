@@ -37,7 +37,11 @@ def matches_rule(lowered: Column, pattern: str) -> Column:
 
 def rule_labels(text: Column, rules: list[tuple[str, str]]) -> Column:
     """Labels of all rules found in the text, ignoring case, in rule order."""
-    lowered = F.lower(text)
+    return lowered_labels(F.lower(text), rules)
+
+
+def lowered_labels(lowered: Column, rules: list[tuple[str, str]]) -> Column:
+    """``rule_labels`` for text that is lower-case already."""
     fired = F.array(*[F.when(matches_rule(lowered, pattern), F.lit(label)) for pattern, label in rules])
     return F.array_distinct(F.array_compact(fired))
 

@@ -163,10 +163,13 @@ def suggest_word(token: Column, vocabulary=fixed.SPELL_VOCABULARY) -> Column:
     word = F.lower(token)
     ranked = F.transform(
         _strings(vocabulary),
-        lambda v, i: F.struct(F.levenshtein(word, v).alias("distance"), i.alias("place"), v.alias("word")),
+        lambda v, i: F.struct(
+            F.levenshtein(word, v, fixed.SPELL_MAX_DISTANCE).alias("distance"), i.alias("place"), v.alias("word")
+        ),
     )
-    best = F.array_min(ranked)
-    return F.when(~word.isin(list(vocabulary)) & (best["distance"] <= fixed.SPELL_MAX_DISTANCE), best["word"])
+    # the bounded distance is -1 beyond the bound
+    near = F.filter(ranked, lambda r: r["distance"] >= 0)
+    return F.when(~word.isin(list(vocabulary)), F.array_min(near)["word"])
 
 
 def correct_query(query: Column, vocabulary=fixed.SPELL_VOCABULARY) -> Column:
@@ -187,4 +190,6 @@ def correct_query(query: Column, vocabulary=fixed.SPELL_VOCABULARY) -> Column:
             text, F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])"), e["was"], F.lit(r"(?![\p{L}\p{N}_])")), e["now"]
         ),
     )
-    return F.when((F.size(edits) > 0) & (F.lower(fixed_text) != F.lower(query)), fixed_text)
+    # a one-element array holds the text, so that it is worked out once
+    changed = F.transform(F.array(fixed_text), lambda t: F.when(F.lower(t) != F.lower(query), t))
+    return F.get(changed, F.lit(0))

@@ -29,7 +29,9 @@ def _named_key(facet: str):
 def facet_counts(candidates: DataFrame, key: str = "need", sizes: dict[str, int] = fixed.FACET_SIZES) -> DataFrame:
     """(key, facet, facet key, n): the largest buckets per facet, ties by key."""
     counts = (
-        candidates.select(key, F.inline(facet_keys(list(sizes))))
+        # outer, then filtered: the plain form would build the pairs twice to test for emptiness
+        candidates.select(key, F.inline_outer(facet_keys(list(sizes))))
+        .filter(F.col("key").isNotNull())
         .groupBy(key, "facet", "key")
         .agg(F.count("*").alias("n"))
     )

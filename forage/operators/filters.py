@@ -53,7 +53,7 @@ def autocomplete(prefixes: DataFrame, catalog: DataFrame, size: int = 8) -> Data
         lambda n: F.substring(F.lower("name"), F.lit(1), n),
     )
     matched = (
-        names.withColumn("_key", F.explode(leads))
+        names.withColumn("_key", F.explode_outer(leads))
         .join(left, "_key")
         .filter(F.startswith(F.lower("name"), F.lower("prefix")))
         .select("prefix", "name")

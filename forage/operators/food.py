@@ -49,7 +49,7 @@ def food_search(requests: DataFrame, foods: DataFrame, limit: int = 10) -> DataF
     openings = prefixes.select("prefix").distinct().withColumn("_key", F.substring("prefix", F.lit(1), lead("prefix")))
     # prefixes meet the distinct words, not the postings; words offer their leads of one to LEAD characters
     leads = F.transform(F.sequence(F.lit(1), lead("word")), lambda n: F.substring("word", F.lit(1), n))
-    vocabulary = index.select("word").distinct().withColumn("_key", F.explode(leads))
+    vocabulary = index.select("word").distinct().withColumn("_key", F.explode_outer(leads))
     expanded = vocabulary.join(openings, "_key").filter(F.startswith("word", "prefix")).select("prefix", "word")
     hits = index.join(expanded, "word").groupBy("prefix", "food_id", "n_words").agg(F.sum("freq").alias("freq"))
     with_hits = hits.groupBy("prefix").agg(F.count("*").alias("n_hits"))

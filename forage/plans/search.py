@@ -8,6 +8,7 @@ applied per request.
 
 from __future__ import annotations
 
+from functools import cached_property
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -29,17 +30,43 @@ ATTRIBUTES = [
 NEED_COLUMNS = ["terms", "n_groups", "labels", "price_levels", "lat", "lng", "radius_km"]
 
 
-class Search(NamedTuple):
-    requests: DataFrame
-    candidates: DataFrame
-    hits: DataFrame
-    facets: DataFrame
-    summary: DataFrame
-    cached: tuple[DataFrame, ...] = ()
+class Load(NamedTuple):
+    """What one pass over the requests tells about their size.
+
+    ``small``: all term rows and page rows together stay under the broadcast bound.
+    """
+
+    small: bool
+    page_end: int
+
+
+class Search:
+    """Answers to one table of requests; each result is planned when it is first asked for."""
+
+    def __init__(self, requests: DataFrame, candidates: DataFrame, load: Load, rerank_scope: str, cached: tuple[DataFrame, ...]):
+        self.requests = requests
+        self.candidates = candidates
+        self._load, self._scope, self._cached = load, rerank_scope, cached
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        """The requested page of every request, in final order."""
+        return page_and_rerank(self.requests, self.candidates, self._load, self._scope)
+
+    @cached_property
+    def facets(self) -> DataFrame:
+        """(query_id, facet, key, n) over all hits of a request, not only its page."""
+        counts = facet_ops.facet_counts(self.candidates)
+        return self.requests.select("query_id", "need").join(counts, "need").drop("need", "position")
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        """One row per request: totals, pages and text analysis."""
+        return summarise(self.requests, self.candidates)
 
     def release(self) -> None:
         """Drop cached rows once the results have been written."""
-        for frame in self.cached:
+        for frame in self._cached:
             frame.unpersist()
 
 
@@ -110,16 +137,6 @@ def _request_terms(synonyms) -> Column:
     )
 
 
-class Load(NamedTuple):
-    """What one pass over the requests tells about their size.
-
-    ``small``: all term rows and page rows together stay under the broadcast bound.
-    """
-
-    small: bool
-    page_end: int
-
-
 def measure(parsed: DataFrame) -> Load:
     row = parsed.agg(
         F.coalesce(F.sum(F.size("terms") + F.col("limit")), F.lit(0)).alias("rows"),
@@ -166,7 +183,7 @@ def match_all(needs: DataFrame, attributes: DataFrame, hint) -> DataFrame:
         F.when(F.col("price_level").isNotNull(), tagged("p", F.array("price_level"))).otherwise(_empty("string")),
         F.array(F.lit("*")),
     )
-    right = attributes.withColumn("access", F.explode(offered))
+    right = attributes.withColumn("access", F.explode_outer(offered))
     # a document reached through several wanted labels counts through the first one
     shared = F.array_intersect("labels", F.coalesce(F.col("diet_labels"), _empty("string")))
     once = ~F.col("access").startswith("l") | (F.col("access") == F.concat(F.lit("l"), F.get(shared, F.lit(0))))
@@ -311,12 +328,4 @@ def search(
         candidates = candidates.sparkSession.read.parquet(stage_path)
     else:
         candidates = candidates.persist()
-    facets = parsed.select("query_id", "need").join(facet_ops.facet_counts(candidates), "need").drop("need")
-    return Search(
-        parsed,
-        candidates,
-        page_and_rerank(parsed, candidates, load, rerank_scope),
-        facets,
-        summarise(parsed, candidates),
-        (parsed, found, candidates),
-    )
+    return Search(parsed, candidates, load, rerank_scope, (parsed, found, candidates))

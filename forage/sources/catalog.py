@@ -42,7 +42,7 @@ def label_catalog(documents: DataFrame, rules: dict[str, list[tuple[str, str]]]
     items = F.transform("menu_items", lambda m: m["name"]) if "menu_items" in columns else none
     text = labels.labelling_text(F.col("name"), F.col("description"), F.col("cuisine_type"), tags, F.coalesce(items, none))
     read = spread(documents).withColumn("_text", F.lower(text))
-    inferred = read.withColumns({f"_{kind}": labels.rule_labels(F.col("_text"), rules[kind]) for kind in rules})
+    inferred = read.withColumns({f"_{kind}": labels.lowered_labels(F.col("_text"), rules[kind]) for kind in rules})
     merged = inferred.withColumns(
         {
             "diet_labels": labels.merge_labels(F.col("diet_labels"), F.col("_diet")),

@@ -142,7 +142,7 @@ def in_cities(features: DataFrame, requests: DataFrame) -> DataFrame:
         for city, (s, w, n, e) in fixed.CITY_BOXES.items()
     ]
     kept = features.filter(_of_kind(BOX_KINDS, poi.tag(F.col("tags"), "amenity")))
-    tagged = kept.withColumn("resolved", F.explode(F.array_compact(F.array(*inside))))
+    tagged = kept.withColumn("resolved", F.explode_outer(F.array_compact(F.array(*inside))))
     return tagged.join(asked, "resolved")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from forage.functions import fixed, labels, text
 from forage.functions.display import named
+from forage.session import spread
 from forage.sources.catalog import label_catalog as label_documents
 from forage.sources.food import synonym_forms as forms_of
 from workload import sql
@@ -129,7 +130,7 @@ def _replaced(text_sql: str) -> str:
     SELECT query_id, CASE WHEN lower(c) <> lower(q) THEN c END AS suggestion FROM fixed""",
 )
 def spell_query(spark, sf_dir):
-    return _log(spark, sf_dir).select("query_id", text.correct_query(F.col("q")).alias("suggestion"))
+    return spread(_log(spark, sf_dir)).select("query_id", text.correct_query(F.col("q")).alias("suggestion"))
 
 
 @query(
