@@ -14,6 +14,21 @@ def _empty() -> Column:
     return F.array().cast("array<string>")
 
 
+# A stricter alternative to the default allergen rules: whole words only, and a
+# "-free" claim is not a mention of the allergen.
+_NOT_FREE = r"(?![\s-]?free)"
+STRICT_ALLERGEN_RULES = [
+    (rf"花生|\bpeanuts?\b{_NOT_FREE}", "peanut"),
+    (rf"(?<!无|含)坚果|核桃|腰果|杏仁|\b(tree[\s-]?)?nuts?\b{_NOT_FREE}", "tree_nut"),
+    (rf"牛奶|奶酪|\b(cheese|dairy|milk|lactose)\b{_NOT_FREE}", "dairy"),
+    (rf"(?<!无|含)(麸质|小麦)|面筋|\b(gluten|wheat)\b{_NOT_FREE}", "gluten"),
+    (rf"海鲜|虾|蟹|(?<!无|含)贝类|\b(shellfish|shrimps?|crabs?)\b{_NOT_FREE}", "shellfish"),
+    (rf"(?<!无|含)大豆|豆腐|\b(soy|tofu)\b{_NOT_FREE}", "soy"),
+    (rf"鸡蛋|\beggs?\b{_NOT_FREE}", "egg"),
+    (rf"芝麻|\bsesame\b{_NOT_FREE}", "sesame"),
+]
+
+
 def matches_rule(lowered: Column, pattern: str) -> Column:
     """One rule as a predicate on lower-case text.
 

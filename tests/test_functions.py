@@ -23,6 +23,12 @@ def test_rules(values):
     assert got[2] == [["gluten-free"], [], []]
 
 
+def test_strict_rules(values):
+    inputs = ["gluten-free noodles", "wheat noodles", "donut", "mixed nuts", "无麸质", "nut free, soy milk"]
+    got = values(inputs, labels.rule_labels(X, labels.STRICT_ALLERGEN_RULES))
+    assert got == [[], ["gluten"], [], ["tree_nut"], [], ["dairy", "soy"]]
+
+
 def test_rules_keep_patterns(values):
     strict = [(r"\bnut(s)?\b", "tree_nut"), ("low.carb|keto", "low")]
     assert values(["donut", "mixed nuts", "low-carb", "ketone"], labels.rule_labels(X, strict)) == [[], ["tree_nut"], ["low"], ["low"]]

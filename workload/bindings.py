@@ -28,8 +28,9 @@ SELECT concat('doc_', CAST(doc_id AS STRING)) AS restaurant_id,
 FROM {documents}
 """
 
+# ten items per menu at every scale
 MENU_ITEMS = """
-SELECT concat('doc_', CAST(p_partkey % 200 AS STRING)) AS restaurant_id, CAST(p_partkey AS STRING) AS item_id,
+SELECT concat('doc_', CAST((p_partkey - p_partkey % 10) / 10 AS BIGINT)) AS restaurant_id, CAST(p_partkey AS STRING) AS item_id,
        p_name AS name, p_retailprice / 10e0 AS price, p_size * 10e0 AS calories,
        CASE p_partkey % 3 WHEN 0 THEN 'vegan' WHEN 1 THEN 'halal' ELSE NULL END AS item_labels
 FROM {part}
