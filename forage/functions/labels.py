@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,35 +31,48 @@ STRICT_ALLERGEN_RULES = [
 ]
 
 
-def matches_rule(lowered: Column, pattern: str) -> Column:
+def _is_cjk(text: str) -> bool:
+    return all("一" <= c <= "鿿" for c in text)
+
+
+def matches_rule(lowered: Column, has_cjk: Column, pattern: str) -> Column:
     """One rule as a predicate on lower-case text.
 
-    Alternatives without pattern characters become substring tests, which scan
-    bytes instead of running the pattern engine over long descriptions.
+    Cheap tests come first: plain alternatives are substring tests, Chinese ones
+    are tried only on text with Chinese characters, and an alternative with
+    pattern characters runs only where its literal opening occurs.
     """
-    plain, rest = [], []
     if re.search(r"[()\[\]\\]", pattern):
-        rest = [pattern]
-    else:
-        for part in pattern.split("|"):
-            (rest if re.search(r"[.*+?^${}]", part) else plain).append(part)
-    tests = [F.contains(lowered, F.lit(part)) for part in plain]
-    if rest:
-        tests.append(lowered.rlike("|".join(rest)))
-    hit = tests[0]
-    for test in tests[1:]:
-        hit = hit | test
-    return hit
+        return lowered.rlike(_LINES + pattern)
+    latin, cjk = [], []
+    for part in pattern.split("|"):
+        opening = re.match(r"[^.*+?^${}]*", part).group()
+        if opening == part:
+            (cjk if _is_cjk(part) else latin).append(F.contains(lowered, F.lit(part)))
+        elif part[len(opening)] == "." and part[len(opening) + 1 : len(opening) + 2] not in ("*", "+", "?", "{"):
+            latin.append(F.contains(lowered, F.lit(opening)) & lowered.rlike(_LINES + part))
+        else:
+            latin.append(lowered.rlike(_LINES + part))
+    tests = latin + ([has_cjk & reduce(or_, cjk)] if cjk else [])
+    return reduce(or_, tests)
+
+
+# only a line feed ends a line, as in the rules' origin
+_LINES = "(?d)"
 
 
 def rule_labels(text: Column, rules: list[tuple[str, str]]) -> Column:
     """Labels of all rules found in the text, ignoring case, in rule order."""
-    return lowered_labels(F.lower(text), rules)
+    return lowered_labels(F.lower(text), has_cjk(text), rules)
+
+
+def has_cjk(text: Column) -> Column:
+    return text.rlike("[一-鿿]")
 
 
-def lowered_labels(lowered: Column, rules: list[tuple[str, str]]) -> Column:
+def lowered_labels(lowered: Column, cjk: Column, rules: list[tuple[str, str]]) -> Column:
     """``rule_labels`` for text that is lower-case already."""
-    fired = F.array(*[F.when(matches_rule(lowered, pattern), F.lit(label)) for pattern, label in rules])
+    fired = F.array(*[F.when(matches_rule(lowered, cjk, pattern), F.lit(label)) for pattern, label in rules])
     return F.array_distinct(F.array_compact(fired))
 
 

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from forage.functions import fixed
 from forage.functions.display import fixed_point
 
-ESTIMATE_SCHEMA = (
-    "name_zh string, name_en string, name_pinyin string, calories_per_100g double, protein_g double, "
-    "fat_g double, carb_g double, sodium_mg double, fiber_g double, diet_labels array<string>"
+AMOUNTS = ["calories_per_100g", "protein_g", "fat_g", "carb_g", "sodium_mg", "fiber_g"]
+_ESTIMATE = (
+    "name_zh string, name_en string, name_pinyin string, "
+    + ", ".join(f"{a} string" for a in AMOUNTS)
+    + ", diet_labels array<string>, bad string"
 )
 
 
@@ -37,10 +39,12 @@ def estimate_key(food_name: Column) -> Column:
 
 
 def parse_estimate(response: Column) -> Column:
-    """Stored estimate text -> struct, or null when it is not the expected JSON.
+    """Stored estimate text -> struct of names, amounts as text and labels; null when it is not a JSON object.
 
-    A surrounding code fence is removed first.
+    A surrounding code fence is trimmed first: white space, then the characters
+    of the fence mark, then white space again.
     """
-    body = F.regexp_replace(response, r"^\s*(```json|```)?\s*|\s*(```)?\s*$", "")
-    parsed = F.from_json(body, ESTIMATE_SCHEMA)
-    return F.when(body.startswith("{"), parsed)
+    space = F.lit(" \t\n\r")
+    body = F.btrim(F.btrim(F.btrim(response, space), F.lit("`json")), space)
+    parsed = F.from_json(body, _ESTIMATE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})
+    return F.when(body.startswith("{") & parsed["bad"].isNull(), parsed)

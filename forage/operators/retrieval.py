@@ -64,6 +64,22 @@ def postings(catalog: DataFrame, vocabulary: DataFrame | None = None, fields: li
     )
 
 
+def corpus_frequency(catalog: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
+    """(field, term, df) of the whole corpus.
+
+    Each document's distinct terms are found inside its own row, so only counts
+    are shuffled, never document rows.
+    """
+    return (
+        spread(catalog.select(*fields))
+        .select(F.transform(field_words(fields), F.array_distinct).alias("words"))
+        .select(F.posexplode_outer("words").alias("field", "words"))
+        .select("field", F.explode("words").alias("term"))
+        .groupBy("field", "term")
+        .agg(F.count("*").alias("df"))
+    )
+
+
 def document_frequency(posting_rows: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
     return posting_rows.groupBy("term").agg(
         *[F.expr(f"count_if(tf_{i} > 0) AS df_{i}") for i in range(len(fields))]

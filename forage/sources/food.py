@@ -39,15 +39,17 @@ def estimates(responses: DataFrame) -> DataFrame:
 
     The asked name stands in for a missing name, 0 for missing amounts.
     """
-    parsed = responses.withColumn("e", nutrition.parse_estimate(F.col("response"))).filter(F.col("e").isNotNull())
-    amounts = ["calories_per_100g", "protein_g", "fat_g", "carb_g", "sodium_mg", "fiber_g"]
+    # one-element explode: a plain filter on the struct would run the parse a second time
+    parsed = responses.withColumn("e", F.array(nutrition.parse_estimate(F.col("response"))))
+    parsed = parsed.withColumn("e", F.explode_outer("e")).filter(F.col("e").isNotNull())
+    number = lambda name: F.coalesce(F.trim(f"e.{name}").try_cast("double"), F.lit(0.0))
     return parsed.select(
         *[c for c in responses.columns if c != "response"],
         nutrition.estimate_key(F.col("food_name")).alias("cache_key"),
         F.coalesce("e.name_zh", "food_name").alias("name_zh"),
         F.col("e.name_en").alias("name_en"),
         F.col("e.name_pinyin").alias("name_pinyin"),
-        *[F.coalesce(f"e.{c}", F.lit(0.0)).alias(c) for c in amounts],
+        *[number(c).alias(c) for c in nutrition.AMOUNTS],
         F.coalesce("e.diet_labels", F.array().cast("array<string>")).alias("diet_labels"),
     )
 

@@ -29,6 +29,19 @@ def test_food_prefixes(spark):
     assert one["score"] == pytest.approx(score, abs=1e-6)
 
 
+def test_estimates(spark):
+    from forage.sources.food import estimates
+
+    answers = spark.createDataFrame(
+        [("Tofu ", '```json\n{"name_zh": "豆腐", "calories_per_100g": "76.5", "diet_labels": ["vegan"]}\n```'), ("x", '{"protein_g": 3}'), ("y", '{"protein_g": '), ("z", "sorry")],
+        "food_name string, response string",
+    )
+    rows = {r["cache_key"]: r for r in estimates(answers).collect()}
+    assert sorted(rows) == ["tofu", "x"]
+    assert (rows["tofu"]["name_zh"], rows["tofu"]["calories_per_100g"], rows["tofu"]["fat_g"]) == ("豆腐", 76.5, 0.0)
+    assert (rows["x"]["name_zh"], rows["x"]["protein_g"], rows["x"]["diet_labels"]) == ("x", 3.0, [])
+
+
 def test_cascade(spark):
     foods = spark.createDataFrame([(1, "x", "rice", "")], FOODS)
     cached = spark.createDataFrame([("mooncake", "月饼")], "cache_key string, name_zh string")

@@ -110,17 +110,12 @@ def bm25_stats(spark, sf_dir):
     catalog = restaurants(spark, sf_dir)
     row = retrieval.corpus_stats(catalog)
     row = row.select(F.struct(*row.columns).alias("s")).scalar()
-    per_field = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("field"), F.col(f"df_{i}").alias("df"),
-                row.getField(f"n_{i}").alias("n_docs"), F.round(row.getField(f"avgdl_{i}"), 6).alias("avgdl"),
-            )
-            for i in range(len(retrieval.FIELDS))
-        ]
+    fields = range(len(retrieval.FIELDS))
+    n_docs = F.element_at(F.array(*[F.col(f"s.n_{i}") for i in fields]), F.col("field") + 1)
+    avgdl = F.element_at(F.array(*[F.col(f"s.avgdl_{i}") for i in fields]), F.col("field") + 1)
+    return retrieval.corpus_frequency(catalog).withColumn("s", row).select(
+        "field", "term", "df", n_docs.alias("n_docs"), F.round(avgdl, 6).alias("avgdl")
     )
-    terms = retrieval.document_frequency(retrieval.postings(catalog))
-    return terms.select("term", F.inline(per_field)).filter(F.col("df") > 0)
 
 
 def _field_scores(spark, sf_dir):
