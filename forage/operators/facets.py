@@ -42,15 +42,25 @@ def facet_counts(candidates: DataFrame, key: str = "need", sizes: dict[str, int]
     return best.filter(F.col("position") <= size)
 
 
-def facet_maps(facets: DataFrame, key: str = "query_id", sizes: dict[str, int] = fixed.FACET_SIZES) -> DataFrame:
-    """One row per query with a map per facet; a map holds at most the facet's bucket limit."""
+def facet_maps(
+    facets: DataFrame, requests: DataFrame | None = None, key: str = "query_id", sizes: dict[str, int] = fixed.FACET_SIZES
+) -> DataFrame:
+    """One row per query with a map per facet; a map holds at most the facet's bucket limit.
+
+    With the requests, queries without hits get empty maps.
+    """
     entry = F.struct("key", "n")
-    return facets.groupBy(key).agg(
+    maps = facets.groupBy(key).agg(
         *[
             F.map_from_entries(F.collect_list(F.when(F.col("facet") == facet, entry))).alias(facet)
             for facet in sizes
         ]
     )
+    if requests is None:
+        return maps
+    empty = F.map_from_entries(F.array().cast("array<struct<key:string,n:bigint>>"))
+    every = requests.select(key).join(maps, key, "left")
+    return every.select(key, *[F.coalesce(facet, empty).alias(facet) for facet in sizes])
 
 
 def totals(candidates: DataFrame, key: str = "need") -> DataFrame:

@@ -28,9 +28,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Even out rows before heavy per-row text work when the input has too few splits to keep the cores busy.
 
     Only a small or unsplittable input has fewer splits than half the cores, so
-    a large table never takes this extra shuffle.
+    a large table never takes this extra shuffle.  A plan with a shuffle of its
+    own is left alone: it is sized at run time, and asking for its partitions
+    here would run it.
     """
-    if df.isStreaming:
+    if df.isStreaming or df._jdf.queryExecution().executedPlan().nodeName().startswith("AdaptiveSparkPlan"):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     splits = df.rdd.getNumPartitions()

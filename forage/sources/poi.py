@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from forage import schemas
 from forage.functions import fixed, poi
+from forage.functions.scores import haversine_km
 from forage.operators.geo import radius_filter
 from forage.operators.state import earliest
 
@@ -58,8 +59,8 @@ def normalize_features(features: DataFrame) -> DataFrame:
 
 # --- fixed values: the two map-service variants ------------------------------
 POI_VARIANTS = {
-    "official": {"prefix": "gaode_", "source": "gaode", "photos": 5, "no_category": "", "keep_unnamed": True},
-    "web": {"prefix": "amap_", "source": "amap_web", "photos": 4, "no_category": "餐厅", "keep_unnamed": False},
+    "official": {"prefix": "gaode_", "source": "gaode", "photos": 5, "no_category": "", "keep_unnamed": True, "page": 25},
+    "web": {"prefix": "amap_", "source": "amap_web", "photos": 4, "no_category": "餐厅", "keep_unnamed": False, "page": 20},
 }
 
 
@@ -146,13 +147,33 @@ def in_cities(features: DataFrame, requests: DataFrame) -> DataFrame:
     return tagged.join(asked, "resolved")
 
 
-def keyword_page(pois: DataFrame, keyword: str, page: int, page_size: int = 25, category: str | None = None) -> DataFrame:
-    """One numbered page of the POIs whose name, tag or category holds the keyword, in arrival order."""
-    holds = lambda column: F.contains(F.lower(column), F.lit(keyword.lower()))
-    kept = pois.filter(holds("name") | holds("tag") | holds("type"))
+def _keyword(pois: DataFrame, keyword: str | None, category: str | None, city: str | None) -> DataFrame:
+    """POIs whose name, tag or category holds the keyword, of one category path and one city."""
+    if keyword:
+        holds = [F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(keyword.lower())) for c in ("name", "tag", "type")]
+        pois = pois.filter(holds[0] | holds[1] | holds[2])
     if category is not None:
-        kept = kept.filter(F.startswith("type", F.lit(category)))
-    return kept.orderBy("arrival").offset((page - 1) * page_size).limit(page_size)
+        pois = pois.filter(F.startswith("type", F.lit(category)))
+    return pois if city is None else pois.filter(F.col("city") == city)
+
+
+def keyword_page(
+    pois: DataFrame, keyword: str, page: int, page_size: int = POI_VARIANTS["official"]["page"], category: str | None = None, city: str | None = None
+) -> DataFrame:
+    """One numbered page of matching POIs, in arrival order."""
+    found = _keyword(pois, keyword, category, city)
+    return found.orderBy("arrival").offset((page - 1) * page_size).limit(page_size)
+
+
+def around_page(
+    pois: DataFrame, lat: float, lng: float, radius_m: int, page: int, page_size: int = POI_VARIANTS["official"]["page"], keyword: str | None = None
+) -> DataFrame:
+    """One numbered page of the POIs within a radius, nearest first, with ``km``."""
+    placed = _keyword(pois, keyword, None, None).withColumn("place", poi.location(F.col("location")))
+    placed = placed.select("*", "place.lat", "place.lng")
+    km = haversine_km(F.lit(lat), F.lit(lng), F.col("lat"), F.col("lng"))
+    near = radius_filter(placed, lat, lng, radius_m / 1000.0).withColumn("km", km)
+    return near.orderBy("km", "arrival").offset((page - 1) * page_size).limit(page_size)
 
 
 def first_seen(pois: DataFrame, key: str, order: list[str]) -> DataFrame:

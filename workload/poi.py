@@ -167,6 +167,16 @@ def poi_keyword_page(spark, sf_dir):
     return poi.keyword_page(pois(spark, sf_dir), "Tofu", page=2, category="catering").select("arrival", "name")
 
 
+@query(
+    "poi_around_page",
+    MAP + f""", p AS (SELECT arrival, {sql.haversine('39.85e0', '116.4e0', _LAT, _LNG)} AS km FROM poi_map WHERE contains(lower(tag), 'tofu'))
+    SELECT arrival, round(km, 6) AS km FROM p WHERE km <= 40e0 ORDER BY km, arrival LIMIT 20 OFFSET 20""",
+)
+def poi_around_page(spark, sf_dir):
+    page = poi.around_page(pois(spark, sf_dir), 39.85, 116.4, 40_000, page=2, page_size=20, keyword="tofu")
+    return page.select("arrival", F.round("km", 6).alias("km"))
+
+
 @query("poi_dedup", MAP + "SELECT CAST(id AS VARCHAR) AS id, min(arrival) AS arrival, arg_min(name, arrival) AS name FROM poi_map GROUP BY 1")
 def poi_dedup(spark, sf_dir):
     return poi.first_seen(pois(spark, sf_dir), "id", ["arrival"]).select("id", "arrival", "name")
@@ -206,11 +216,11 @@ INGEST_ROWS = """SELECT restaurant_id, name, price_level, array_to_string(d, ','
 
 
 @query(
-    "ingest_pipeline",
+    "ingest_merge",
     ctes("restaurants", "poi_map") + ingest_sql() + " " + INGEST_ROWS
     + " UNION ALL SELECT restaurant_id, name, price_level, coalesce(diet_labels, ''), coalesce(allergens, ''), coalesce(allergen_free, '') FROM restaurants",
 )
-def ingest_pipeline(spark, sf_dir):
+def ingest_merge(spark, sf_dir):
     raw = pois(spark, sf_dir)
     fetched = poi.normalize_pois(raw, keep=("arrival",))
     return ingest_columns(ingest(restaurants(spark, sf_dir), fetched, ["arrival"]))

@@ -52,4 +52,4 @@ def requests_cte() -> str:
     rows = ",\n  ".join(
         "(" + ", ".join(f"{v}e0" if isinstance(v, float) else quote(v) for v in row) + ")" for row in ROWS
     )
-    return f"requests AS (SELECT * FROM (VALUES\n  {rows}) r({', '.join(COLUMNS)}))"
+    return f"requests AS (SELECT * REPLACE (CAST(query_id AS BIGINT) AS query_id) FROM (VALUES\n  {rows}) r({', '.join(COLUMNS)}))"

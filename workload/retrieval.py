@@ -266,11 +266,12 @@ def _map_text(column):
         f"coalesce(string_agg(key || '=' || CAST(n AS VARCHAR), ',' ORDER BY key || '=' || CAST(n AS VARCHAR)) FILTER (facet = '{f}'), '') AS {f}"
         for f in fixed.FACET_SIZES
     )
-    + " FROM facets GROUP BY query_id",
+    + " FROM qs LEFT JOIN facets USING (query_id) GROUP BY query_id",
 )
 def facets_all(spark, sf_dir):
-    maps = facets.facet_maps(_search(spark, sf_dir).facets)
-    return maps.select("query_id", *[F.coalesce(_map_text(f), F.lit("")).alias(f) for f in fixed.FACET_SIZES])
+    result = _search(spark, sf_dir)
+    maps = facets.facet_maps(result.facets, result.requests)
+    return maps.select("query_id", *[_map_text(f).alias(f) for f in fixed.FACET_SIZES])
 
 
 # --- ranked pages ------------------------------------------------------------
