@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from forage.session import shared_folder
+from forage.session import cut
 
 
 def latest(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -112,10 +112,9 @@ def numbered(df: DataFrame, order: list[str], start: Column, name: str) -> DataF
 
     A distributed sort gives every row its partition and place; only the
     per-partition counts go through one running sum.  The sorted rows are
-    checkpointed so that counts and places always come from the same sort.
+    written down so that counts and places always come from the same sort.
     """
-    shared_folder(df.sparkSession)
-    placed = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    placed = cut(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from forage.functions import fixed
 from forage.operators.topk import top_k
-from forage.session import shared_folder
+from forage.session import cut
 
 MICROS = 1_000_000
 
@@ -53,13 +53,14 @@ def fired(events: DataFrame, key: str = "trigger_key", at: str = "ts", lock_seco
         .over(Window.partitionBy("k", "slot").orderBy("t").rangeBetween(Window.currentRow, Window.unboundedFollowing))
         .alias("after"),
     )
+    near = near.persist()
     before = (
         near.filter(F.col("origin").isNull())
         .join(previous, ["k", "slot"], "left")
         .select("k", "t", F.coalesce("before", "previous_last").alias("before"))
     )
     is_start = F.col("before").isNull() | (F.col("t") - F.col("before") >= lock)
-    events_marked = before.select("k", "t", is_start.alias("start"))
+    starts = cut(before.filter(is_start).select("k", "t"), "chain-starts")
     following = ends.select("k", (F.col("slot") - 1).alias("slot"), F.col("first").alias("next_first"))
     jumps = (
         near.filter(F.col("origin").isNotNull())
@@ -68,21 +69,20 @@ def fired(events: DataFrame, key: str = "trigger_key", at: str = "ts", lock_seco
         .filter(F.col("to").isNotNull())
     )
     # a chain ends where the next event starts a chain of its own
-    starts = events_marked.filter("start").select("k", "t")
-    jumps = jumps.join(starts.withColumnRenamed("t", "to"), ["k", "to"], "left_anti").select("k", "t", "to")
+    jumps = cut(jumps.join(starts.withColumnRenamed("t", "to"), ["k", "to"], "left_anti").select("k", "t", "to"), "jumps")
+    near.unpersist()
     reached = follow(starts, jumps)
     return reached.select(F.col("k").alias(key), F.timestamp_micros("t").cast(events.schema[at].dataType).alias(at))
 
 
 def follow(starts: DataFrame, jumps: DataFrame) -> DataFrame:
     """All (k, t) reachable from the starts; each round doubles the length of the jumps."""
-    shared_folder(starts.sparkSession)
-    reached, jumps = starts.checkpoint(), jumps.checkpoint()
+    reached = starts
     while not jumps.isEmpty():
         landed = reached.join(jumps, ["k", "t"]).select("k", F.col("to").alias("t"))
-        reached = reached.unionByName(landed).distinct().checkpoint()
+        reached = cut(reached.unionByName(landed).distinct(), "reached")
         onward = jumps.select("k", F.col("t").alias("to"), F.col("to").alias("far"))
-        jumps = jumps.join(onward, ["k", "to"]).select("k", "t", F.col("far").alias("to")).checkpoint()
+        jumps = cut(jumps.join(onward, ["k", "to"]).select("k", "t", F.col("far").alias("to")), "jumps")
     return reached
 
 

@@ -24,6 +24,17 @@ def work_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame, purpose: str) -> DataFrame:
+    """Write rows to a table in the shared folder and read them back.
+
+    Later steps start from the files: lost executors cost no recomputation, and
+    rows keep the values they were written with.
+    """
+    path = work_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Even out rows before heavy per-row text work when the input has too few splits to keep the cores busy.
 
