@@ -9,7 +9,6 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from forage.functions import fixed
 
 
 def _empty() -> Column:

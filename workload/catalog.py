@@ -9,7 +9,6 @@ from forage.operators import filters, state
 from forage.session import work_path
 from forage.sources import food as food_source
 from forage.sources.catalog import read_catalog, union_sources
-from workload import sql
 from workload.bindings import ctes, restaurants, table, view, words
 from workload.registry import query
 
@@ -32,7 +31,7 @@ def with_menu(spark, sf_dir):
 
 @query(
     "catalog_scan",
-    ctes("restaurants") + f"SELECT restaurant_id, name, length(description) AS n, price_level, rating, lat, lng, diet_labels FROM restaurants",
+    ctes("restaurants") + "SELECT restaurant_id, name, length(description) AS n, price_level, rating, lat, lng, diet_labels FROM restaurants",
 )
 def catalog_scan(spark, sf_dir):
     """Write the catalog in the declared layout and scan it back."""

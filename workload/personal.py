@@ -8,7 +8,7 @@ from forage.functions import display, fixed, scores
 from forage.operators import guard, state, validate
 from forage.plans.search import with_signals
 from workload import sql
-from workload.bindings import ctes, profiles, restaurants, table, view, words
+from workload.bindings import ctes, profiles, restaurants, table, view
 from workload.registry import query
 
 # who saw which restaurant, standing where, asking for what

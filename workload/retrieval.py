@@ -118,13 +118,13 @@ def bm25_stats(spark, sf_dir):
     )
 
 
-def _field_scores(spark, sf_dir):
+def _field_scores(spark, sf_dir, expansion="flat"):
     catalog = restaurants(spark, sf_dir)
     parsed = plan.parse_requests(plan.attach_profiles(requests(spark), None)).persist()
     small = plan.measure(parsed).small
     terms = retrieval.need_terms(plan.distinct_needs(parsed).filter(F.size("terms") > 0))
     found = retrieval.matching_postings(terms, catalog, small).persist()
-    return parsed.select("query_id", "need"), retrieval.field_scores(terms, found, catalog, small)
+    return parsed.select("query_id", "need"), retrieval.field_scores(terms, found, catalog, small, expansion)
 
 
 @query("bm25_search", SEARCH + "SELECT query_id, restaurant_id, text_score FROM best")
@@ -133,6 +133,21 @@ def bm25_search(spark, sf_dir):
     return asked.join(retrieval.best_field(found, 4), "need").drop("need")
 
 
+@query(
+    "bm25_grouped",
+    SEARCH + f""", gt AS (SELECT query_id, grp, unnest(ts) AS term FROM (SELECT query_id, coalesce({sql.form_map()}[lower(token)], token) AS grp,
+      {sql.analyze_mixed('token')} AS ts FROM (SELECT query_id, unnest(expanded) AS token FROM qs))),
+    ng AS (SELECT query_id, count(DISTINCT grp) AS n_groups FROM gt GROUP BY 1),
+    gm AS (SELECT query_id, restaurant_id, f, count(DISTINCT grp) AS g FROM post JOIN gt USING (term) GROUP BY ALL)
+    SELECT query_id, restaurant_id, round(max(score), 6) AS text_score FROM fs JOIN gm USING (query_id, restaurant_id, f) JOIN ng USING (query_id)
+    WHERE g >= greatest(1, floor(n_groups * 60 / 100.0)) GROUP BY query_id, restaurant_id""",
+)
+def bm25_grouped(spark, sf_dir):
+    """Minimum match with every synonym set counted once."""
+    asked, found = _field_scores(spark, sf_dir, "grouped")
+    return asked.join(retrieval.best_field(found, 4, "grouped"), "need").drop("need")
+
+
 @query(
     "bm25_multi_field",
     SEARCH + "SELECT query_id, restaurant_id, "
