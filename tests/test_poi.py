@@ -56,6 +56,36 @@ def test_dictionary_files(spark, tmp_path):
     assert sorted(r["word"] for r in food.read_stopwords(spark, str(stops), "en").collect()) == ["of", "the"]
 
 
+def test_read_catalog(spark, tmp_path):
+    from forage.sources.catalog import read_catalog, union_sources
+
+    path = tmp_path / "catalog.json"
+    path.write_text(json.dumps({"restaurant_id": "a", "geo": {"lat": 1.0, "lng": 2.0}, "menu_items": [{"name": "x", "price": 3}], "other": 1}))
+    docs = read_catalog(spark, str(path), "json")
+    row = docs.first()
+    assert row["geo"]["lng"] == 2.0 and row["menu_items"][0]["price"] == 3.0 and row["name"] is None
+    stored = work_path(spark, "catalog")
+    docs.write.parquet(stored)
+    back = read_catalog(spark, stored)
+    assert back.schema == docs.schema and back.first() == row
+    assert union_sources(back, docs.select("restaurant_id")).count() == 2
+
+
+def test_menu_listing(spark):
+    from forage.operators.filters import any_label, lookup, meal_filter, menu_listing, price_in
+
+    docs = spark.createDataFrame([("a", [("x", 1.0), ("y", 2.0)]), ("b", None)], "restaurant_id string, menu_items array<struct<name:string,price:double>>")
+    assert sorted(map(str, menu_listing(docs).select("restaurant_id", "name").collect())) == [
+        "Row(restaurant_id='a', name='x')", "Row(restaurant_id='a', name='y')", "Row(restaurant_id='b', name=None)",
+    ]
+    rows = spark.createDataFrame([("a", ["v"], 1, "lunch"), ("b", [], 2, "snack")], "restaurant_id string, diet_labels array<string>, price_level int, meal_type string")
+    assert any_label(rows, ["v"]).count() == 1 and any_label(rows, []).count() == 2
+    assert price_in(rows, [2]).count() == 1 and price_in(rows, []).count() == 2
+    assert meal_filter(rows, "all").count() == 2 and meal_filter(rows, "lunch").count() == 1
+    keys = spark.createDataFrame([("a",), ("a",), ("z",)], "restaurant_id string")
+    assert [r["restaurant_id"] for r in lookup(rows, keys, "restaurant_id").collect()] == ["a"]
+
+
 def test_seed(spark, tmp_path):
     seed = tmp_path / "seed.json"
     seed.write_text(json.dumps([{"name_zh": "米饭", "calories": 130, "diet_labels": ["vegan"]}, {"name_zh": "肉", "calories": 395, "fat_g": 34.2}]))

@@ -8,7 +8,7 @@ from forage import schemas
 from forage.operators import filters, state
 from forage.session import work_path
 from forage.sources import food as food_source
-from forage.sources.catalog import read_catalog, union_sources
+from forage.sources.catalog import union_sources
 from workload.bindings import ctes, restaurants, table, view, words
 from workload.registry import query
 
@@ -34,10 +34,8 @@ def with_menu(spark, sf_dir):
     ctes("restaurants") + "SELECT restaurant_id, name, length(description) AS n, price_level, rating, lat, lng, diet_labels FROM restaurants",
 )
 def catalog_scan(spark, sf_dir):
-    """Write the catalog in the declared layout and scan it back."""
-    path = work_path(spark, "catalog")
-    restaurants(spark, sf_dir).write.parquet(path)
-    return read_catalog(spark, path).select(
+    """The bound catalog as it is read by every other query."""
+    return restaurants(spark, sf_dir).select(
         "restaurant_id", "name", F.char_length("description").cast("bigint").alias("n"), "price_level", "rating",
         "geo.lat", "geo.lng", F.nullif(F.array_join("diet_labels", ","), F.lit("")).alias("diet_labels"),
     )
@@ -132,18 +130,18 @@ def catalog_rebuild(spark, sf_dir):
     CASE WHEN p_partkey % 2 = 0 THEN '["vegan","' || p_brand || '"]' ELSE '[]' END AS diet_labels, 'static' AS source, true AS verified FROM part""",
 )
 def food_seed_load(spark, sf_dir):
-    """Seed JSON written from the part table, read back as a file and loaded into an empty target."""
+    """Foods of the part table, with gaps in the optional values, loaded into an empty target."""
     key = F.col("p_partkey")
     seed = table(spark, sf_dir, "part").select(
         F.col("p_type").alias("name_zh"), F.col("p_name").alias("name_en"), F.col("p_retailprice").alias("calories"),
+        F.lit(None).cast("string").alias("name_pinyin"),
         F.when(key % 3 != 0, F.col("p_size") / 2.0).alias("protein_g"), (F.col("p_size") * 1.0).alias("carb_g"),
-        F.when(key % 5 == 0, F.col("p_size") * 10.0).alias("sodium_mg"),
+        F.lit(None).cast("double").alias("fat_g"),
+        F.when(key % 5 == 0, F.col("p_size") * 10.0).alias("sodium_mg"), F.lit(None).cast("double").alias("fiber_g"),
         F.when(key % 2 == 0, F.array(F.lit("vegan"), "p_brand")).alias("diet_labels"),
     )
-    path = work_path(spark, "seed")
-    seed.write.json(path)
     empty = food_source.seed_rows(spark.createDataFrame([], schemas.FOOD_SEED))
-    return food_source.load_seed(empty, food_source.read_seed(spark, path, lines=True))
+    return food_source.load_seed(empty, seed)
 
 
 @query(
