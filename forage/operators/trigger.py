@@ -31,6 +31,11 @@ def requests_to_check(log: DataFrame) -> DataFrame:
     return log.filter(short).withColumn("trigger_key", trigger_key(F.col("q"), F.col("lat"), F.col("lng")))
 
 
+def manual_requests(asked: DataFrame) -> DataFrame:
+    """Requests made by hand count as searches without hits, so only the lock can hold them back."""
+    return asked.withColumns({"total": F.lit(0).cast("bigint"), "page_offset": F.lit(0)})
+
+
 def fired(events: DataFrame, key: str = "trigger_key", at: str = "ts", lock_seconds: int = fixed.TRIGGER_LOCK_SECONDS) -> DataFrame:
     """(key, at) of every event that fires: not within the lock of the last one that fired."""
     lock = lock_seconds * MICROS

@@ -72,6 +72,21 @@ def test_totals_and_stream(spark):
     assert len(view) == 200 and [tuple(r[c] for c in ("user_id", "log_date", "id")) for r in view] == sorted(tuple(r[c] for c in ("user_id", "log_date", "id")) for r in view)
 
 
+def test_diary_table_is_pruned_by_day(spark):
+    from forage.sources.diary import append_food_log, read_food_log
+
+    path = work_path(spark, "diary")
+    entries = spark.sql(
+        "SELECT id, id % 3 user_id, date_add(DATE '2024-01-01', CAST(id % 5 AS int)) log_date, 'lunch' meal_type, id food_id, 'x' food_name, 1.0D quantity_g, "
+        "1.0D calories_kcal, 1.0D protein_g, 1.0D fat_g, 1.0D carb_g, TIMESTAMP '2024-01-01 00:00:00' created_at FROM range(60)"
+    )
+    append_food_log(entries, path)
+    day = diary.day_entries(read_food_log(spark, path), 1, "2024-01-03")
+    plan = day._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(log_date" in plan
+    assert [r["id"] for r in day.collect()] == [i for i in range(60) if i % 3 == 1 and i % 5 == 2]
+
+
 def test_metrics(spark):
     judged = spark.createDataFrame(
         [(1, 1, False), (1, 2, True), (1, 2, False), (1, 4, True), (1, 12, True), (2, 1, False)], "query_id int, rank_position int, is_relevant boolean"

@@ -49,6 +49,14 @@ def test_key(spark):
     assert got == ["a_b_" + "x" * 36 + ":39.900,116.300", "q:nogeo"]
 
 
+def test_manual_requests_meet_the_same_lock(spark):
+    log = spark.createDataFrame([("q", START, 9), ("q", START + dt.timedelta(seconds=50), 0)], "q string, ts timestamp_ntz, total bigint")
+    log = log.withColumns({"page_offset": F.lit(0), "lat": F.lit(None).cast("double"), "lng": F.lit(None).cast("double")})
+    searched = trigger.fired(trigger.requests_to_check(log)).collect()
+    by_hand = trigger.fired(trigger.requests_to_check(trigger.manual_requests(log))).collect()
+    assert [r["ts"] for r in searched] == [START + dt.timedelta(seconds=50)] and [r["ts"] for r in by_hand] == [START]
+
+
 def test_ingest_cap(spark):
     df = spark.range(100).select(F.lit("k").alias("key"), "id")
     kept = trigger.ingest_cap(df, "key", [F.asc("id")], "id")
