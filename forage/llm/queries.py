@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forage.llm import automaton
+from forage.llm import automaton, rule_forest, zstd_quality
 from forage.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,13 @@ FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN ids ON ids.doc_id = d.do
 @query("op10_decontaminate", DECONTAMINATION_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_zstd_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zstd_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_rule_forest")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_forest.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
