@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forage.llm import automaton, rule_forest, zstd_quality
+from forage.llm import automaton, pareto_mix, rule_forest, zstd_quality
 from forage.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,29 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_rule_forest")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_forest.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+MIX_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+            (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0 AS u FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS k FROM d GROUP BY source),
+ w AS (SELECT *, [5, 2, 1][(k - 1) % 3 + 1] AS weight, 3 * source_size AS most FROM s),
+ l AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(most) OVER o, 0) AS DOUBLE) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS DOUBLE) AS level
+       FROM w WINDOW o AS (ORDER BY CAST(most AS DOUBLE) / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ t AS (SELECT source, source_size, least(CAST(most AS DOUBLE), max(level) OVER () * weight) AS target FROM l),
+ c AS (SELECT d.source, length(bin(size)) AS class, CAST(sum(size) AS BIGINT) AS words FROM d WHERE size > 0 GROUP BY ALL),
+ cl AS (SELECT c.*, t.source_size, t.target, (t.target - coalesce(sum(3 * words) OVER o, 0)) / CAST(sum(class * words) OVER (PARTITION BY c.source) - coalesce(sum(class * words) OVER o, 0) AS DOUBLE) AS level
+        FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WINDOW o AS (PARTITION BY c.source ORDER BY class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ e AS (SELECT *, floor(CASE WHEN target >= 3 * source_size THEN 3e0 ELSE least(3e0, max(level) OVER (PARTITION BY source) * class) END * 1e9 + 0.5e0) / 1e9 AS expected FROM cl),
+ p AS (SELECT source, class, floor(expected) AS certain, expected - floor(expected) AS odds, target - sum(floor(expected) * words) OVER (PARTITION BY source) AS rest FROM e),
+ r AS (SELECT d.*, t.source_size, t.target, p.certain, p.rest, CASE WHEN odds > 0 THEN (u / (1 - u)) / (odds / (1 - odds)) END AS q
+       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN p ON d.source IS NOT DISTINCT FROM p.source AND length(bin(size)) = p.class AND size > 0),
+ x AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM r)
+SELECT doc_id, size, source_size, target,
+ CAST(size * (coalesce(certain, 0) + CASE WHEN q IS NOT NULL AND earlier + size / 2e0 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM x
+"""
+
+
+@query("op5_pareto_mix", MIX_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pareto_mix.digest(table(spark, sf_dir, "documents"))

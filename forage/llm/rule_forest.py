@@ -1,9 +1,9 @@
 """Quality rules: text statistics, fixed base rules and an isolation forest.
 
 Statistics of every whole text come from one scan.  Ratios of them are the
-coordinates in which random trees isolate documents: the shorter the mean path
-to a document, the more unusual it is.  The trees grow on a bounded sample of
-rows; the limit beyond which a document is refused comes from all labelled rows.
+coordinates in which random trees isolate documents from well rated ones: the
+shorter the mean path to a document, the more unusual it is.  The trees grow on
+bounded samples of rows; the limit beyond which a document is refused comes from all labelled rows.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from forage.session import cut
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_chars", "n_lines", "n_upper", "n_digits", "n_marks"]
-TREES, TREE_ROWS, DEPTH = 200, 256, 8
+TREES, TREE_ROWS, DEPTH = 100, 256, 10
 #: The bound of the sample that trees grow on.
 SAMPLE_ROWS = 20_000
 #: Share of well rated rows that the forest may refuse.
@@ -130,16 +130,16 @@ class Forest:
     rows: int
 
     @staticmethod
-    def grow(x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, depth: int = DEPTH, seed: int = 11) -> Forest:
+    def grow(x: np.ndarray, box: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, depth: int = DEPTH, seed: int = 11) -> Forest:
+        """Random cuts of the ``box`` (lowest and highest of each coordinate) until usual rows ``x`` are alone."""
         rng = np.random.default_rng(seed)
         size = 2 ** (depth + 1) - 1
         axis, at, path = np.full((trees, size), -1), np.zeros((trees, size)), np.zeros((trees, size))
         rows = min(rows, len(x))
         for t in range(trees):
-            todo = [(0, 0, x[rng.choice(len(x), rows, replace=False)])]
+            todo = [(0, 0, x[rng.choice(len(x), rows, replace=False)], box[0], box[1])]
             while todo:
-                node, level, part = todo.pop()
-                low, high = part.min(0), part.max(0)
+                node, level, part, low, high = todo.pop()
                 open_axes = np.flatnonzero(high > low)
                 if level == depth or len(part) < 2 or not len(open_axes):
                     path[t, node] = level + _expected_path(len(part))
@@ -147,8 +147,8 @@ class Forest:
                 a = axis[t, node] = rng.choice(open_axes)
                 cut_at = at[t, node] = rng.uniform(low[a], high[a])
                 below = part[:, a] < cut_at
-                todo += [(2 * node + 1, level + 1, part[below])] if below.any() else []
-                todo += [(2 * node + 2, level + 1, part[~below])] if not below.all() else []
+                middle = np.where(np.arange(len(low)) == a, cut_at, low), np.where(np.arange(len(low)) == a, cut_at, high)
+                todo += [(2 * node + 1, level + 1, part[below], low, middle[1]), (2 * node + 2, level + 1, part[~below], middle[0], high)]
         return Forest(axis, at, path, rows)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -169,10 +169,26 @@ def base_failed():
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def fit_forest(stats: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Forest | None:
-    """Grow trees on the rows with the smallest hashes among those that pass the base rules; none where there are no rows."""
-    rows = stats.filter(~base_failed()).orderBy(F.xxhash64("doc_id", *BASE)).limit(sample_rows).select(*BASE, *MORE).toPandas()
-    return Forest.grow(ratios({c: rows[c].to_numpy() for c in rows.columns})) if len(rows) > 1 else None
+def _coordinates(rows: DataFrame) -> np.ndarray:
+    found = rows.select(*BASE, *MORE).toPandas()
+    return ratios({c: found[c].to_numpy() for c in found.columns})
+
+
+def fit_forest(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Forest | None:
+    """Grow trees that isolate what is unlike well rated rows.
+
+    Junk is so frequent that it is no rare point of its own, so the trees cut
+    the space that all rows span, and a path ends where no well rated rows
+    remain.  Both samples are the rows with the smallest hashes among those
+    that pass the base rules.  Where fewer than two rows are rated, all rows
+    count as usual; without rows there is no forest.
+    """
+    order = F.xxhash64("doc_id", *BASE)
+    passed = stats.filter(~base_failed())
+    every = _coordinates(passed.orderBy(order).limit(sample_rows))
+    usual = _coordinates(passed.join(labels.filter("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi").orderBy(order).limit(sample_rows))
+    usual = usual if len(usual) > 1 else every
+    return Forest.grow(usual, np.stack([every.min(0), every.max(0)])) if len(every) and len(usual) > 1 else None
 
 
 def anomaly(stats: DataFrame, forest: Forest | None) -> DataFrame:
@@ -207,6 +223,6 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Without labelled rows only the base rules refuse documents.
     """
     stats = cut(statistics(docs.select("doc_id", "text")), "statistics")
-    scored = anomaly(stats, fit_forest(stats))
+    scored = anomaly(stats, fit_forest(stats, labels))
     limit = threshold(scored, labels)
     return scored.select("doc_id", *BASE, base_failed().alias("base_failed"), (~base_failed() & (F.col("anomaly") <= limit)).alias("kept"), "anomaly")
