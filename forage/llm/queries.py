@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forage.llm import automaton, pareto_mix, rule_forest, zstd_quality
+from forage.llm import automaton, novelty, pareto_mix, rule_forest, zstd_quality
 from forage.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ SELECT doc_id, size, source_size, target,
 @query("op5_pareto_mix", MIX_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op9_secret_novelty")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return novelty.report(table(spark, sf_dir, "documents"))
