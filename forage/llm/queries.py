@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forage.llm import automaton, novelty, pareto_mix, rule_forest, zstd_quality
+from forage.llm import automaton, novelty, pareto_mix, rule_forest, warc, zstd_quality
 from forage.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_secret_novelty")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return novelty.report(table(spark, sf_dir, "documents"))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS s FROM pages),
+ f AS (SELECT s, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY s)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, s AS payload_digest, CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN first_id < page_id THEN first_id END AS refers_to FROM p LEFT JOIN f USING (s)
+"""
+
+
+@query("op1_warc_normalise", WARC_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_pages(spark, table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
