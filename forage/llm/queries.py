@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forage.llm import automaton, novelty, pareto_mix, rule_forest, warc, zstd_quality
+from forage.llm import automaton, lang_crf, novelty, pareto_mix, rule_forest, warc, zstd_quality
 from forage.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, s AS payload_digest, CASE WH
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive_pages(spark, table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op2_language_crf")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_crf.identify(table(spark, sf_dir, "documents"))
