@@ -18,7 +18,7 @@ import json
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +30,9 @@ from forage.session import cut, work_path
 #: Bytes of records after which a new archive begins.
 ARCHIVE_BYTES = 64 << 20
 #: Bytes of an archive whose records one task reads.
-READ_BYTES = 16 << 20
+READ_BYTES = 8 << 20
+#: Tasks of one step at most; each then takes several archives or stretches.
+MOST_TASKS = 100_000
 CHUNK = 1 << 18
 LEVEL = 6
 #: Payloads of at least so many bytes are stored once.
@@ -86,8 +88,15 @@ def planned(pages: DataFrame) -> DataFrame:
     return joined.select("page_id", "url", "payload", "digest", F.when(again, F.col("first_id")).alias("refers_to"))
 
 
-def _text(value) -> str | None:
-    return None if value is None or pd.isna(value) else str(value)
+def _rows(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    kinds = {T.StringType(): pa.string(), T.LongType(): pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[f.dataType]) for i, f in enumerate(schema.fields)], schema.names)
+
+
+def _values(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """Rows of a batch, one at a time."""
+    for values in zip(*(batch.column(n) for n in names)):
+        yield tuple(v.as_py() for v in values)
 
 
 class _Archive:
@@ -125,26 +134,26 @@ def write(plan: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> D
     """Write the planned pages to archives of one gzip stream each; returns the table of archives."""
     ids = plan.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", "digest", F.col("refers_to").cast("string").alias("refers_to"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _create(folder)
         context, archive, n = TaskContext.get(), None, 0
-        for frame in frames:
-            for page_id, url, payload, digest, refers_to in frame.itertuples(index=False):
+        for batch in batches:
+            for page_id, url, payload, digest, refers_to in _values(batch, "page_id", "url", "payload", "digest", "refers_to"):
                 if archive is None:
                     archive, n = _Archive(folder, f"crawl-{context.partitionId():06d}-{context.taskAttemptId()}-{n:04d}.warc.gz"), n + 1
-                archive.put(record(_text(page_id) or "", _text(url), payload, digest, _text(refers_to)))
+                archive.put(record(page_id or "", url, payload, digest, refers_to))
                 archive.records += 1
                 if archive.bytes >= archive_bytes:
                     archive.end_member()
                     archive.close()
-                    yield pd.DataFrame([(archive.path, None, archive.records, archive.written)], columns=MANIFEST.names)
+                    yield _rows([(archive.path, None, archive.records, archive.written)], MANIFEST)
                     archive = None
         if archive is not None:
             archive.end_member()
             archive.close()
-            yield pd.DataFrame([(archive.path, None, archive.records, archive.written)], columns=MANIFEST.names)
+            yield _rows([(archive.path, None, archive.records, archive.written)], MANIFEST)
 
-    return cut(ids.mapInPandas(run, MANIFEST), "archives")
+    return cut(ids.mapInArrow(run, MANIFEST), "archives")
 
 
 def inflate(path: str) -> Iterator[bytes]:
@@ -205,13 +214,13 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
     A gzip stream can only be read from its start, so one task takes an
     archive; it holds no more than a piece of it at a time.
     """
-    names = archives.select("archive").repartition("archive")
+    names = archives.select("archive").repartition(min(max(1, archives.count()), MOST_TASKS), "archive")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _create(folder)
         attempt = TaskContext.get().taskAttemptId()
-        for frame in frames:
-            for path in frame["archive"]:
+        for batch in batches:
+            for (path,) in _values(batch, "archive"):
                 stem = f"{path.rsplit('/', 1)[-1].removesuffix('.warc.gz')}-{attempt}"
                 out = _Archive(folder, f"{stem}.warc.gz")
                 system, place = _file_system(f"{folder.rstrip('/')}/{stem}.idx")
@@ -227,26 +236,26 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                         entry = {"offset": offset, "length": out.written - offset, "id": fields.get("warc-record-id"), "type": fields.get("warc-type"), "url": fields.get("warc-target-uri"), "digest": fields.get("warc-payload-digest")}
                         index.write(json.dumps(entry).encode() + b"\n")
                 out.close()
-                yield pd.DataFrame([(out.path, f"{folder.rstrip('/')}/{stem}.idx", out.records, out.written)], columns=MANIFEST.names)
+                yield _rows([(out.path, f"{folder.rstrip('/')}/{stem}.idx", out.records, out.written)], MANIFEST)
 
-    return cut(names.mapInPandas(run, MANIFEST), "normalised")
+    return cut(names.mapInArrow(run, MANIFEST), "normalised")
 
 
 def entries(archives: DataFrame) -> DataFrame:
     """archive, offset and length of every record, from the sidecar indexes."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for archive, index in zip(frame["archive"], frame["index"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive, index in _values(batch, "archive", "index"):
                 system, place = _file_system(index)
                 with system.open_input_stream(place, compression=None) as source:
                     held = b""
                     while data := source.read(CHUNK):
                         lines, _, held = (held + data).rpartition(b"\n")
                         rows = [json.loads(line) for line in lines.split(b"\n") if line]
-                        yield pd.DataFrame({"archive": [archive] * len(rows), "offset": [r["offset"] for r in rows], "length": [r["length"] for r in rows]}, columns=ENTRY.names)
+                        yield _rows([(archive, r["offset"], r["length"]) for r in rows], ENTRY)
 
-    return archives.select("archive", "index").mapInPandas(run, ENTRY)
+    return archives.select("archive", "index").mapInArrow(run, ENTRY)
 
 
 def parse(member: bytes, archive: str, offset: int) -> tuple:
@@ -276,22 +285,23 @@ def parse(member: bytes, archive: str, offset: int) -> tuple:
 def read(archives: DataFrame, read_bytes: int = READ_BYTES) -> DataFrame:
     """Records of normalised archives, fetched by offset and checked against their digests."""
     places = entries(archives).withColumn("stretch", F.floor(F.col("offset") / read_bytes))
-    places = places.repartition("archive", "stretch").sortWithinPartitions("archive", "offset")
+    tasks = -(-(archives.agg(F.sum("bytes")).first()[0] or 1) // read_bytes)
+    places = places.repartition(min(max(tasks, 2 * archives.sparkSession.sparkContext.defaultParallelism), MOST_TASKS), "archive", "stretch").sortWithinPartitions("archive", "offset")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, source = None, None
-        for frame in frames:
+        for batch in batches:
             rows = []
-            for archive, offset, length in zip(frame["archive"], frame["offset"], frame["length"]):
+            for archive, offset, length in _values(batch, "archive", "offset", "length"):
                 if archive != path:
                     if source is not None:
                         source.close()
                     system, place = _file_system(archive)
                     path, source = archive, system.open_input_file(place)
-                rows.append(parse(source.read_at(int(length), int(offset)), archive, int(offset)))
-            yield pd.DataFrame(rows, columns=RECORD.names)
+                rows.append(parse(source.read_at(length, offset), archive, offset))
+            yield _rows(rows, RECORD)
 
-    return places.mapInPandas(run, RECORD)
+    return places.mapInArrow(run, RECORD)
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
