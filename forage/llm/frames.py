@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -17,3 +18,18 @@ def extended(df: DataFrame, function, **added: T.DataType) -> DataFrame:
     """
     df = df.drop(*added)
     return df.mapInArrow(function, T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in added.items())]))
+
+
+def chance(*key: str) -> Column:
+    """A number in 0 to 1 that a row's key always gets."""
+    return (F.shiftrightunsigned(F.xxhash64(*key, F.lit("chance")), 11)) / float(2**53)
+
+
+def sampled(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """About ``rows`` rows, those whose key's number is low enough; all rows where there are fewer.
+
+    The share is known before the rows are read, so no task has to send more
+    than it contributes.  The size stays below twice ``rows`` unless keys repeat.
+    """
+    total = df.count()
+    return df if total <= rows else df.filter(chance(*key) < rows / total).limit(2 * rows)
