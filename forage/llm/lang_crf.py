@@ -18,18 +18,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forage.llm import scan
-from forage.llm.frames import extended
+from forage.llm.frames import chance, extended
 from forage.llm.zstd_quality import is_held_out
 
 BITS = 16
 LEXICON = 8192
 BLOCK = 32
-#: The bound of the training sample: rows of each language, those with the smallest hash of doc_id, of whole texts up to so many bytes.
+#: The bound of the training sample: about so many rows of each language, chosen by a hash of doc_id, whole texts of up to so many bytes.
 ROWS_PER_LANGUAGE, MAX_TRAINING_BYTES = 300, 1 << 16
 EPOCHS, RATE, DECAY = 3, 0.25, 1e-5
 #: Training sequences change language after about so many words, so that transitions are learned.
@@ -239,11 +239,12 @@ def train(texts: list[str], languages: list[str], seed: int = 5) -> Model | None
 
 
 def fit(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Model | None:
-    """Learn from at most ``rows`` texts of each language that are not held out; none where no language is given."""
+    """Learn from about ``rows`` texts of each language that are not held out; none where no language is given."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     known = known.filter(F.octet_length("text") <= MAX_TRAINING_BYTES)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    sample = known.select("doc_id", "lang", "text").withColumn("place", place).filter(F.col("place") <= rows).orderBy("lang", "place").collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    chosen = known.join(counts, "lang").filter(chance("doc_id") < rows / F.col("n"))
+    sample = sorted(chosen.select("lang", "doc_id", "text").collect())
     return train([r.text for r in sample], [r.lang for r in sample])
 
 

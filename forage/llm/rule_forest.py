@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forage.llm import scan
-from forage.llm.frames import extended
+from forage.llm.frames import extended, sampled
 from forage.session import cut
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -171,6 +171,7 @@ def base_failed():
 
 def _coordinates(rows: DataFrame) -> np.ndarray:
     found = rows.select(*BASE, *MORE).toPandas()
+    found = found.sort_values(list(found.columns))
     return ratios({c: found[c].to_numpy() for c in found.columns})
 
 
@@ -179,14 +180,13 @@ def fit_forest(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
 
     Junk is so frequent that it is no rare point of its own, so the trees cut
     the space that all rows span, and a path ends where no well rated rows
-    remain.  Both samples are the rows with the smallest hashes among those
-    that pass the base rules.  Where fewer than two rows are rated, all rows
+    remain.  Both samples are chosen by hash among the rows that
+    pass the base rules.  Where fewer than two rows are rated, all rows
     count as usual; without rows there is no forest.
     """
-    order = F.xxhash64("doc_id", *BASE)
     passed = stats.filter(~base_failed())
-    every = _coordinates(passed.orderBy(order).limit(sample_rows))
-    usual = _coordinates(passed.join(labels.filter("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi").orderBy(order).limit(sample_rows))
+    every = _coordinates(sampled(passed, sample_rows, "doc_id", *BASE))
+    usual = _coordinates(sampled(passed.join(labels.filter("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi"), sample_rows, "doc_id", *BASE))
     usual = usual if len(usual) > 1 else every
     return Forest.grow(usual, np.stack([every.min(0), every.max(0)])) if len(every) and len(usual) > 1 else None
 

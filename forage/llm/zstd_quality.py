@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forage.llm import scan
-from forage.llm.frames import extended
+from forage.llm.frames import chance, extended
 
 BLOCK = 1024
 DICTIONARY_BYTES = 112 << 10
 LEVEL = 3
-#: The bound of the labelled sample: rows of each class, those with the smallest hash of doc_id.
+#: The bound of the labelled sample: about so many rows of each class, chosen by a hash of doc_id.
 ROWS_PER_CLASS = 2000
 #: A longer text is no training row, so the sample's bytes are bounded too.
 MAX_TRAINING_BYTES = 1 << 20
@@ -99,7 +99,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> Model:
-    """Learn from at most ``rows`` labelled texts of each class that are not held out.
+    """Learn from about ``rows`` labelled texts of each class that are not held out.
 
     Half of them make the dictionaries, the other half the calibration; class
     shares come from all labels that may be learnt from.  Labels other than 0
@@ -109,11 +109,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> Model
     counts = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     model = Model(prior=counts.get(1, 0) / total if total else 0.5)
-    order = F.xxhash64("doc_id")
-    chosen = known.filter("quality = 0").orderBy(order).limit(rows).union(known.filter("quality = 1").orderBy(order).limit(rows))
+    share = F.when(F.col("quality") == 1, rows / max(1, counts.get(1, 0))).otherwise(rows / max(1, counts.get(0, 0)))
+    chosen = known.filter(chance("doc_id") < share).limit(4 * rows)
     eligible = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.octet_length("text") <= MAX_TRAINING_BYTES))
     sample = eligible.join(F.broadcast(chosen), "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)))
-    sample = sample.orderBy(F.xxhash64("doc_id", "text")).limit(2 * rows).collect()
+    sample = sorted(sample.limit(8 * rows).collect(), key=lambda r: (r.doc_id, r.text))
     texts = {(q, h): [r.text.encode() for r in sample if r.quality == q and r.half == h] for q in (0, 1) for h in (0, 1)}
     if not all(texts.values()):
         return model
