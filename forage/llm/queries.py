@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forage.llm import automaton, jaccard_join, lang_crf, novelty, pareto_mix, rule_forest, warc, zstd_quality
+from forage.llm import automaton, jaccard_join, lang_crf, novelty, pareto_mix, rule_forest, warc, wrapper, zstd_quality
 from forage.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,8 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 @query("op6_jaccard_join", JACCARD_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op8_wrapper_extract")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.digest(table(spark, sf_dir, "pages"))
