@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forage.llm import automaton, jaccard_join, lang_crf, novelty, pareto_mix, rule_forest, warc, wrapper, zstd_quality
+from forage.llm import automaton, compact_windows, jaccard_join, lang_crf, novelty, pareto_mix, rule_forest, warc, wrapper, zstd_quality
 from forage.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_wrapper_extract")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.digest(table(spark, sf_dir, "pages"))
+
+
+@query("op7_compact_windows")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.passages(table(spark, sf_dir, "documents"))
