@@ -353,6 +353,13 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id; rows without a doc_id stay."""
+    """One document of each component: the one with the smallest doc_id.
+
+    Rows that repeat a kept doc_id and its text count once.  Rows without a
+    doc_id stay, because nothing tells them apart.
+    """
     kept = join(docs.select("doc_id", "text")).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.filter("doc_id is null").unionByName(docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    found = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
+    again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
+    found = found.withColumn("_again", again).filter("_again = 1").drop("_again")
+    return docs.filter("doc_id is null").unionByName(found)
