@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forage.llm import scan
-from forage.llm.frames import extended
+from forage.llm.frames import extended, set_aside
 from forage.session import cut
 
 WIDTH = 10
@@ -244,9 +244,11 @@ def cut_spans(hits: pa.Array, column: pa.Array, min_span: int) -> tuple[list[str
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_span: int = MIN_SPAN, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """Cut hit spans of at least ``min_span`` words out of texts; drop texts that lose more than ``max_coverage``.
 
-    Texts without such spans come back unchanged, null ones too.
+    Texts without such spans come back unchanged, null ones too, and so does
+    every other column, whatever its name.
     """
-    found = match(docs, items, width)
+    given, names = set_aside(docs, "hits", "item_ids", "n_words", "_text", "_lost")
+    found = match(given, items, width)
 
     def run(batches):
         for batch in batches:
@@ -260,5 +262,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_spa
     columns = {"text": text}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(changed, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return kept.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*[columns.get(c, F.col(f"`{n}`")).alias(c) for c, n in names.items()])
 

@@ -33,3 +33,10 @@ def sampled(df: DataFrame, rows: int, *key: str) -> DataFrame:
     """
     total = df.count()
     return df if total <= rows else df.filter(chance(*key) < rows / total).limit(2 * rows)
+
+
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """Rename columns that have one of ``names``, in any case; returns the new names of all columns by their old ones."""
+    taken = {n.lower() for n in names}
+    renamed = {c: f"_kept_{k}_{c}" if c.lower() in taken else c for k, c in enumerate(df.columns)}
+    return df.withColumnsRenamed({c: n for c, n in renamed.items() if c != n}), renamed

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forage.llm import scan
-from forage.llm.frames import chance, extended
+from forage.llm.frames import chance, extended, set_aside
 
 BLOCK = 1024
 DICTIONARY_BYTES = 112 << 10
@@ -153,5 +153,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents whose predicted label is 1, with their own columns."""
-    scored = score(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("_row", "text"), fit(docs, labels))
-    return scored.filter("score >= 0.5").select("_row.*")
+    given, names = set_aside(docs, "score")
+    kept = score(given, fit(docs, labels)).filter("score >= 0.5")
+    return kept.select(*[F.col(f"`{n}`").alias(c) for c, n in names.items()])
