@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,3 +42,28 @@ def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
     taken = {n.lower() for n in names}
     renamed = {c: f"_kept_{k}_{c}" if c.lower() in taken else c for k, c in enumerate(df.columns)}
     return df.withColumnsRenamed({c: n for c, n in renamed.items() if c != n}), renamed
+
+
+#: Cells of the table that says which rows may be wanted; its size is fixed, however many are.
+CELLS = 1 << 20
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and text of the wanted documents.
+
+    Most other texts are left out where they are read, by a table of hashed
+    ids; the join decides.
+    """
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).cast("int")
+    wanted = wanted.select("doc_id").distinct()
+    maybe = np.zeros(CELLS, dtype=bool)
+    maybe[wanted.select(cell.alias("cell")).distinct().toPandas()["cell"].to_numpy(dtype=np.int64)] = True
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(maybe))
+
+    def run(batches):
+        known = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(known[batch.column("_cell").to_numpy()])).select(["doc_id", "text"])
+
+    rows = docs.select("doc_id", "text", cell.alias("_cell"))
+    return rows.mapInArrow(run, T.StructType(rows.schema.fields[:2])).join(wanted, "doc_id")

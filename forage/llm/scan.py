@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
@@ -162,3 +162,13 @@ def runs(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def with_columns(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *added.values()], [*batch.schema.names, *added])
+
+
+def windows_hashes(values: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` values, whatever the width, from one running hash."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    run = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(mix(values) * _power(_BASE, "up", len(values)), out=run[1:])
+    return mix((run[width:] - run[:-width]) * _power(_INVERSE, "down", len(values) + 1)[:n])

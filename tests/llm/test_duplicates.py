@@ -131,7 +131,8 @@ def test_every_repeated_passage_is_found_and_none_other(documents, docs, prose):
     docs = docs + [(600 + k, f"{prose(700 + k, 90)} {edited(rng, near, 0.02)} {prose(800 + k, 90)}") for k in range(6)]
     docs = [d for d in docs if d[0] not in (None, 3)]
     text = dict(docs)
-    rows = compact_windows.passages(documents(docs, CLASHING)).collect()
+    again = [(100, prose(4321, 120)), (None, None)]
+    rows = [r for r in compact_windows.passages(documents(docs + again, CLASHING)).collect() if r.doc_id is not None]
     hit = {r.doc_id for r in rows}
     own, repeated = {}, set()
     for k, t in docs:
