@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    A session whose tasks all run on this machine may leave it unset and gets a
+    folder of its own; on a cluster that is an error, because executors would
+    not see each other's files.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="run-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -34,17 +41,3 @@ def cut(df: DataFrame, purpose: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Even out rows before heavy per-row text work when the input has too few splits to keep the cores busy.
-
-    Only a small or unsplittable input has fewer splits than half the cores, so
-    a large table never takes this extra shuffle.  A plan with a shuffle of its
-    own is left alone: it is sized at run time, and asking for its partitions
-    here would run it.
-    """
-    if df.isStreaming or df._jdf.queryExecution().executedPlan().nodeName().startswith("AdaptiveSparkPlan"):
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(cores) if splits * 2 <= cores else df

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from forage import schemas
 from forage.functions import fixed, labels
-from forage.session import spread
 
 
 def read_catalog(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
@@ -41,7 +40,7 @@ def label_catalog(documents: DataFrame, rules: dict[str, list[tuple[str, str]]]
     tags = F.col("tags") if "tags" in columns else none
     items = F.transform("menu_items", lambda m: m["name"]) if "menu_items" in columns else none
     text = labels.labelling_text(F.col("name"), F.col("description"), F.col("cuisine_type"), tags, F.coalesce(items, none))
-    read = spread(documents).withColumn("_text", F.lower(text)).withColumn("_cjk", labels.has_cjk(F.col("_text")))
+    read = documents.withColumn("_text", F.lower(text)).withColumn("_cjk", labels.has_cjk(F.col("_text")))
     inferred = read.withColumns(
         {f"_{kind}": labels.lowered_labels(F.col("_text"), F.col("_cjk"), rules[kind]) for kind in rules}
     )
