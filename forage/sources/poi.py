@@ -31,8 +31,7 @@ def normalize_features(features: DataFrame) -> DataFrame:
     tags = F.col("tags")
     tag = lambda key: poi.tag(tags, key)
     name = poi.filled(tag("name"), tag("name:zh"), tag("name:en"))
-    centred = F.col("center").isNotNull()
-    place = lambda inner, own: F.coalesce(F.when(centred, F.col(inner)).otherwise(F.col(own)), F.lit(0.0))
+    place = lambda part: F.coalesce(place_of(features, part), F.lit(0.0))
     blank = F.lit("")
     address = F.concat_ws(" ", *[F.nullif(tag(f"addr:{part}"), blank) for part in ("street", "housenumber", "city")])
     return features.withColumn("_name", name).filter(F.col("_name").isNotNull()).select(
@@ -45,7 +44,7 @@ def normalize_features(features: DataFrame) -> DataFrame:
         poi.price_tag(tags).alias("price_level"),
         F.lit(None).cast("double").alias("rating"),
         F.lit(None).cast("int").alias("rating_count"),
-        F.struct(place("center.lat", "lat").alias("lat"), place("center.lon", "lon").alias("lng")).alias("geo"),
+        F.struct(place("lat").alias("lat"), place("lon").alias("lng")).alias("geo"),
         poi.diet_labels(tag("cuisine"), tags).alias("diet_labels"),
         _none().alias("allergens"),
         _none().alias("allergen_free"),
@@ -99,6 +98,12 @@ AROUND_KINDS = {"restaurant": ("node", "way"), "cafe": ("node",), "fast_food": (
 BOX_KINDS = {"restaurant": ("node", "way"), "cafe": ("node",)}
 
 
+def place_of(features: DataFrame, part: str) -> Column:
+    """``lat`` or ``lon`` of an element: ways and relations come with a centre, nodes with a place of their own."""
+    own = F.col(part)
+    return F.coalesce(F.col(f"center.{part}"), own) if "center" in features.columns else own
+
+
 def _of_kind(kinds: dict[str, tuple[str, ...]], amenity: Column) -> Column:
     wanted = F.lit(False)
     for name, types in kinds.items():
@@ -113,12 +118,13 @@ def _named_like(features: DataFrame, keyword: str | None) -> DataFrame:
 def features_around(features: DataFrame, lat: float, lng: float, radius_m: int = 5000, keyword: str | None = None) -> DataFrame:
     """Eating places within a radius, optionally with a name pattern."""
     kept = features.filter(_of_kind(AROUND_KINDS, poi.tag(F.col("tags"), "amenity")))
-    return radius_filter(_named_like(kept, keyword), lat, lng, radius_m / 1000.0, "lat", "lon")
+    placed = _named_like(kept, keyword).withColumns({"_lat": place_of(features, "lat"), "_lon": place_of(features, "lon")})
+    return radius_filter(placed, lat, lng, radius_m / 1000.0, "_lat", "_lon").drop("_lat", "_lon")
 
 
 def features_in_box(features: DataFrame, box: tuple[float, float, float, float], keyword: str | None = None) -> DataFrame:
     south, west, north, east = box
-    inside = F.col("lat").between(south, north) & F.col("lon").between(west, east)
+    inside = place_of(features, "lat").between(south, north) & place_of(features, "lon").between(west, east)
     kept = features.filter(inside & _of_kind(BOX_KINDS, poi.tag(F.col("tags"), "amenity")))
     return _named_like(kept, keyword)
 
@@ -139,7 +145,7 @@ def in_cities(features: DataFrame, requests: DataFrame) -> DataFrame:
         F.when(F.lower("city").isin(list(fixed.CITY_BOXES)), F.lower("city")).otherwise(F.lit(fixed.DEFAULT_CITY)),
     ).distinct()
     inside = [
-        F.when(F.col("lat").between(s, n) & F.col("lon").between(w, e), F.lit(city))
+        F.when(place_of(features, "lat").between(s, n) & place_of(features, "lon").between(w, e), F.lit(city))
         for city, (s, w, n, e) in fixed.CITY_BOXES.items()
     ]
     kept = features.filter(_of_kind(BOX_KINDS, poi.tag(F.col("tags"), "amenity")))

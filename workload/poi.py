@@ -28,7 +28,7 @@ def pois(spark, sf_dir, **streams):
 
 
 def features(spark, sf_dir):
-    """Map features with their tag map."""
+    """Map features with their tag map; nodes have a place of their own, ways only a centre."""
     rows = view(spark, sf_dir, "poi_osm")
     tags = {
         "amenity": "tag_amenity", "name": "tag_name", "name:zh": "tag_name_zh", "cuisine": "tag_cuisine",
@@ -40,13 +40,15 @@ def features(spark, sf_dir):
         lambda e: e["value"].isNotNull(),
     )
     return rows.select(
-        "type", "id", "lat", "lon",
+        "type", "id", *[F.when(F.col("type") != "way", F.col(c)).alias(c) for c in ("lat", "lon")],
         F.when(F.col("type") == "way", F.struct((F.col("lat") + 0.001).alias("lat"), "lon")).alias("center"),
         F.map_from_entries(entries).alias("tags"),
     )
 
 
 OSM = ctes("poi_osm")
+# ways are placed by their centre, a little north of the bound place
+_OSM_LAT = "CASE WHEN type = 'way' THEN lat + 0.001e0 ELSE lat END"
 MAP = ctes("poi_map")
 
 _CUISINE = (
@@ -64,7 +66,7 @@ _DIET = """list_filter([CASE WHEN contains(coalesce(tag_cuisine, ''), 'vegan') T
     "osm_normalize",
     OSM + f"""SELECT concat('osm_', type, '_', CAST(id AS VARCHAR)) AS restaurant_id, coalesce(tag_name, tag_name_zh) AS name, {_CUISINE} AS cuisine_type,
     coalesce(tag_street, '') AS address, CASE WHEN tag_price_level = '2' THEN 2 END AS price_level,
-    CASE WHEN type = 'way' THEN lat + 0.001e0 ELSE lat END AS lat, lon AS lng, array_to_string(list_sort({_DIET}), ',') AS diet_labels, 'osm' AS source
+    {_OSM_LAT} AS lat, lon AS lng, array_to_string(list_sort({_DIET}), ',') AS diet_labels, 'osm' AS source
     FROM poi_osm WHERE coalesce(tag_name, tag_name_zh) IS NOT NULL""",
 )
 def osm_normalize(spark, sf_dir):
@@ -129,13 +131,13 @@ _KIND3 = "(tag_amenity = 'restaurant' OR (tag_amenity = 'cafe' AND type = 'node'
 
 @query(
     "poi_around",
-    OSM + f"SELECT type, id FROM poi_osm WHERE {_KIND4} AND {sql.haversine('39.95e0', '116.4e0', 'lat', 'lon')} <= 20e0 AND regexp_matches(tag_name, 'supplier#0+[0-9]*[1-7]$', 'i')",
+    OSM + f"SELECT type, id FROM poi_osm WHERE {_KIND4} AND {sql.haversine('39.95e0', '116.4e0', _OSM_LAT, 'lon')} <= 20e0 AND regexp_matches(tag_name, 'supplier#0+[0-9]*[1-7]$', 'i')",
 )
 def poi_around(spark, sf_dir):
     return poi.features_around(features(spark, sf_dir), 39.95, 116.4, 20_000, "supplier#0+[0-9]*[1-7]$").select("type", "id")
 
 
-@query("poi_bbox", OSM + f"SELECT type, id FROM poi_osm WHERE {_KIND3} AND lat BETWEEN 39.8e0 AND 40.1e0 AND lon BETWEEN 116.2e0 AND 116.6e0")
+@query("poi_bbox", OSM + f"SELECT type, id FROM poi_osm WHERE {_KIND3} AND {_OSM_LAT} BETWEEN 39.8e0 AND 40.1e0 AND lon BETWEEN 116.2e0 AND 116.6e0")
 def poi_bbox(spark, sf_dir):
     return poi.features_in_box(features(spark, sf_dir), (39.8, 116.2, 40.1, 116.6)).select("type", "id")
 
@@ -148,7 +150,7 @@ _BOXES = ", ".join(f"('{c}', {s}e0, {w}e0, {n}e0, {e}e0)" for c, (s, w, n, e) in
     OSM + f""", boxes AS (SELECT * FROM (VALUES {_BOXES}) b(resolved, s, w, n, e)),
     asked AS (SELECT DISTINCT c_mktsegment AS city, 'beijing' AS resolved FROM customer UNION SELECT 'Shanghai', 'shanghai' UNION SELECT 'BEIJING', 'beijing')
     SELECT city, resolved, type, id FROM poi_osm, asked JOIN boxes USING (resolved)
-    WHERE {_KIND3} AND lat BETWEEN s AND n AND lon BETWEEN w AND e""",
+    WHERE {_KIND3} AND {_OSM_LAT} BETWEEN s AND n AND lon BETWEEN w AND e""",
 )
 def poi_city(spark, sf_dir):
     from workload.bindings import table
