@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from forage.functions import fixed
 from forage.functions.display import fixed_point
+from forage.functions.text import squish
 
 AMOUNTS = ["calories_per_100g", "protein_g", "fat_g", "carb_g", "sodium_mg", "fiber_g"]
 _ESTIMATE = (
@@ -35,7 +36,7 @@ def json_labels(text: Column) -> Column:
 
 
 def estimate_key(food_name: Column) -> Column:
-    return F.lower(F.trim(food_name))
+    return F.lower(squish(food_name))
 
 
 def parse_estimate(response: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forage.functions import fixed
+from forage.functions.text import squish
 from forage.operators.topk import top_k
 from forage.session import cut
 
@@ -19,8 +20,8 @@ MICROS = 1_000_000
 
 
 def trigger_key(q: Column, lat: Column, lng: Column) -> Column:
-    """First 40 characters of the trimmed query with ``_`` for spaces, and the place to 3 decimals."""
-    words = F.replace(F.substring(F.trim(q), 1, 40), F.lit(" "), F.lit("_"))
+    """First 40 characters of the query without white space around it, with ``_`` for spaces, and the place to 3 decimals."""
+    words = F.replace(F.substring(squish(q), 1, 40), F.lit(" "), F.lit("_"))
     place = F.when(lat.isNotNull() & lng.isNotNull(), F.format_string("%.3f,%.3f", lat, lng)).otherwise("nogeo")
     return F.concat(words, F.lit(":"), place)
 
@@ -53,9 +54,10 @@ def fired(events: DataFrame, key: str = "trigger_key", at: str = "ts", lock_seco
     near = marks.unionByName(probes).select(
         "k", "slot", "t", "origin",
         F.max(event_time).over(in_slot.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-        # range frame: an event at exactly the end of the lock may fire
+        # backwards in time the frame only grows, so it is kept up in one pass;
+        # by range: an event at exactly the end of the lock may fire
         F.min(event_time)
-        .over(Window.partitionBy("k", "slot").orderBy("t").rangeBetween(Window.currentRow, Window.unboundedFollowing))
+        .over(Window.partitionBy("k", "slot").orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
         .alias("after"),
     )
     near = near.persist()

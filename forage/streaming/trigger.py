@@ -17,32 +17,33 @@ from forage.operators.trigger import MICROS, requests_to_check
 def stream_triggers(log: DataFrame, delay: str = "10 minutes", lock_seconds: int = fixed.TRIGGER_LOCK_SECONDS) -> DataFrame:
     """(trigger_key, ts) of each firing event.
 
-    State per key is the time of the last trigger; it is dropped when the
-    watermark shows that the lock is over.  Within a micro-batch, whose size the
-    source limits, a key's distinct times are taken in order.
+    Whether an event fires depends on earlier ones, so a key's times wait in its
+    state until the watermark has passed them and are then taken in event-time
+    order, whatever order they came in.  State per key is the last trigger and
+    the waiting times; it goes when the watermark shows that nothing waits and
+    the lock is over.  Events later than ``delay`` are not considered, and the
+    last ``delay`` of a stream waits for the events that close it.
     """
     lock = lock_seconds * MICROS
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = np.unique(np.concatenate([f["t"].to_numpy() for f in frames]))
-        last = state.get[0] if state.exists else None
+        last, waiting = state.get if state.exists else (None, [])
+        waiting = np.unique(np.concatenate([np.array(waiting, dtype=np.int64), *([] if state.hasTimedOut else [f["t"].to_numpy() for f in frames])]))
+        passed = state.getCurrentWatermarkMs()
+        ready, waiting = waiting[waiting // 1000 <= passed], waiting[waiting // 1000 > passed]
         fired = []
-        at = 0 if last is None else int(np.searchsorted(times, last + lock))
-        while at < len(times):
-            last = int(times[at])
+        at = 0 if last is None else int(np.searchsorted(ready, last + lock))
+        while at < len(ready):
+            last = int(ready[at])
             fired.append(last)
-            at = int(np.searchsorted(times, last + lock))
-        if last is not None:
-            state.update((last,))
-            # an older watermark may already be past the lock of a late event
-            end = (last + lock) // 1000
-            if end > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(end)
-            else:
-                state.remove()
+            at = int(np.searchsorted(ready, last + lock))
+        # a timeout comes once the watermark is beyond it
+        wake = int(waiting[0]) // 1000 - 1 if len(waiting) else -1 if last is None else (last + lock) // 1000
+        if len(waiting) or wake > passed:
+            state.update((last, waiting.tolist()))
+            state.setTimeoutTimestamp(max(wake, passed + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"trigger_key": [key[0]] * len(fired), "t": fired})
 
     times = (
@@ -52,6 +53,6 @@ def stream_triggers(log: DataFrame, delay: str = "10 minutes", lock_seconds: int
         .withColumn("t", F.unix_micros("at"))
     )
     fired = times.groupBy("trigger_key").applyInPandasWithState(
-        step, "trigger_key string, t long", "last long", "append", GroupStateTimeout.EventTimeTimeout
+        step, "trigger_key string, t long", "last long, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
     return fired.select("trigger_key", F.timestamp_micros("t").alias("ts"))

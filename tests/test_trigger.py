@@ -1,6 +1,8 @@
 import datetime as dt
 import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from forage.operators import trigger
@@ -63,19 +65,37 @@ def test_ingest_cap(spark):
     assert sorted(r["id"] for r in kept.collect()) == list(range(30))
 
 
-def test_stream_equals_batch(spark):
-    """Files that arrive in time order give the triggers of one batch."""
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_stream_equals_batch(spark, shuffled):
+    """Files in any order give the triggers of one batch, once a later event has closed them."""
     rng = random.Random(7)
     rows = sorted(
         (START + dt.timedelta(seconds=rng.randrange(20000)), rng.choice("ab"), rng.randrange(8), 0, None, None) for _ in range(400)
     )
+    parts = [rows[i * 100 : (i + 1) * 100] for i in range(4)]
+    if shuffled:
+        parts = [parts[k] for k in (2, 0, 3, 1)]
+    closing = [(START + dt.timedelta(days=3), "later", 0, 0, None, None)]
     schema = "ts timestamp_ntz, q string, total int, page_offset int, lat double, lng double"
     path = work_path(spark, "log")
-    for i in range(4):
-        spark.createDataFrame(rows[i * 100 : (i + 1) * 100], schema).coalesce(1).write.mode("append").parquet(path)
+    for part in [*parts, closing]:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
     log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     out = work_path(spark, "fired")
-    start_feedback(stream_triggers(log), out, work_path(spark, "state")).awaitTermination()
+    start_feedback(stream_triggers(log, "1 day"), out, work_path(spark, "state")).awaitTermination()
     live = sorted((r["trigger_key"], r["ts"]) for r in spark.read.parquet(out).collect())
     batch = trigger.fired(trigger.requests_to_check(spark.createDataFrame(rows, schema)))
     assert live == sorted((r["trigger_key"], r["ts"]) for r in batch.collect())
+
+
+def test_key_without_white_space_around_it(values):
+    keys = values(["\t vegan food \n", "x" * 50], trigger.trigger_key(F.col("x"), F.lit(None).cast("double"), F.lit(None).cast("double")))
+    assert keys == ["vegan_food:nogeo", "x" * 40 + ":nogeo"]
+
+
+def test_many_events_of_one_key_and_slot(spark):
+    """A crowded slot costs one pass, not one per event."""
+    events = spark.range(40000).select(F.lit("k").alias("trigger_key"), F.timestamp_micros(F.col("id") * 7000).alias("ts"))
+    began = time.monotonic()
+    assert trigger.fired(events).count() == 1
+    assert time.monotonic() - began < 30

@@ -154,7 +154,7 @@ def food_search(spark, sf_dir):
 
 ASOF = "2024-01-20 00:00:00"
 # usable answers no older than seven days, the newest per key
-CACHE = f""", ok AS (SELECT event_id, ts, food_name, lower(trim(food_name)) AS cache_key,
+CACHE = f""", ok AS (SELECT event_id, ts, food_name, lower({sql.squish('food_name')}) AS cache_key,
     TRY_CAST(trim(replace(replace(response, '```json', ''), '```', '')) AS JSON) AS j FROM responses),
 est AS (SELECT event_id, ts, food_name, cache_key, coalesce(j->>'name_zh', food_name) AS name_zh, coalesce(CAST(j->>'calories_per_100g' AS DOUBLE), 0e0) AS calories_per_100g,
     coalesce(CAST(j->>'protein_g' AS DOUBLE), 0e0) AS protein_g, 'vegan' AS diet_labels FROM ok WHERE j IS NOT NULL),
@@ -185,9 +185,9 @@ def nutrition_cache(spark, sf_dir):
 
 @query(
     "food_cascade",
-    FOOD_SEARCH + CACHE + """SELECT query_id, 'database' AS source, false AS requires_confirm, position, food_id, CAST(NULL AS VARCHAR) AS estimate_name FROM found WHERE position <= 10
+    FOOD_SEARCH + CACHE + f"""SELECT query_id, 'database' AS source, false AS requires_confirm, position, food_id, CAST(NULL AS VARCHAR) AS estimate_name FROM found WHERE position <= 10
     UNION ALL SELECT query_id, CASE WHEN c.cache_key IS NULL THEN 'not_found' ELSE 'llm_estimated' END, c.cache_key IS NOT NULL, CASE WHEN c.cache_key IS NOT NULL THEN 1 END, NULL, c.name_zh
-    FROM fq LEFT JOIN cache c ON c.cache_key = lower(trim(q)) WHERE query_id NOT IN (SELECT query_id FROM found)""",
+    FROM fq LEFT JOIN cache c ON c.cache_key = lower({sql.squish('q')}) WHERE query_id NOT IN (SELECT query_id FROM found)""",
 )
 def food_cascade(spark, sf_dir):
     return food.food_cascade(_food_queries(spark), view(spark, sf_dir, "food_items"), _cache(spark, sf_dir))

@@ -52,7 +52,7 @@ def feedback_log(spark, sf_dir):
     return log.groupBy("user_id", "is_relevant", "comment").agg(F.count("*").alias("n"), F.count("rank_position").alias("n_ranked"))
 
 
-_KEY = "concat(replace(substr(trim(q), 1, 40), ' ', '_'), ':', CASE WHEN lat IS NULL OR lng IS NULL THEN 'nogeo' ELSE printf('%.3f,%.3f', lat, lng) END)"
+_KEY = f"concat(replace(substr({sql.squish('q')}, 1, 40), ' ', '_'), ':', CASE WHEN lat IS NULL OR lng IS NULL THEN 'nogeo' ELSE printf('%.3f,%.3f', lat, lng) END)"
 
 
 @query("trigger_key", ctes("search_log") + f"SELECT event_id, {_KEY} AS key FROM search_log")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from forage.operators.trigger import requests_to_check
 from forage.session import work_path
 from forage.sources import poi
 from forage.streaming import feedback as feedback_stream
@@ -56,9 +57,20 @@ def stream_feedback(spark, sf_dir):
 
 @query("stream_trigger", _greedy(ctes("search_log").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _SHORT, "trigger_key", 300))
 def stream_trigger(spark, sf_dir):
-    """Stateful stream; equal to ``trigger_ttl``."""
-    log = view(spark, sf_dir, "search_log", events=arriving(spark, sf_dir, "events"))
+    """Stateful stream; equal to ``trigger_ttl``.
+
+    The log arrives as several files out of time order, then one event of a year later that closes it.
+    """
+    rows = table(spark, sf_dir, "events")
+    short = requests_to_check(view(spark, sf_dir, "search_log")).agg(F.max("event_id").alias("event_id"))
+    later = rows.join(short, "event_id").select(rows.columns).withColumn("ts", F.col("ts") + F.expr("INTERVAL 366 DAYS")).withColumn("_part", F.lit(9))
+    parts = rows.withColumn("_part", F.pmod(F.col("event_id"), F.lit(3))).unionByName(later)
+    path = work_path(spark, "arriving")
+    for k in (2, 0, 1, 9):
+        parts.filter(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    log = view(spark, sf_dir, "search_log", events=spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path))
     path = work_path(spark, "triggers")
-    fired = stream_triggers(log).select("trigger_key", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    fired = stream_triggers(log, "365 days").select("trigger_key", F.col("ts").cast("timestamp_ntz").alias("ts"))
     feedback_stream.start_feedback(fired, path, work_path(spark, "triggers-state")).awaitTermination()
-    return spark.read.parquet(path)
+    last = rows.agg(F.max("ts").alias("ts"))
+    return spark.read.parquet(path).join(last.withColumnRenamed("ts", "last"), F.col("ts") <= F.col("last")).drop("last")
