@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from forage.functions import nutrition
@@ -27,12 +27,13 @@ def daily_totals(log: DataFrame, days: DataFrame | None = None) -> DataFrame:
 
 
 def day_view(log: DataFrame) -> DataFrame:
-    """Every entry next to the totals of its day (``day_`` columns); sorted by user, day and time of entry.
+    """Every entry next to the totals of its day (``day_`` columns); days lie together, entries by time within a day.
 
-    Entries stay rows: a day is never gathered into one array.
+    One shuffle brings a user's day together; its sums are window sums over it.
     """
-    totals = daily_totals(log).select(*KEYS, *[F.col(t).alias(f"day_{t}") for t in TOTALS])
-    return log.join(totals, KEYS).orderBy(*KEYS, "created_at", "id")
+    day = Window.partitionBy(*KEYS)
+    totals = {f"day_{t}": F.coalesce(F.sum(c).over(day), F.lit(0.0)) for t, c in TOTALS.items()}
+    return log.withColumns(totals).sortWithinPartitions(*KEYS, "created_at", "id")
 
 
 def reference_shares(totals: DataFrame) -> DataFrame:

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from forage.operators.topk import top_k
 
-COMPLETION_KEY = 4
-
 
 def any_label(catalog: DataFrame, labels: list[str]) -> DataFrame:
     """Rows with at least one of the labels; no labels means no filter."""
@@ -37,25 +35,13 @@ def menu_listing(catalog: DataFrame) -> DataFrame:
 def autocomplete(prefixes: DataFrame, catalog: DataFrame, size: int = 8) -> DataFrame:
     """Up to ``size`` distinct names per prefix, ignoring case, in name order.
 
-    Names are deduplicated first and meet the prefixes on their opening
-    characters, so only names that share up to four characters are compared.
+    A name offers its openings of every length up to the longest prefix and
+    meets prefixes on the whole text, so nothing is compared that does not match.
     """
-    lead = F.least(F.char_length("prefix"), F.lit(COMPLETION_KEY))
-    left = (
-        prefixes.select("prefix")
-        .distinct()
-        .filter(F.char_length("prefix") >= 1)
-        .withColumn("_key", F.substring(F.lower("prefix"), F.lit(1), lead))
-    )
-    names = catalog.select("name").filter(F.char_length("name") >= 1).distinct()
-    leads = F.transform(
-        F.sequence(F.lit(1), F.least(F.char_length("name"), F.lit(COMPLETION_KEY))),
-        lambda n: F.substring(F.lower("name"), F.lit(1), n),
-    )
-    matched = (
-        names.withColumn("_key", F.explode_outer(leads))
-        .join(left, "_key")
-        .filter(F.startswith(F.lower("name"), F.lower("prefix")))
-        .select("prefix", "name")
-    )
-    return top_k(matched, ["prefix"], [F.asc("name")], size, "name")
+    asked = prefixes.select("prefix").distinct().filter(F.char_length("prefix") >= 1).withColumn("_key", F.lower("prefix"))
+    longest = asked.agg(F.coalesce(F.max(F.char_length("_key")), F.lit(0)).alias("n")).scalar()
+    names = catalog.select("name").filter(F.char_length("name") >= 1).distinct().withColumn("_most", longest)
+    lowered = F.lower("name")
+    openings = F.transform(F.sequence(F.lit(1), F.least(F.char_length(lowered), "_most")), lambda n: F.substring(lowered, F.lit(1), n))
+    offered = names.withColumn("_key", F.explode(F.when(F.col("_most") >= 1, openings)))
+    return top_k(offered.join(asked, "_key").select("prefix", "name"), ["prefix"], [F.asc("name")], size, "name")

@@ -87,8 +87,8 @@ def saved_state(log: DataFrame, order: list[str]) -> DataFrame:
 
 
 def saved_list(state: DataFrame) -> DataFrame:
-    """Newest first within each user."""
-    return state.orderBy("user_id", F.desc("saved_at"), "restaurant_id")
+    """Newest first within each user; a user's rows lie together."""
+    return state.repartition("user_id").sortWithinPartitions("user_id", F.desc("saved_at"), "restaurant_id")
 
 
 def saved_flag(pairs: DataFrame, state: DataFrame) -> DataFrame:

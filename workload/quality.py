@@ -33,10 +33,10 @@ def eval_ndcg10(spark, sf_dir):
 
 @query(
     "eval_mrr",
-    ctes("feedback") + ", f AS (SELECT user_id, min(rank_position) FILTER (is_relevant) AS r FROM feedback GROUP BY 1) SELECT round(avg(coalesce(1e0 / r, 0e0)), 6) AS mrr FROM f",
+    ctes("feedback") + ", f AS (SELECT query_id, min(rank_position) FILTER (is_relevant) AS r FROM feedback GROUP BY 1) SELECT round(avg(coalesce(1e0 / r, 0e0)), 6) AS mrr FROM f",
 )
 def eval_mrr(spark, sf_dir):
-    return evaluation.mean_reciprocal_rank(view(spark, sf_dir, "feedback"), ["user_id"]).select(F.round("mrr", 6).alias("mrr"))
+    return evaluation.mean_reciprocal_rank(view(spark, sf_dir, "feedback"), KEYS).select(F.round("mrr", 6).alias("mrr"))
 
 
 @query(
