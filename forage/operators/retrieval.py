@@ -2,9 +2,8 @@
 
 One table of *needs* (distinct retrieval requests) is answered against one
 catalog.  The catalog text is cut to terms, semi-joined with the query
-vocabulary while still in the scan stage, and only the surviving occurrences
-are shuffled, once, by document.  Term frequencies, scores and the join back to
-the document attributes all reuse that partitioning.
+vocabulary and counted per document while still in the scan stage; what is
+shuffled has one row per document and asked term.
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ from pyspark.sql import functions as F
 
 from forage.functions import fixed
 from forage.functions.text import analyze
-from forage.session import spread
 
 FIELDS = list(fixed.FIELD_BOOSTS)
 SCORE_DIGITS = 6
@@ -27,7 +25,7 @@ def field_words(fields: list[str]) -> Column:
 
 def corpus_stats(catalog: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
     """One row: per field ``i`` the number of documents with text (``n_i``) and their mean length (``avgdl_i``)."""
-    lengths = spread(catalog.select(*fields)).select(F.transform(field_words(fields), F.size).alias("dl"))
+    lengths = catalog.select(*fields).select(F.transform(field_words(fields), F.size).alias("dl"))
     aggregates = []
     for i in range(len(fields)):
         aggregates += [
@@ -44,7 +42,7 @@ def occurrences(catalog: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
     term lists for emptiness below the shuffle, which would cut all text twice.
     """
     return (
-        spread(catalog.select("restaurant_id", *fields))
+        catalog.select("restaurant_id", *fields)
         .select("restaurant_id", field_words(fields).alias("words"))
         .select("restaurant_id", F.transform("words", F.size).alias("dl"), F.posexplode_outer("words").alias("field", "words"))
         .select("restaurant_id", "dl", "field", F.explode("words").alias("term"))
@@ -54,11 +52,13 @@ def occurrences(catalog: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
 def postings(catalog: DataFrame, vocabulary: DataFrame | None = None, fields: list[str] = FIELDS) -> DataFrame:
     """One row per (document, term) with a frequency ``tf_i`` per field.
 
-    With a vocabulary, terms nobody asks for are dropped before the shuffle.
+    With a vocabulary, terms nobody asks for are dropped first.  A document is
+    one row of the scan, so counting before the shuffle takes in all of its
+    occurrences, and each term of it is sent once.
     """
     found = occurrences(catalog, fields)
     if vocabulary is not None:
-        found = found.join(vocabulary, "term", "left_semi").repartition("restaurant_id")
+        found = found.join(vocabulary, "term", "left_semi")
     return found.groupBy("restaurant_id", "dl", "term").agg(
         *[F.expr(f"count_if(field = {i}) AS tf_{i}") for i in range(len(fields))]
     )
@@ -71,7 +71,7 @@ def corpus_frequency(catalog: DataFrame, fields: list[str] = FIELDS) -> DataFram
     are shuffled, never document rows.
     """
     return (
-        spread(catalog.select(*fields))
+        catalog.select(*fields)
         .select(F.transform(field_words(fields), F.array_distinct).alias("words"))
         .select(F.posexplode_outer("words").alias("field", "words"))
         .select("field", F.explode("words").alias("term"))
@@ -115,17 +115,16 @@ def required_matches(n: Column, percent: int = fixed.MIN_MATCH_PERCENT) -> Colum
 
 
 def matching_postings(
-    terms: DataFrame, catalog: DataFrame, small: bool, fields: list[str] = FIELDS, posting_rows: DataFrame | None = None
+    terms: DataFrame, catalog: DataFrame, fields: list[str] = FIELDS, posting_rows: DataFrame | None = None
 ) -> DataFrame:
     """Postings of the asked terms, cut from the catalog or from saved postings."""
     vocabulary = terms.select("term").distinct()
-    hint = F.broadcast if small else (lambda d: d)
     if posting_rows is None:
-        return postings(catalog, hint(vocabulary), fields)
+        return postings(catalog, vocabulary, fields)
     if "bucket" in posting_rows.columns:
         # the bucket column is a folder of the saved table: unwanted buckets are never opened
         vocabulary = vocabulary.withColumn("bucket", _bucket())
-    kept = posting_rows.join(hint(vocabulary), vocabulary.columns, "left_semi")
+    kept = posting_rows.join(vocabulary, vocabulary.columns, "left_semi")
     return kept.select("restaurant_id", "dl", "term", *[f"tf_{i}" for i in range(len(fields))]).repartition("restaurant_id")
 
 
@@ -160,18 +159,15 @@ def field_scores(
     terms: DataFrame,
     found: DataFrame,
     catalog: DataFrame,
-    small: bool,
     expansion: str = "flat",
     fields: dict[str, float] = fixed.FIELD_BOOSTS,
     stats: DataFrame | None = None,
 ) -> DataFrame:
     """Per (need, document) the boosted score and match count of every field.
 
-    ``small`` states that the number of term rows was checked; only then is the
-    term side broadcast.  Otherwise the join shuffles by term and adaptive
-    execution splits hot terms.
+    Adaptive execution broadcasts the term side where its size at run time
+    allows, and otherwise shuffles by term and splits hot terms.
     """
-    hint = F.broadcast if small else (lambda d: d)
     names = list(fields)
     row = stats if stats is not None else corpus_stats(catalog, names)
     row = row.select(F.struct(*row.columns).alias("s")).scalar()
@@ -186,7 +182,7 @@ def field_scores(
             *[f"corpus.avgdl_{i}" for i in fields_at],
         )
     )
-    matched = found.join(hint(weighted), "term")
+    matched = found.join(weighted, "term")
     aggregates = ["max(n_terms) AS n_terms", "max(n_groups) AS n_groups"]
     for i, boost in enumerate(fields.values()):
         part = f"w_{i} * {saturation(f'tf_{i}', f'dl[{i}]', f'avgdl_{i}')}"

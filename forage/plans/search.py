@@ -9,7 +9,6 @@ applied per request.
 from __future__ import annotations
 
 from functools import cached_property
-from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,38 +19,24 @@ from forage.operators import facets as facet_ops
 from forage.operators import geo, retrieval
 from forage.operators.topk import top_k
 
-# Rows up to which the request side of a join is broadcast.  The count comes
-# from the requests themselves; beyond it the joins shuffle.
-BROADCAST_ROWS = 100_000
-
 ATTRIBUTES = [
     "restaurant_id", "cuisine_type", "price_level", "rating", "geo", "diet_labels", "allergens", "allergen_free",
 ]
 NEED_COLUMNS = ["terms", "n_groups", "labels", "price_levels", "lat", "lng", "radius_km"]
 
 
-class Load(NamedTuple):
-    """What one pass over the requests tells about their size.
-
-    ``small``: all term rows and page rows together stay under the broadcast bound.
-    """
-
-    small: bool
-    page_end: int
-
-
 class Search:
     """Answers to one table of requests; each result is planned when it is first asked for."""
 
-    def __init__(self, requests: DataFrame, candidates: DataFrame, load: Load, rerank_scope: str, cached: tuple[DataFrame, ...]):
+    def __init__(self, requests: DataFrame, candidates: DataFrame, page_end: int, rerank_scope: str, cached: tuple[DataFrame, ...]):
         self.requests = requests
         self.candidates = candidates
-        self._load, self._scope, self._cached = load, rerank_scope, cached
+        self._page_end, self._scope, self._cached = page_end, rerank_scope, cached
 
     @cached_property
     def hits(self) -> DataFrame:
         """The requested page of every request, in final order."""
-        return page_and_rerank(self.requests, self.candidates, self._load, self._scope)
+        return page_and_rerank(self.requests, self.candidates, self._page_end, self._scope)
 
     @cached_property
     def facets(self) -> DataFrame:
@@ -137,12 +122,9 @@ def _request_terms(synonyms) -> Column:
     )
 
 
-def measure(parsed: DataFrame) -> Load:
-    row = parsed.agg(
-        F.coalesce(F.sum(F.size("terms") + F.col("limit")), F.lit(0)).alias("rows"),
-        F.coalesce(F.max(F.col("offset") + F.col("limit")), F.lit(1)).alias("page_end"),
-    ).first()
-    return Load(row["rows"] <= BROADCAST_ROWS, int(row["page_end"]))
+def deepest_page(parsed: DataFrame) -> int:
+    """Last rank that any request asks for."""
+    return int(parsed.agg(F.coalesce(F.max(F.when(F.col("limit") > 0, F.col("offset") + F.col("limit"))), F.lit(1))).first()[0])
 
 
 def distinct_needs(parsed: DataFrame) -> DataFrame:
@@ -159,7 +141,7 @@ def passes_filters(place_lat: Column, place_lng: Column) -> Column:
     return labels & price & near
 
 
-def match_all(needs: DataFrame, attributes: DataFrame, hint) -> DataFrame:
+def match_all(needs: DataFrame, attributes: DataFrame) -> DataFrame:
     """Needs without terms: every document that passes the filters, at score 1.
 
     Each need reaches its documents through its most selective filter: grid
@@ -188,7 +170,7 @@ def match_all(needs: DataFrame, attributes: DataFrame, hint) -> DataFrame:
     shared = F.array_intersect("labels", F.coalesce(F.col("diet_labels"), _empty("string")))
     once = ~F.col("access").startswith("l") | (F.col("access") == F.concat(F.lit("l"), F.get(shared, F.lit(0))))
     return (
-        right.join(hint(left), "access")
+        right.join(left, "access")
         .filter(once & passes_filters(F.col("geo.lat"), F.col("geo.lng")))
         .withColumn("text_score", F.lit(1.0))
     )
@@ -199,23 +181,21 @@ def find_candidates(
     terms: DataFrame,
     found: DataFrame,
     catalog: DataFrame,
-    small: bool,
     expansion: str = "flat",
     stats: DataFrame | None = None,
 ) -> DataFrame:
     """(need, document attributes, text_score, km) of every matching document."""
-    hint = F.broadcast if small else (lambda d: d)
     attributes = catalog.select(*ATTRIBUTES)
     with_terms = needs.filter(F.size("terms") > 0)
-    scores_by_field = retrieval.field_scores(terms, found, catalog, small, expansion, stats=stats)
+    scores_by_field = retrieval.field_scores(terms, found, catalog, expansion, stats=stats)
     scored = retrieval.best_field(scores_by_field, len(retrieval.FIELDS), expansion)
     by_text = (
         scored.join(attributes, "restaurant_id")
-        .join(hint(with_terms), "need")
+        .join(with_terms, "need")
         .filter(passes_filters(F.col("geo.lat"), F.col("geo.lng")))
     )
     columns = ["need", *ATTRIBUTES, "text_score", "lat", "lng"]
-    found = by_text.select(*columns).unionByName(match_all(needs, attributes, hint).select(*columns))
+    found = by_text.select(*columns).unionByName(match_all(needs, attributes).select(*columns))
     km = F.when(
         F.col("lat").isNotNull() & F.col("geo").isNotNull(),
         scores.haversine_km(F.col("lat"), F.col("lng"), F.col("geo.lat"), F.col("geo.lng")),
@@ -242,29 +222,29 @@ def with_signals(rows: DataFrame) -> DataFrame:
     return signals.withColumn("final_score", F.round(final, retrieval.SCORE_DIGITS))
 
 
-def page_and_rerank(parsed: DataFrame, candidates: DataFrame, load: Load, rerank_scope: str = "page") -> DataFrame:
+def page_and_rerank(parsed: DataFrame, candidates: DataFrame, page_end: int, rerank_scope: str = "page") -> DataFrame:
     """The requested page of every request.
 
     ``page``: cut the page by text score, then order that page by final score.
     ``all``: order every candidate by final score, then cut the page.
     """
-    hint = F.broadcast if load.small else (lambda d: d)
     asked = parsed.select("query_id", "need", "sort_mode", "offset", "limit", "labels", "user_allergens")
     by_final = [F.desc("final_score"), F.desc("text_score"), F.asc("restaurant_id")]
     if rerank_scope == "all":
         ranked = top_k(
-            with_signals(candidates.join(hint(asked), "need")), ["query_id"], by_final, load.page_end, "restaurant_id"
+            with_signals(candidates.join(asked, "need")), ["query_id"], by_final, page_end, "restaurant_id"
         )
         return ranked.filter(
             (F.col("position") > F.col("offset")) & (F.col("position") <= F.col("offset") + F.col("limit"))
         )
     by_text = [F.desc("text_score"), F.asc("restaurant_id")]
-    best = top_k(candidates, ["need"], by_text, load.page_end, "restaurant_id", rank="text_rank")
+    best = top_k(candidates, ["need"], by_text, page_end, "restaurant_id", rank="text_rank")
     # each request names the ranks of its page, so the join yields page rows only
-    ranks = F.explode(F.sequence(F.col("offset") + 1, F.col("offset") + F.col("limit")))
-    rows = best.join(hint(asked.withColumn("text_rank", ranks)), ["need", "text_rank"])
+    # an empty page (limit 0) names none
+    ranks = F.explode(F.when(F.col("limit") > 0, F.sequence(F.col("offset") + 1, F.col("offset") + F.col("limit"))))
+    rows = best.join(asked.withColumn("text_rank", ranks), ["need", "text_rank"])
     # a page holds at most ``limit`` rows per request
-    ordered = top_k(with_signals(rows), ["query_id"], by_final, load.page_end, "restaurant_id")
+    ordered = top_k(with_signals(rows), ["query_id"], by_final, page_end, "restaurant_id")
     return ordered.withColumn("position", F.col("position") + F.col("offset"))
 
 
@@ -313,19 +293,20 @@ def search(
     ``stage_path`` writes the candidates once as a table that hits, facets and
     summary then share; without it they are kept in the block cache.
     """
-    # the request rows are read by every later step; the size pass fills their
-    # cache, after which the optimizer knows the true size of the request side
+    # the request rows are read by every later step; looking for the deepest page
+    # fills their cache, after which the optimizer knows the size of the request
+    # side and broadcasts it by that, or shuffles
     parsed = parse_requests(attach_profiles(requests, profiles), phrases).persist()
-    load = measure(parsed)
+    page_end = deepest_page(parsed)
     needs = distinct_needs(parsed)
     terms = retrieval.need_terms(needs.filter(F.size("terms") > 0))
     # matching postings serve document frequencies and scores, candidates serve
     # page, facets and totals: both are cut once and kept, spilling to disk
-    found = retrieval.matching_postings(terms, catalog, load.small, posting_rows=posting_rows).persist()
-    candidates = find_candidates(needs, terms, found, catalog, load.small, expansion, stats)
+    found = retrieval.matching_postings(terms, catalog, posting_rows=posting_rows).persist()
+    candidates = find_candidates(needs, terms, found, catalog, expansion, stats)
     if stage_path is not None:
         candidates.write.mode("overwrite").parquet(stage_path)
         candidates = candidates.sparkSession.read.parquet(stage_path)
     else:
         candidates = candidates.persist()
-    return Search(parsed, candidates, load, rerank_scope, (parsed, found, candidates))
+    return Search(parsed, candidates, page_end, rerank_scope, (parsed, found, candidates))

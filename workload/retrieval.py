@@ -121,10 +121,9 @@ def bm25_stats(spark, sf_dir):
 def _field_scores(spark, sf_dir, expansion="flat"):
     catalog = restaurants(spark, sf_dir)
     parsed = plan.parse_requests(plan.attach_profiles(requests(spark), None)).persist()
-    small = plan.measure(parsed).small
     terms = retrieval.need_terms(plan.distinct_needs(parsed).filter(F.size("terms") > 0))
-    found = retrieval.matching_postings(terms, catalog, small).persist()
-    return parsed.select("query_id", "need"), retrieval.field_scores(terms, found, catalog, small, expansion)
+    found = retrieval.matching_postings(terms, catalog).persist()
+    return parsed.select("query_id", "need"), retrieval.field_scores(terms, found, catalog, expansion)
 
 
 @query("bm25_search", SEARCH + "SELECT query_id, restaurant_id, text_score FROM best")
