@@ -82,7 +82,8 @@ def autocomplete(spark, sf_dir):
 
 BATCH = """, batch AS (SELECT s_suppkey AS arrival, CASE WHEN s_suppkey % 10 = 3 THEN NULL WHEN s_suppkey % 10 = 4 THEN ''
       ELSE concat('doc_', CAST(s_suppkey % 60 AS VARCHAR)) END AS restaurant_id,
-      CASE WHEN s_suppkey % 20 = 3 THEN concat('new_', CAST(s_suppkey AS VARCHAR)) END AS _id, s_name AS name, 2 AS price_level FROM supplier),
+      CASE WHEN s_suppkey % 20 = 3 THEN concat('new_', CAST(s_suppkey AS VARCHAR)) END AS _id, s_name AS name, 'fresh ' || s_name AS description, 2 AS price_level, CAST(s_suppkey % 5 AS DOUBLE) AS rating,
+      CASE WHEN s_suppkey % 2 = 0 THEN 'vegan,halal' END AS diet_labels FROM supplier),
     keyed AS (SELECT *, coalesce(nullif(restaurant_id, ''), _id) AS k FROM batch)"""
 
 
@@ -93,23 +94,35 @@ def _batch(spark, sf_dir):
         F.when(key % 10 == 3, F.lit(None)).when(key % 10 == 4, "").otherwise(F.concat(F.lit("doc_"), (key % 60).cast("string"))).alias("restaurant_id"),
         F.when(key % 20 == 3, F.concat(F.lit("new_"), key.cast("string"))).alias("_id"),
         F.col("s_name").alias("name"),
+        F.concat(F.lit("fresh "), "s_name").alias("description"),
         F.lit(2).alias("price_level"),
+        (key % 5).cast("double").alias("rating"),
+        F.when(key % 2 == 0, F.array(F.lit("vegan"), F.lit("halal"))).alias("diet_labels"),
     )
 
 
-MERGED = BATCH + """, fresh AS (SELECT k AS restaurant_id, arg_max(name, arrival) AS name, arg_max(price_level, arrival) AS price_level FROM keyed WHERE k IS NOT NULL GROUP BY k),
-    merged AS (SELECT restaurant_id, name, price_level FROM restaurants WHERE restaurant_id NOT IN (SELECT restaurant_id FROM fresh)
-    UNION ALL SELECT restaurant_id, name, price_level FROM fresh)"""
+# a batch document replaces the whole old one: what it does not say is gone
+MERGED = BATCH + """, fresh AS (SELECT k AS restaurant_id, max_by(name, arrival) AS name, max_by(description, arrival) AS description, CAST(NULL AS VARCHAR) AS cuisine_type,
+      CAST(NULL AS VARCHAR) AS address, max_by(price_level, arrival) AS price_level, max_by(rating, arrival) AS rating, CAST(NULL AS DOUBLE) AS lat, CAST(NULL AS DOUBLE) AS lng,
+      CASE WHEN max(arrival) % 2 = 0 THEN 'vegan,halal' END AS diet_labels, CAST(NULL AS VARCHAR) AS allergens, CAST(NULL AS VARCHAR) AS allergen_free FROM keyed WHERE k IS NOT NULL GROUP BY k),
+    merged AS (SELECT restaurant_id, name, description, cuisine_type, address, price_level, rating, lat, lng, diet_labels, allergens, allergen_free
+      FROM restaurants WHERE restaurant_id NOT IN (SELECT restaurant_id FROM fresh)
+    UNION ALL SELECT * FROM fresh)"""
 
 
 def _merge(spark, sf_dir):
-    current = restaurants(spark, sf_dir).select("restaurant_id", "name", "price_level")
-    return state.upsert(current, _batch(spark, sf_dir), ["arrival"])
+    return state.upsert(restaurants(spark, sf_dir), _batch(spark, sf_dir), ["arrival"])
+
+
+def _flat(catalog):
+    """Whole documents with places and lists as plain columns."""
+    lists = [F.nullif(F.array_join(c, ","), F.lit("")).alias(c) for c in ("diet_labels", "allergens", "allergen_free")]
+    return catalog.select("restaurant_id", "name", "description", "cuisine_type", "address", "price_level", "rating", "geo.lat", "geo.lng", *lists)
 
 
 @query("catalog_upsert", ctes("restaurants") + MERGED + " SELECT * FROM merged")
 def catalog_upsert(spark, sf_dir):
-    return _merge(spark, sf_dir)
+    return _flat(_merge(spark, sf_dir))
 
 
 @query("upsert_counts", "WITH x AS (SELECT 1)" + BATCH + " SELECT count(*) FILTER (k IS NOT NULL) AS indexed, count(*) FILTER (k IS NULL) AS rejected FROM keyed")
@@ -119,7 +132,7 @@ def upsert_counts(spark, sf_dir):
 
 @query("catalog_rebuild", ctes("restaurants") + MERGED + " SELECT * FROM merged")
 def catalog_rebuild(spark, sf_dir):
-    return state.rebuild(_merge(spark, sf_dir), work_path(spark, "snapshot"))
+    return _flat(state.rebuild(_merge(spark, sf_dir), work_path(spark, "snapshot")))
 
 
 @query(
