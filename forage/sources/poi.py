@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from forage import schemas
 from forage.functions import fixed, poi
 from forage.functions.scores import haversine_km
-from forage.operators.geo import radius_filter
+from forage.operators.geo import geo_join, radius_filter
 from forage.operators.state import earliest
 
 
@@ -182,6 +182,23 @@ def around_page(
     return near.orderBy("km", "arrival").offset((page - 1) * page_size).limit(page_size)
 
 
+def pages_around(pois: DataFrame, requests: DataFrame) -> DataFrame:
+    """The asked page of every request: (request_id, position, km and the POI), nearest first.
+
+    ``requests``: request_id, lat, lng, radius_km, page, page_size and keyword
+    (null or empty: any).  Requests and places meet in grid cells; a request
+    for one page is the one-row case.
+    """
+    placed = pois.withColumn("_place", poi.location(F.col("location"))).withColumns({"place_lat": F.col("_place.lat"), "place_lng": F.col("_place.lng")}).drop("_place")
+    asked = requests.select("request_id", "lat", "lng", "radius_km", "page", "page_size", F.lower("keyword").alias("_keyword"))
+    met = geo_join(asked, placed)
+    holds = [F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.col("_keyword")) for c in ("name", "tag", "type")]
+    met = met.filter(F.col("_keyword").isNull() | holds[0] | holds[1] | holds[2])
+    last = F.col("page") * F.col("page_size")
+    ranked = met.withColumn("position", F.row_number().over(Window.partitionBy("request_id").orderBy("km", "arrival")))
+    return ranked.filter((F.col("position") > last - F.col("page_size")) & (F.col("position") <= last)).drop("_keyword", "lat", "lng", "radius_km", "page", "page_size")
+
+
 def first_seen(pois: DataFrame, key: str, order: list[str]) -> DataFrame:
     """First occurrence per source id in crawl order; rows without an id are dropped."""
     return earliest(pois.filter(F.col(key).isNotNull() & (F.col(key).cast("string") != "")), [key], order)

@@ -195,12 +195,15 @@ def food_cascade(spark, sf_dir):
 
 @query(
     "food_confirm",
-    ctes("food_items", "responses") + CACHE + """SELECT food_id, name_zh, name_en, calories_per_100g, CAST(NULL AS BOOLEAN) AS verified FROM food_items
-    UNION ALL SELECT (SELECT max(food_id) FROM food_items) + row_number() OVER (ORDER BY ts, event_id), name_zh, NULL, calories_per_100g, true FROM est""",
+    ctes("food_items", "responses") + CACHE + """SELECT food_id, name_zh, name_en, name_pinyin, calories_per_100g, protein_g, fat_g, carb_g,
+      CAST(NULL AS DOUBLE) AS sodium_mg, CAST(NULL AS DOUBLE) AS fiber_g, CAST(NULL AS VARCHAR) AS diet_labels, CAST(NULL AS BOOLEAN) AS verified FROM food_items
+    UNION ALL SELECT (SELECT max(food_id) FROM food_items) + row_number() OVER (ORDER BY ts, event_id), name_zh, NULL, NULL, calories_per_100g, protein_g,
+      coalesce(TRY_CAST(j->>'fat_g' AS DOUBLE), 0e0), coalesce(TRY_CAST(j->>'carb_g' AS DOUBLE), 0e0), coalesce(TRY_CAST(j->>'sodium_mg' AS DOUBLE), 0e0), coalesce(TRY_CAST(j->>'fiber_g' AS DOUBLE), 0e0), diet_labels, true
+    FROM (SELECT est.*, ok.j FROM est JOIN ok USING (event_id))""",
 )
 def food_confirm(spark, sf_dir):
-    """All usable estimates are confirmed in the order they came."""
-    foods = view(spark, sf_dir, "food_items").drop("fat_g", "carb_g")
-    confirmed = _estimates(spark, sf_dir).select("name_zh", "calories_per_100g", "protein_g", "ts", "event_id")
-    stored = state.confirm_estimates(foods, confirmed, "ts", "event_id")
-    return stored.select("food_id", "name_zh", "name_en", "calories_per_100g", "verified")
+    """All usable estimates are confirmed, with all their amounts and labels, in the order they came."""
+    confirmed = _estimates(spark, sf_dir).select("name_zh", "name_en", "name_pinyin", *nutrition.AMOUNTS, "diet_labels", "ts", "event_id")
+    stored = state.confirm_estimates(view(spark, sf_dir, "food_items"), confirmed, "ts", "event_id")
+    names = ["food_id", "name_zh", "name_en", "name_pinyin", *nutrition.AMOUNTS]
+    return stored.select(*names, F.array_join("diet_labels", ",").alias("diet_labels"), "verified")

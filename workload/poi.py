@@ -179,6 +179,27 @@ def poi_around_page(spark, sf_dir):
     return page.select("arrival", F.round("km", 6).alias("km"))
 
 
+@query(
+    "poi_requests_page",
+    MAP + f""", asked AS (SELECT c_custkey AS request_id, 39.75e0 + (c_custkey % 20) / 100e0 AS lat, 116.10e0 + (c_custkey % 60) / 100e0 AS lng,
+      c_custkey % 3 + 1 AS page, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'tofu' ELSE 'peanut' END AS keyword FROM customer),
+    placed AS (SELECT arrival, lower(concat(name, '|', tag, '|', type)) AS body, {_LAT} AS plat, {_LNG} AS plng FROM poi_map),
+    met AS (SELECT request_id, page, arrival, {sql.haversine('lat', 'lng', 'plat', 'plng')} AS km FROM asked, placed WHERE contains(body, coalesce(keyword, ''))),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY km, arrival) AS position FROM met WHERE km <= 12e0)
+    SELECT request_id, CAST(position AS INT) AS position, arrival, round(km, 6) AS km FROM ranked WHERE position > (page - 1) * 5 AND position <= page * 5""",
+)
+def poi_requests_page(spark, sf_dir):
+    """Requests from a table, so both sides of the join grow."""
+    from workload.bindings import table
+
+    key = F.col("c_custkey")
+    asked = table(spark, sf_dir, "customer").select(
+        key.alias("request_id"), (39.75 + (key % 20) / 100).alias("lat"), (116.10 + (key % 60) / 100).alias("lng"), F.lit(12.0).alias("radius_km"),
+        (key % 3 + 1).alias("page"), F.lit(5).alias("page_size"), F.when(key % 4 == 1, "").when(key % 4 == 2, "Tofu").when(key % 4 == 3, "peanut").alias("keyword"),
+    )
+    return poi.pages_around(pois(spark, sf_dir), asked).select("request_id", "position", "arrival", F.round("km", 6).alias("km"))
+
+
 @query("poi_dedup", MAP + "SELECT CAST(id AS VARCHAR) AS id, min(arrival) AS arrival, arg_min(name, arrival) AS name FROM poi_map GROUP BY 1")
 def poi_dedup(spark, sf_dir):
     return poi.first_seen(pois(spark, sf_dir), "id", ["arrival"]).select("id", "arrival", "name")
@@ -186,13 +207,20 @@ def poi_dedup(spark, sf_dir):
 
 @query(
     "source_fallback",
-    ctes("poi_map", "poi_osm") + ", p AS (SELECT arrival % 7 AS area, name FROM poi_map WHERE arrival % 7 < 4), f AS (SELECT id % 7 AS area, coalesce(tag_name, '') AS name FROM poi_osm) "
-    "SELECT area, 'primary' AS origin, count(*) AS n FROM p GROUP BY 1 UNION ALL SELECT area, 'fallback', count(*) FROM f WHERE area NOT IN (SELECT area FROM p) GROUP BY 1",
+    MAP + OSM.replace("WITH ", ", ", 1) + f""", p AS (SELECT *, arrival % 7 AS area FROM ({_normal_sql('gaode_', 'gaode', 5, '')}))
+    , f AS (SELECT id % 7 AS area, concat('osm_', type, '_', CAST(id AS VARCHAR)) AS restaurant_id, coalesce(tag_name, tag_name_zh) AS name, {_CUISINE} AS cuisine_type,
+      CASE WHEN tag_price_level = '2' THEN 2 END AS price_level, CAST(NULL AS DOUBLE) AS rating, {_OSM_LAT} AS lat, lon AS lng, 'osm' AS source FROM poi_osm WHERE coalesce(tag_name, tag_name_zh) IS NOT NULL)
+    SELECT area, restaurant_id, name, cuisine_type, price_level, rating, lat, lng, source FROM p WHERE area < 4
+    UNION ALL SELECT * FROM f WHERE area NOT IN (SELECT area FROM p WHERE area < 4)""",
 )
 def source_fallback(spark, sf_dir):
-    primary = view(spark, sf_dir, "poi_map").select((F.col("arrival") % 7).alias("area"), "name", F.lit("primary").alias("origin")).filter("area < 4")
-    fallback = view(spark, sf_dir, "poi_osm").select((F.col("id") % 7).alias("area"), F.coalesce("tag_name", F.lit("")).alias("name"), F.lit("fallback").alias("origin"))
-    return primary_or_fallback(primary, fallback, "area").groupBy("area", "origin").agg(F.count("*").alias("n"))
+    """Whole documents: four areas have the first source, the others only the second."""
+    first = poi.normalize_pois(pois(spark, sf_dir), keep=("arrival",)).withColumn("area", F.col("arrival") % 7).filter("area < 4")
+    first = first.drop("arrival")
+    numbered = F.regexp_extract("restaurant_id", "[0-9]+$", 0).cast("bigint")
+    second = poi.normalize_features(features(spark, sf_dir)).withColumn("area", numbered % 7)
+    found = primary_or_fallback(first, second, "area")
+    return found.select("area", "restaurant_id", "name", "cuisine_type", "price_level", "rating", "geo.lat", "geo.lng", "source")
 
 
 @query(
@@ -218,11 +246,11 @@ INGEST_ROWS = """SELECT restaurant_id, name, price_level, array_to_string(d, ','
 
 
 @query(
-    "ingest_merge",
+    "ingest_pipeline",
     ctes("restaurants", "poi_map") + ingest_sql() + " " + INGEST_ROWS
     + " UNION ALL SELECT restaurant_id, name, price_level, coalesce(diet_labels, ''), coalesce(allergens, ''), coalesce(allergen_free, '') FROM restaurants",
 )
-def ingest_merge(spark, sf_dir):
+def ingest_pipeline(spark, sf_dir):
     raw = pois(spark, sf_dir)
     fetched = poi.normalize_pois(raw, keep=("arrival",))
     return ingest_columns(ingest(restaurants(spark, sf_dir), fetched, ["arrival"]))
