@@ -26,10 +26,14 @@ def trigger_key(q: Column, lat: Column, lng: Column) -> Column:
     return F.concat(words, F.lit(":"), place)
 
 
+def is_short() -> Column:
+    """First page of a search with text and too few hits."""
+    return (F.col("total") < fixed.UNDERSERVED_BELOW) & (F.col("page_offset") == 0) & (F.col("q") != "")
+
+
 def requests_to_check(log: DataFrame) -> DataFrame:
     """First-page searches with text and too few hits, with their trigger key."""
-    short = (F.col("total") < fixed.UNDERSERVED_BELOW) & (F.col("page_offset") == 0) & (F.col("q") != "")
-    return log.filter(short).withColumn("trigger_key", trigger_key(F.col("q"), F.col("lat"), F.col("lng")))
+    return log.filter(is_short()).withColumn("trigger_key", trigger_key(F.col("q"), F.col("lat"), F.col("lng")))
 
 
 def manual_requests(asked: DataFrame) -> DataFrame:
@@ -82,6 +86,15 @@ def fired(events: DataFrame, key: str = "trigger_key", at: str = "ts", lock_seco
     return reached.select(F.col("k").alias(key), F.timestamp_micros("t").cast(events.schema[at].dataType).alias(at))
 
 
+def with_triggers(log: DataFrame, lock_seconds: int = fixed.TRIGGER_LOCK_SECONDS) -> DataFrame:
+    """The search log with ``underserved``, and ``triggered``: underserved and not held back by the lock of its key."""
+    short = requests_to_check(log)
+    when = fired(short, lock_seconds=lock_seconds).withColumn("_fired", F.lit(True))
+    key = trigger_key(F.col("q"), F.col("lat"), F.col("lng"))
+    marked = log.withColumns({"underserved": F.coalesce(is_short(), F.lit(False)), "trigger_key": key}).join(when, ["trigger_key", "ts"], "left")
+    return marked.withColumn("triggered", F.col("underserved") & F.col("_fired").isNotNull()).drop("_fired").select(*log.columns, "underserved", "triggered")
+
+
 def follow(starts: DataFrame, jumps: DataFrame) -> DataFrame:
     """All (k, t) reachable from the starts; each round doubles the length of the jumps."""
     reached = starts

@@ -78,6 +78,21 @@ def trigger_ttl(spark, sf_dir):
     return trigger.fired(trigger.requests_to_check(view(spark, sf_dir, "search_log")))
 
 
+@query(
+    "search_triggered",
+    ctes("search_log").replace("WITH ", "WITH RECURSIVE ", 1)
+    + ", " + _SHORT + """, fires AS (
+      SELECT trigger_key AS k, min(ts) AS at FROM ev GROUP BY 1
+      UNION ALL
+      SELECT f.k, (SELECT min(e.ts) FROM ev e WHERE e.trigger_key = f.k AND e.ts >= f.at + INTERVAL 300 SECOND) AS at FROM fires f WHERE f.at IS NOT NULL)
+    """ + f"""SELECT event_id, total, total < 5 AND page_offset = 0 AND q <> '' AS underserved, total < 5 AND page_offset = 0 AND q <> '' AND fires.at IS NOT NULL AS triggered
+    FROM search_log LEFT JOIN fires ON k = {_KEY} AND fires.at = ts""",
+)
+def search_triggered(spark, sf_dir):
+    """Every search with both flags: too few hits, and the one that starts a crawl."""
+    return trigger.with_triggers(view(spark, sf_dir, "search_log")).select("event_id", "total", "underserved", "triggered")
+
+
 # every event asks for a refresh of one city and keyword
 _CITY = "CASE event_id % 5 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(fixed.REFRESH_CITIES)) + " END"
 _WORD = f"CASE event_id % {len(fixed.REFRESH_KEYWORDS)} " + " ".join(f"WHEN {i} THEN {sql.quote(w)}" for i, w in enumerate(fixed.REFRESH_KEYWORDS)) + " END"
