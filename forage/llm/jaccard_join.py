@@ -170,10 +170,10 @@ def candidates(docs: DataFrame, base: DataFrame) -> DataFrame:
 
     # Nodes made of frequent shingles have an order of their own, the rarest among them first.
     ranks = full.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = full.join(ranks, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"))
-    chosen = ordered.select("node", "n", F.slice("all", 1, needed.cast("int")).alias("first"))
-    crowded = F.size(F.filter("first", lambda t: t["df"] > FREQUENT))
-    first = cut(chosen.select("node", "n", crowded.alias("crowded"), F.explode("first").alias("t")).select("node", "n", "crowded", "t.df", "t.token"), "first")
+    own = Window.partitionBy("node")
+    ordered = full.join(ranks, "token").withColumn("place", F.row_number().over(own.orderBy("df", "token"))).filter(F.col("place") <= needed)
+    crowded = F.count(F.when(F.col("df") > FREQUENT, 1)).over(own)
+    first = cut(ordered.withColumn("crowded", crowded).select("node", "n", "crowded", "df", "token"), "first")
     alone = first.filter(F.col("df") <= FREQUENT).drop("df")
     inner = _pairs(alone, alone, True).withColumn("shared", F.col("shared") + F.least("crowded", "crowded_b")).filter(_enough("shared", "n", "n_b"))
     # Whatever shares one of the others goes to one region, without listing its pairs.
