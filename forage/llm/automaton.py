@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forage.llm import scan
-from forage.llm.frames import extended, set_aside
+from forage.llm.frames import set_aside
 from forage.session import cut
 
 WIDTH = 10
@@ -166,17 +166,21 @@ def blocks_of(items: DataFrame, words: int) -> list[DataFrame]:
     return [sized.filter(key == k) if n > 1 else sized for k in range(n)]
 
 
-def match(docs: DataFrame, items: DataFrame, width: int = WIDTH, text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def match(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_span: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Add ``n_words``, ``hits`` (merged spans of hit words: start, end, start, end ...) and ``item_ids``.
 
-    Null texts have no words.  An empty benchmark hits nothing.  Items that
-    share an id count as one; an item with a null id hits words but is not
-    listed.  Columns of ``docs`` with the added names are replaced.
+    With ``min_span``, also ``clean``, the text without hit spans of so many
+    words, and ``n_lost``, the words that are gone.  Null texts have no words.
+    An empty benchmark hits nothing.  Items that share an id count as one; an
+    item with a null id hits words but is not listed.  Columns of ``docs`` with
+    the added names are replaced.
     """
     integers = T.ArrayType(T.IntegerType())
-    docs = docs.drop("n_words", "hits", "item_ids")
+    docs = docs.drop("n_words", "hits", "item_ids", "clean", "n_lost")
     names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("hits", integers), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("n_words", T.LongType())])
+    added = [T.StructField("hits", integers), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("n_words", T.LongType())]
+    added += [T.StructField("clean", T.StringType()), T.StructField("n_lost", T.LongType())] if min_span else []
+    schema = T.StructType([*docs.schema.fields, *added])
     docs = docs.withColumn("hits", F.array().cast(integers)).withColumn("item_ids", F.array().cast("array<string>"))
     blocks = blocks_of(items, block_words)
     for k, block in enumerate(blocks):
@@ -187,9 +191,9 @@ def match(docs: DataFrame, items: DataFrame, width: int = WIDTH, text: str = "te
             matcher = Matcher(sent.value)
             for batch in batches:
                 earlier, listed = batch.column("hits").to_pylist(), batch.column("item_ids").to_pylist()
-                counts, hits, found = [], [], []
-                for part in scan.slices(batch.column(text)):
-                    _, _, bounds, hit, items = matcher.find(part)
+                counts, hits, found, clean, lost = [], [], [], [], []
+                for part in scan.slices(batch.column("text")):
+                    starts, ends, bounds, hit, items = matcher.find(part)
                     counts += np.diff(bounds).tolist()
                     for i, row in enumerate(range(part.first, part.last)):
                         if earlier[row]:
@@ -199,14 +203,17 @@ def match(docs: DataFrame, items: DataFrame, width: int = WIDTH, text: str = "te
                     cut_at = np.searchsorted(first, bounds)
                     for i, row in enumerate(range(part.first, part.last)):
                         a, b = cut_at[i], cut_at[i + 1]
-                        hits.append((np.stack([first[a:b], last[a:b]], 1).ravel() - bounds[i]).tolist() if a < b else [])
+                        spans = list(zip(first[a:b].tolist(), last[a:b].tolist()))
+                        hits.append([int(v - bounds[i]) for span in spans for v in span])
                         found.append(sorted({*(listed[row] or []), *(x for x in items.get(i, ()) if x is not None)}))
-                kept = pa.RecordBatch.from_arrays([batch.column(c) for c in names], names)
-                yield scan.with_columns(kept, {
-                    "hits": pa.array(hits, pa.list_(pa.int32())),
-                    "item_ids": pa.array(found, pa.list_(pa.string())),
-                    "n_words": pa.array(counts, pa.int64()),
-                })
+                        if min_span:
+                            long = [(p, q) for p, q in spans if q - p >= min_span]
+                            clean.append(_without(part, i, [(starts[p], ends[q - 1]) for p, q in long]) if long else None)
+                            lost.append(sum(q - p for p, q in long))
+                made = {"hits": pa.array(hits, pa.list_(pa.int32())), "item_ids": pa.array(found, pa.list_(pa.string())), "n_words": pa.array(counts, pa.int64())}
+                if min_span:
+                    made |= {"clean": pa.array(clean, pa.string()), "n_lost": pa.array(lost, pa.int64())}
+                yield scan.with_columns(pa.RecordBatch.from_arrays([batch.column(c) for c in names], names), made)
 
         docs = docs.mapInArrow(run, schema)
         if k + 1 < len(blocks):
@@ -214,6 +221,13 @@ def match(docs: DataFrame, items: DataFrame, width: int = WIDTH, text: str = "te
     return docs
 
 
+def _without(part: scan.Slice, row: int, spans: list[tuple[int, int]]) -> str:
+    """A text without the given stretches of bytes."""
+    begin, end = part.offsets[row], part.offsets[row + 1]
+    edges = [begin, *(edge for span in spans for edge in span), end]
+    return b"".join(part.data[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2])).decode()
+
+
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """Digest per document: n_words, n_hit, n_items, items_sha256, contaminated."""
     found = match(docs.select("doc_id", "text"), items, width)
@@ -224,43 +238,17 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
     )
 
 
-def cut_spans(hits: pa.Array, column: pa.Array, min_span: int) -> tuple[list[str], list[int]]:
-    """Texts without the words of long spans, and how many words each lost."""
-    texts, lost, spans = [], [], hits.to_pylist()
-    for part in scan.slices(column):
-        starts, ends, bounds = part.spans(scan.ALPHANUMERIC[part.data])
-        for i, row in enumerate(range(part.first, part.last)):
-            raw, at, kept, n = part.text(i), 0, [], 0
-            for a, b in zip(spans[row][::2], spans[row][1::2]):
-                if b - a >= min_span:
-                    kept.append(raw[at : starts[bounds[i] + a] - part.offsets[i]])
-                    at = ends[bounds[i] + b - 1] - part.offsets[i]
-                    n += b - a
-            texts.append(b"".join([*kept, raw[at:]]).decode())
-            lost.append(n)
-    return texts, lost
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_span: int = MIN_SPAN, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """Cut hit spans of at least ``min_span`` words out of texts; drop texts that lose more than ``max_coverage``.
 
     Texts without such spans come back unchanged, null ones too, and so does
     every other column, whatever its name.
     """
-    given, names = set_aside(docs, "hits", "item_ids", "n_words", "_text", "_lost")
-    found = match(given, items, width)
-
-    def run(batches):
-        for batch in batches:
-            texts, lost = cut_spans(batch.column("hits"), batch.column("text"), min_span)
-            yield scan.with_columns(batch, {"_text": pa.array(texts, pa.string()), "_lost": pa.array(lost, pa.int64())})
-
-    cut_out = extended(found, run, _text=T.StringType(), _lost=T.LongType())
-    kept = cut_out.filter(F.col("_lost") <= F.col("n_words") * max_coverage)
-    changed = F.col("_lost") > 0
-    text = F.when(changed, F.col("_text")).otherwise(F.col("text"))
-    columns = {"text": text}
+    given, names = set_aside(docs, "hits", "item_ids", "n_words", "clean", "n_lost")
+    found = match(given, items, width, min_span)
+    kept = found.filter(F.col("n_lost") <= F.col("n_words") * max_coverage)
+    columns = {"text": F.coalesce("clean", "text")}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(changed, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        length = F.length("clean").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("n_lost") > 0, length).otherwise(F.col("n_chars"))
     return kept.select(*[columns.get(c, F.col(f"`{n}`")).alias(c) for c, n in names.items()])
-

@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from forage.llm import scan
 from forage.llm.components import components
+from forage.llm.frames import set_aside
 from forage.session import cut
 
 WIDTH = 5
@@ -99,8 +100,9 @@ def sets(docs: DataFrame, spare: int, wanted: DataFrame | None = None) -> DataFr
         seen = set()
         cells = None if maybe is None else np.unpackbits(maybe.value).astype(bool)
         for batch in batches:
-            ids, rows = batch.column("doc_id"), []
+            ids = batch.column("doc_id")
             for part in scan.slices(batch.column("text")):
+                rows = []
                 for row, tokens in enumerate(_slice_sets(part), part.first):
                     node = _node(tokens) if len(tokens) else None
                     fresh = node is not None and node not in seen
@@ -109,10 +111,10 @@ def sets(docs: DataFrame, spare: int, wanted: DataFrame | None = None) -> DataFr
                     seen.add(node)
                     keep = min(len(tokens), first_tokens(len(tokens)) + spare)
                     rows.append((row, node, len(tokens), tokens[:keep].view(np.int64) if fresh else None))
-            yield pa.RecordBatch.from_arrays([
-                ids.take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64()),
-                pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], _LONGS),
-            ], ["doc_id", "node", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([
+                    ids.take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64()),
+                    pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], _LONGS),
+                ], ["doc_id", "node", "n", "tokens"])
 
     kind = docs.schema["doc_id"]
     schema = T.StructType([kind, T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
@@ -359,7 +361,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     doc_id stay, because nothing tells them apart.
     """
     kept = join(docs.select("doc_id", "text")).filter("doc_id = component_id").select("doc_id").distinct()
-    found = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
+    given, names = set_aside(docs, "_again")
+    found = given.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
     again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
-    found = found.withColumn("_again", again).filter("_again = 1").drop("_again")
+    found = found.withColumn("_again", again).filter("_again = 1").select(*[F.col(f"`{n}`").alias(c) for c, n in names.items()])
     return docs.filter("doc_id is null").unionByName(found)

@@ -37,7 +37,7 @@ def cases():
 def check(spark, documents, block_words, monkeypatch):
     docs, items = cases()
     monkeypatch.setattr(automaton, "BLOCK_WORDS", block_words)
-    monkeypatch.setattr(automaton.match, "__defaults__", (automaton.WIDTH, "text", block_words))
+    monkeypatch.setattr(automaton.match, "__defaults__", (automaton.WIDTH, None, block_words))
     table = spark.createDataFrame(items, "item_id long, text string")
     got = sorted(tuple(r) for r in automaton.contamination(documents(docs, CLASHING), table).collect())
     assert got == sorted((k, *brute(t, items)) for k, t in docs)
