@@ -122,3 +122,34 @@ def test_ingest_stream_over_files(spark):
     assert once == key(whole) and len(once) == 5
     ingest.start_ingest(poi.normalize_pois(stream, keep=("seq",)), log, work_path(spark, "state")).awaitTermination()
     assert key(ingest.snapshot(spark, current, log, ["seq"])) == once
+
+
+def test_ways_are_selected_by_their_centre(spark):
+    """A way comes with a centre and no place of its own."""
+    schema = "type string, id long, lat double, lon double, center struct<lat: double, lon: double>, tags map<string, string>"
+    rows = [
+        ("way", 1, None, None, (39.9, 116.4), {"amenity": "restaurant", "name": "A"}),
+        ("node", 2, 39.9, 116.4, None, {"amenity": "cafe", "name": "B"}),
+        ("way", 3, None, None, (10.0, 10.0), {"amenity": "restaurant", "name": "C"}),
+        ("way", 4, None, None, None, {"amenity": "restaurant", "name": "D"}),
+    ]
+    dump = spark.createDataFrame(rows, schema)
+    ids = lambda found: sorted(r["id"] for r in found.collect())
+    assert ids(poi.features_around(dump, 39.9, 116.4, 1000)) == [1, 2]
+    assert ids(poi.features_in_box(dump, (39.0, 116.0, 40.0, 117.0))) == [1, 2]
+    assert ids(poi.in_cities(dump, spark.createDataFrame([("beijing",)], "city string"))) == [1, 2]
+
+
+def test_pages_around_equal_single_pages(spark):
+    pois = spark.createDataFrame(
+        [(k, f"n{k}", "food", "tofu" if k % 2 else "soup", f"{116.4 + k % 7 / 100},{39.9 + k % 5 / 100}") for k in range(60)],
+        "arrival int, name string, type string, tag string, location string",
+    )
+    asked = [(1, 39.9, 116.4, 3.0, 2, 5, "TOFU"), (2, 39.95, 116.45, 5.0, 1, 7, None), (3, 0.0, 0.0, 5.0, 1, 7, "")]
+    table = spark.createDataFrame(asked, "request_id int, lat double, lng double, radius_km double, page int, page_size int, keyword string")
+    got = sorted((r["request_id"], r["position"], r["arrival"]) for r in poi.pages_around(pois, table).collect())
+    want = []
+    for key, lat, lng, km, page, size, word in asked:
+        found = poi.around_page(pois, lat, lng, int(km * 1000), page, size, word).collect()
+        want += [(key, (page - 1) * size + i + 1, r["arrival"]) for i, r in enumerate(found)]
+    assert got == sorted(want) and got

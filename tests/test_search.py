@@ -62,13 +62,23 @@ def test_same_text_is_one_need(catalog, requests, profiles):
     assert needs[1] == needs[2] and len(set(needs.values())) == 6
 
 
-def test_shuffled_joins_give_the_same(catalog, requests, profiles, monkeypatch):
+def test_shuffled_joins_give_the_same(spark, catalog, requests, profiles):
     small = plan.search(requests, catalog, profiles)
     expected, facet_rows = hits(small), sorted(map(tuple, small.facets.collect()))
-    monkeypatch.setattr(plan, "BROADCAST_ROWS", 0)
-    big = plan.search(requests, catalog, profiles)
-    assert hits(big) == expected
-    assert sorted(map(tuple, big.facets.collect())) == facet_rows
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = plan.search(requests, catalog, profiles)
+        assert hits(big) == expected
+        assert sorted(map(tuple, big.facets.collect())) == facet_rows
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_an_empty_page_has_no_hits_whatever_is_asked_beside_it(catalog, requests, profiles):
+    """Limit 0 gives nothing, also next to requests with hits."""
+    alone = hits(plan.search(requests.withColumn("limit", F.lit(0)), catalog, profiles))
+    beside = hits(plan.search(requests.withColumn("limit", F.when(F.col("query_id") == 1, 0).otherwise(F.col("limit"))), catalog, profiles))
+    assert not alone and beside and not [h for h in beside if h[0] == 1]
 
 
 def test_page_is_part_of_all(catalog, requests, profiles):
