@@ -195,3 +195,13 @@ ALLERGEN_NAMES = {
     "sesame": "芝麻",
 }
 DAILY_REFERENCE = {"calories": 2000, "protein_g": 60, "fat_g": 65, "carb_g": 300}
+
+# the two map-service variants
+POI_VARIANTS = {
+    "official": {"prefix": "gaode_", "source": "gaode", "photos": 5, "no_category": "", "keep_unnamed": True, "page": 25},
+    "web": {"prefix": "amap_", "source": "amap_web", "photos": 4, "no_category": "餐厅", "keep_unnamed": False, "page": 20},
+}
+
+# element types of the amenities that a selection takes
+AROUND_KINDS = {"restaurant": ("node", "way"), "cafe": ("node",), "fast_food": ("node",)}
+BOX_KINDS = {"restaurant": ("node", "way"), "cafe": ("node",)}

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this many rows per key Spark cuts each map task to its own best rows
-# before the shuffle (window group limit), so a hot key costs k rows per task.
-GROUP_LIMIT = 1000
+# Up to so many rows per key Spark cuts each map task to its own best rows before
+# the shuffle, so a hot key costs k rows per task.
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def top_k(
@@ -15,11 +15,11 @@ def top_k(
 ) -> DataFrame:
     """The first ``k`` rows of every key with their 1-based rank.
 
-    Beyond the group-limit threshold the cut is made in two steps: first inside
+    Beyond the session's group-limit threshold the cut is made in two steps: first inside
     ``salts`` slices of every key (slices by hash of ``spread_by``), then over
     the survivors, so no task ever sorts a whole hot key.
     """
-    if k > GROUP_LIMIT:
+    if k > int(df.sparkSession.conf.get(GROUP_LIMIT, "0")):
         slice_of = F.pmod(F.xxhash64(spread_by), F.lit(salts))
         inner = Window.partitionBy(*keys, slice_of).orderBy(*order)
         df = df.withColumn(rank, F.row_number().over(inner)).filter(F.col(rank) <= k).drop(rank)

@@ -56,16 +56,9 @@ def normalize_features(features: DataFrame) -> DataFrame:
     )
 
 
-# --- fixed values: the two map-service variants ------------------------------
-POI_VARIANTS = {
-    "official": {"prefix": "gaode_", "source": "gaode", "photos": 5, "no_category": "", "keep_unnamed": True, "page": 25},
-    "web": {"prefix": "amap_", "source": "amap_web", "photos": 4, "no_category": "餐厅", "keep_unnamed": False, "page": 20},
-}
-
-
 def normalize_pois(pois: DataFrame, variant: str = "official", keep: tuple[str, ...] = ()) -> DataFrame:
     """Map-service POIs -> restaurants; ``keep`` names input columns to carry along, such as a merge order."""
-    rule = POI_VARIANTS[variant]
+    rule = fixed.POI_VARIANTS[variant]
     blank = F.lit("")
     named = pois if rule["keep_unnamed"] else pois.filter(poi.filled(F.col("name")).isNotNull())
     text = lambda column: F.coalesce(F.col(column), blank)
@@ -94,9 +87,6 @@ def normalize_pois(pois: DataFrame, variant: str = "official", keep: tuple[str,
 
 # --- selections over a dump --------------------------------------------------
 
-AROUND_KINDS = {"restaurant": ("node", "way"), "cafe": ("node",), "fast_food": ("node",)}
-BOX_KINDS = {"restaurant": ("node", "way"), "cafe": ("node",)}
-
 
 def place_of(features: DataFrame, part: str) -> Column:
     """``lat`` or ``lon`` of an element: ways and relations come with a centre, nodes with a place of their own."""
@@ -117,7 +107,7 @@ def _named_like(features: DataFrame, keyword: str | None) -> DataFrame:
 
 def features_around(features: DataFrame, lat: float, lng: float, radius_m: int = 5000, keyword: str | None = None) -> DataFrame:
     """Eating places within a radius, optionally with a name pattern."""
-    kept = features.filter(_of_kind(AROUND_KINDS, poi.tag(F.col("tags"), "amenity")))
+    kept = features.filter(_of_kind(fixed.AROUND_KINDS, poi.tag(F.col("tags"), "amenity")))
     placed = _named_like(kept, keyword).withColumns({"_lat": place_of(features, "lat"), "_lon": place_of(features, "lon")})
     return radius_filter(placed, lat, lng, radius_m / 1000.0, "_lat", "_lon").drop("_lat", "_lon")
 
@@ -125,7 +115,7 @@ def features_around(features: DataFrame, lat: float, lng: float, radius_m: int =
 def features_in_box(features: DataFrame, box: tuple[float, float, float, float], keyword: str | None = None) -> DataFrame:
     south, west, north, east = box
     inside = place_of(features, "lat").between(south, north) & place_of(features, "lon").between(west, east)
-    kept = features.filter(inside & _of_kind(BOX_KINDS, poi.tag(F.col("tags"), "amenity")))
+    kept = features.filter(inside & _of_kind(fixed.BOX_KINDS, poi.tag(F.col("tags"), "amenity")))
     return _named_like(kept, keyword)
 
 
@@ -148,7 +138,7 @@ def in_cities(features: DataFrame, requests: DataFrame) -> DataFrame:
         F.when(place_of(features, "lat").between(s, n) & place_of(features, "lon").between(w, e), F.lit(city))
         for city, (s, w, n, e) in fixed.CITY_BOXES.items()
     ]
-    kept = features.filter(_of_kind(BOX_KINDS, poi.tag(F.col("tags"), "amenity")))
+    kept = features.filter(_of_kind(fixed.BOX_KINDS, poi.tag(F.col("tags"), "amenity")))
     tagged = kept.withColumn("resolved", F.explode_outer(F.array_compact(F.array(*inside))))
     return tagged.join(asked, "resolved")
 
@@ -164,7 +154,7 @@ def _keyword(pois: DataFrame, keyword: str | None, category: str | None, city: s
 
 
 def keyword_page(
-    pois: DataFrame, keyword: str, page: int, page_size: int = POI_VARIANTS["official"]["page"], category: str | None = None, city: str | None = None
+    pois: DataFrame, keyword: str, page: int, page_size: int = fixed.POI_VARIANTS["official"]["page"], category: str | None = None, city: str | None = None
 ) -> DataFrame:
     """One numbered page of matching POIs, in arrival order."""
     found = _keyword(pois, keyword, category, city)
@@ -172,7 +162,7 @@ def keyword_page(
 
 
 def around_page(
-    pois: DataFrame, lat: float, lng: float, radius_m: int, page: int, page_size: int = POI_VARIANTS["official"]["page"], keyword: str | None = None
+    pois: DataFrame, lat: float, lng: float, radius_m: int, page: int, page_size: int = fixed.POI_VARIANTS["official"]["page"], keyword: str | None = None
 ) -> DataFrame:
     """One numbered page of the POIs within a radius, nearest first, with ``km``."""
     placed = _keyword(pois, keyword, None, None).withColumn("place", poi.location(F.col("location")))
