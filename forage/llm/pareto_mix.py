@@ -103,10 +103,10 @@ def mix(docs: DataFrame) -> DataFrame:
     """
     docs = docs.drop("size", "source_size", "target", "taken", "copies")
     number = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 13), 16, 10).cast("bigint")
-    sized = docs.withColumn("size", size_of(F.col("text"))).withColumn("class", F.length(F.bin("size")))
     keep = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
-    sized = sized.withColumn("u", (number + 0.5) / float(2**52))
-    sized = cut(sized.select("doc_id", "source", "size", "class", "u", *([F.struct("text", *keep).alias("_rest")] if keep else [])), "sized")
+    rest = [F.struct("text", *[F.col(f"`{c}`") for c in keep]).alias("_rest")] if keep else []
+    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), ((number + 0.5) / float(2**52)).alias("u"), *rest)
+    sized = cut(sized.withColumn("class", F.length(F.bin("size"))), "sized")
     narrow = sized.select("doc_id", "source", "size", "class", "u")
     sources = cut(targets(narrow), "targets")
     plan = cut(copies(narrow, sources), "copies")

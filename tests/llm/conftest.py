@@ -3,7 +3,7 @@ from pyspark.sql import types as T
 
 DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
 #: Names that operators use for their own columns.
-CLASHING = ["size", "target", "taken", "score", "secrets", "hits", "item_ids", "n_words", "node", "label", "text_", "host", "anomaly", "lang_pred", "source_size", "copies"]
+CLASHING = ["size", "target", "taken", "score", "secrets", "hits", "item_ids", "n_words", "node", "label", "text_", "host", "anomaly", "lang_pred", "source_size", "copies", "class", "u", "rank", "bin", "_rest"]
 
 
 @pytest.fixture(scope="session", autouse=True)

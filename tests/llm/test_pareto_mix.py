@@ -50,6 +50,7 @@ def test_taken_words_come_near_targets_in_whole_copies(mixed):
     _, rows = mixed
     taken, target, largest = collections.Counter(), {}, collections.Counter()
     for r in rows:
+        assert all(r[c] == "x" for c in CLASHING if c not in ("size", "target", "taken", "source_size", "copies"))
         assert r["taken"] == r["copies"] * r["size"] and 0 <= r["copies"] <= 3
         taken[r["source"]] += r["taken"]
         target[r["source"]] = r["target"]
