@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from forage.llm import scan
 from forage.llm.frames import chance, extended
 from forage.llm.zstd_quality import is_held_out
+from forage.session import cut
 
 BITS = 16
 LEXICON = 8192
@@ -242,7 +243,8 @@ def fit(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Model | None:
     """Learn from about ``rows`` texts of each language that are not held out; none where no language is given."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     known = known.filter(F.octet_length("text") <= MAX_TRAINING_BYTES)
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    # a written table has a known size, so the join with it moves no text
+    counts = cut(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     chosen = known.join(counts, "lang").filter(chance("doc_id") < rows / F.col("n"))
     sample = sorted(chosen.select("lang", "doc_id", "text").collect())
     return train([r.text for r in sample], [r.lang for r in sample])
