@@ -150,3 +150,39 @@ def test_every_repeated_passage_is_found_and_none_other(documents, docs, prose):
         assert len(a & b) >= 0.75 * len(a | b)
     clean = {k for k in range(60)} - {k for k, t in docs if k < 60 and any(x != k and len(shingles(t) & shingles(o)) > 5 for x, o in docs)}
     assert not hit & clean
+
+
+@pytest.mark.parametrize("size, edits", [(50, 1), (60, 1), (66, 1), (100, 2), (130, 3)])
+def test_evenly_edited_passages_are_verified(size, edits):
+    x, y = list(range(size)), list(range(size))
+    for k in range(1, edits + 1):
+        y[k * size // (edits + 1)] = -k
+    x, y = (near_stretch(w, side) for w, side in ((x, 1), (y, 2)))
+    (a, b, c, d, similarity), *_ = compact_windows.verified(x, y)
+    assert b - a >= compact_windows.SPAN and d - c >= compact_windows.SPAN and similarity >= 0.75
+
+
+def near_stretch(words, side):
+    """Shingle numbers of words between 40 words that are the side's own."""
+    own = [(side, k) for k in range(80)]
+    w = [*own[:40], *words, *own[40:]]
+    return np.array([hash(tuple(w[i : i + 5])) & (2**64 - 1) for i in range(len(w) - 4)], dtype=np.uint64)
+
+
+def test_a_block_that_one_text_lacks_is_verified():
+    words = list(range(100))
+    (_, _, _, _, similarity), *_ = compact_windows.verified(near_stretch(words[:44] + words[56:], 1), near_stretch(words, 2))
+    assert similarity >= 0.75
+
+
+def test_edited_passages_are_verified_as_often_as_they_are_near():
+    rng = random.Random(3)
+    lost = near = 0
+    for k in range(400):
+        words = list(range(rng.randrange(50, 180)))
+        other = [w if rng.random() > 0.03 else -1 - w for w in words if rng.random() > 0.01]
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words, other))
+        if len(other) >= 50 and len(a & b) >= 0.75 * len(a | b):
+            near += 1
+            lost += not compact_windows.verified(near_stretch(words, 1), near_stretch(other, 2))
+    assert near > 100 and lost == 0
