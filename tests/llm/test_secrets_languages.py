@@ -62,6 +62,46 @@ def test_redaction(documents, secret_docs):
     assert novelty.report(documents([])).count() == 0
 
 
+def spans_of(text, known):
+    return novelty.slice_spans(next(scan.slices(pa.array([text]))), known).get(0, [])
+
+
+@pytest.fixture(scope="module")
+def known(prose):
+    return novelty.Novelty(b"\n".join(prose(k, 200).encode() for k in range(40)))
+
+
+@pytest.mark.parametrize("distance", [1, 300, 1990, 2030, 2040, 3000])
+def test_a_repeated_key_does_not_explain_itself(prose, known, distance):
+    key = "Zq8x2LmQz91TnV0pRs4WbY7uC3eKd5Gh6JfA2XiM"
+    filler = prose(5, 1000)[: distance - 1]
+    text = f"{prose(1, 40)} the private credential {key} {filler} {key} end"
+    assert [text[a:b] for a, kind, b in spans_of(text, known) if kind == 3] == [key, key]
+
+
+def test_a_value_does_not_explain_its_assignment(prose, known):
+    key = "q7w1zk93xv5pm2tb8dn4rj6s"
+    text = f"{prose(1, 40)} bearer {key} {prose(2, 20)} credential id={key}"
+    assert {text[a:b] for a, kind, b in spans_of(text, known) if kind == 3} == {key, f"id={key}"}
+
+
+@pytest.mark.parametrize("alphabet", ["0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEF"])
+@pytest.mark.parametrize("length", [20, 32, 64, 128])
+def test_random_keys_of_every_alphabet_are_found(prose, known, alphabet, length):
+    rng = random.Random(7)
+    keys = ["".join(rng.choice(alphabet) for _ in range(length)) for _ in range(40)]
+    found = [bool(spans_of(f"{prose(k, 60)} bearer {key} {prose(k + 1, 60)}", known)) for k, key in enumerate(keys)]
+    assert sum(found) >= 36
+
+
+def test_uuids_are_found_and_identifiers_are_not(prose, known):
+    rng = random.Random(9)
+    uuids = ["-".join("".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (8, 4, 4, 4, 12)) for _ in range(40)]
+    assert sum(bool(spans_of(f"{prose(k, 60)} bearer {u} {prose(k + 1, 60)}", known)) for k, u in enumerate(uuids)) >= 38
+    names = ["_".join(prose(k, 4).split()) + "_v2" for k in range(40)]
+    assert sum(bool(spans_of(f"{prose(k, 60)} bearer {n} {prose(k + 1, 60)}", known)) for k, n in enumerate(names)) <= 2
+
+
 def language(rng, letters, n):
     return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(n))
 
