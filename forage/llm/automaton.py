@@ -31,7 +31,7 @@ WIDTH = 10
 BLOCK_WORDS = 200_000
 #: Spans of at least so many words are cut out of a text ...
 MIN_SPAN = 10
-#: ... and a text that loses more than this share of its words is dropped.
+#: ... and a text with more than this share of its words hit, in spans of any length, is dropped.
 MAX_COVERAGE = 0.5
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -228,25 +228,28 @@ def _without(part: scan.Slice, row: int, spans: list[tuple[int, int]]) -> str:
     return b"".join(part.data[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2])).decode()
 
 
+def _hit_words() -> F.Column:
+    return F.aggregate(F.transform("hits", lambda v, i: F.when(i % 2 == 1, v).otherwise(-v)), F.lit(0), lambda a, b: a + b)
+
+
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """Digest per document: n_words, n_hit, n_items, items_sha256, contaminated."""
     found = match(docs.select("doc_id", "text"), items, width)
-    length = F.aggregate(F.transform("hits", lambda v, i: F.when(i % 2 == 1, v).otherwise(-v)), F.lit(0), lambda a, b: a + b)
     return found.select(
-        "doc_id", "n_words", length.cast("bigint").alias("n_hit"), F.size("item_ids").cast("bigint").alias("n_items"),
+        "doc_id", "n_words", _hit_words().cast("bigint").alias("n_hit"), F.size("item_ids").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
     )
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_span: int = MIN_SPAN, max_coverage: float = MAX_COVERAGE) -> DataFrame:
-    """Cut hit spans of at least ``min_span`` words out of texts; drop texts that lose more than ``max_coverage``.
+    """Cut hit spans of at least ``min_span`` words out of texts; drop texts with more than ``max_coverage`` of their words in hit spans of any length.
 
     Texts without such spans come back unchanged, null ones too, and so does
     every other column, whatever its name.
     """
     given, names = set_aside(docs, "hits", "item_ids", "n_words", "clean", "n_lost")
     found = match(given, items, width, min_span)
-    kept = found.filter(F.col("n_lost") <= F.col("n_words") * max_coverage)
+    kept = found.filter(_hit_words() <= F.col("n_words") * max_coverage)
     columns = {"text": F.coalesce("clean", "text")}
     if "n_chars" in docs.columns:
         length = F.length("clean").cast(docs.schema["n_chars"].dataType)

@@ -74,3 +74,10 @@ def test_automaton_knows_all_substrings_of_all_items():
     machine = SuffixAutomaton(items, 2)
     ids = [machine.vocabulary[w] for w in item_words("z y x y")]
     assert sorted((end, size, tuple(sorted(found))) for end, size, found in machine.matches(ids)) == [(3, 2, ("a", "b")), (4, 2, ("a", "b"))]
+
+
+def test_texts_of_short_items_are_dropped(spark, documents):
+    table = spark.createDataFrame([("s", "what is the capital of france"), ("t", "name the longest river")], "item_id string, text string")
+    texts = ["What is the capital of France?", "Name the longest river. What is the capital of France?", "so he asked what is the capital of france and then went on to speak of it"]
+    rows = {r.doc_id: r.text for r in automaton.decontaminate(documents(list(enumerate(texts))), table).collect()}
+    assert rows == {2: texts[2]}
