@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forage.llm import automaton, compact_windows, jaccard_join, lang_crf, novelty, pareto_mix, rule_forest, warc, wrapper, zstd_quality
+from forage.llm import automaton, compact_windows, exact_dedup, jaccard_join, lang_crf, novelty, pareto_mix, rule_forest, warc, wrapper, zstd_quality
 from forage.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_compact_windows")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_windows.passages(table(spark, sf_dir, "documents"))
+
+
+EXACT_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER o AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER o = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW o AS (PARTITION BY t ORDER BY n DESC, doc_id ASC NULLS LAST)
+"""
+
+
+@query("op12_exact_dedup", EXACT_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.digest(table(spark, sf_dir, "documents"))
