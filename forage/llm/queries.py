@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forage.llm import automaton, compact_windows, exact_dedup, jaccard_join, lang_crf, novelty, pareto_mix, rule_forest, warc, wrapper, zstd_quality
+from forage.llm import automaton, centroids, compact_windows, exact_dedup, jaccard_join, lang_crf, novelty, pareto_mix, rule_forest, warc, wrapper, zstd_quality
 from forage.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,27 @@ FROM d WINDOW o AS (PARTITION BY t ORDER BY n DESC, doc_id ASC NULLS LAST)
 @query("op12_exact_dedup", EXACT_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+def _centroid_sql(rounds: int) -> str:
+    """Every vector against every centroid, round by round."""
+    whole = f"list_transform(embedding, lambda x: CAST(least(greatest(floor(64 * CAST(x AS DOUBLE)), -{centroids.LARGEST}), {centroids.LARGEST}) AS BIGINT))"
+    parts = [
+        f"k AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, {whole} AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS cluster, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM k ORDER BY h NULLS LAST, v LIMIT 16))",
+    ]
+    distance = "CAST(list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    for n in range(rounds + 1):
+        parts.append(f"a{n} AS MATERIALIZED (SELECT i, min(struct_pack(d := {distance}, c := c.cluster)) AS b FROM k, c{n} c GROUP BY i)")
+        if n < rounds:
+            parts.append(f"m{n} AS (SELECT cluster, p, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT b.c AS cluster, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM a{n} JOIN k USING (i)) GROUP BY ALL)")
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{n} c LEFT JOIN (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY p) AS v FROM m{n} GROUP BY cluster) m USING (cluster))")
+    return (
+        f"WITH {', '.join(parts)} SELECT vec_id, CAST(b.c AS INTEGER) AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia, "
+        f"CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} JOIN k USING (i) JOIN c{rounds} c ON c.cluster = b.c"
+    )
+
+
+@query("op11_equal_average_clusters", _centroid_sql(centroids.ROUNDS))
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digest(table(spark, sf_dir, "embeddings"))
