@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forage.llm import automaton, centroids, compact_windows, exact_dedup, jaccard_join, lang_crf, novelty, pareto_mix, rule_forest, warc, wrapper, zstd_quality
+from forage.llm import automaton, centroids, compact_windows, exact_dedup, jaccard_join, lang_crf, novelty, pareto_mix, rule_forest, turn_repair, warc, wrapper, zstd_quality
 from forage.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,56 @@ def _centroid_sql(rounds: int) -> str:
 @query("op11_equal_average_clusters", _centroid_sql(centroids.ROUNDS))
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.digest(table(spark, sf_dir, "embeddings"))
+
+
+def _repair_sql() -> str:
+    """The cheapest edits by a row-by-row recursion over (cost, letters) of four states."""
+    table_ = "(SELECT list_transform(range(256), lambda x: list_reduce([x] || range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS t)"
+    crc = "xor(list_reduce([4294967295] || list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(substr(key, i, 1)) AS BIGINT)), lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS INTEGER)])), 4294967295)"
+
+    def least(*ways: tuple[str, str, str]) -> str:
+        return "list_min([" + ", ".join(f"struct_pack(c := {z}.c + {cost}, a := {z}.a || '{letter}')" for z, cost, letter in ways) + "])"
+
+    def inserted(zs: list[str]) -> list[str]:
+        two = f"list_min([{zs[2]}, " + ", ".join(f"struct_pack(c := {zs[k]}.c + 5, a := {zs[k]}.a || 'I')" for k in (0, 1, 3)) + "])"
+        return [zs[0], zs[1], two, f"list_min([{zs[3]}, struct_pack(c := {zs[2]}.c + 5, a := {zs[2]}.a || 'I'), struct_pack(c := {zs[0]}.c + 10, a := {zs[0]}.a || 'II'), struct_pack(c := {zs[1]}.c + 10, a := {zs[1]}.a || 'II')])"]
+
+    no = 10**9
+    keep = lambda r: f"(p + CASE WHEN gone OR kind <> '{r}' THEN {no} ELSE 0 END)"
+    role = f"(p + 1 + CASE WHEN gone THEN {no} ELSE 0 END)"
+    steps = [
+        least(("z0", "2", "D")),
+        least(("z1", "2", "D"), ("z0", keep("s"), "K")),
+        least(("z2", "2", "D"), *(w for z in ("z0", "z1", "z3") for w in ((z, keep("u"), "K"), (z, role, "R")))),
+        least(("z3", "2", "D"), ("z2", keep("a"), "K"), ("z2", role, "R")),
+    ]
+    start = [f"struct_pack(c := CAST({c} AS BIGINT), a := '{a}')" for c, a in ((0, ""), (no, ""), (5, "I"), (10, "II"))]
+    after = inserted(["z0", "z1", "z2", "z3"])
+    return f"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+ z AS (SELECT k.*, {crc} % 20 AS z FROM k, {table_}),
+ r AS (SELECT g, turn, CASE WHEN z = 4 THEN 'user' ELSE role END AS role, CASE z WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE WHEN z = 3 THEN [1, 2] ELSE [1] END) AS copy FROM z WHERE z <> 0),
+ o AS (SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, left(role, 1) AS kind,
+  lead(left(role, 1)) OVER w AS next_kind, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS full_text FROM r WINDOW w AS (PARTITION BY g ORDER BY turn NULLS FIRST, role, md5(text), copy)),
+ f AS MATERIALIZED (SELECT *, full_text = '' AS blank, again AND full_text <> '' AS dup, NOT again AND full_text <> '' AND right(full_text, 1) NOT IN ('.', '!', '?') AS cut,
+  again OR full_text = '' AS gone, CASE WHEN NOT again AND full_text <> '' AND right(full_text, 1) NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS p FROM o),
+ d AS (SELECT DISTINCT g, CAST(0 AS BIGINT) AS i, {start[0]} AS z0, {start[1]} AS z1, {start[2]} AS z2, {start[3]} AS z3 FROM k
+  UNION ALL SELECT g, i, {', '.join(after)} FROM (SELECT d.g, f.i, {', '.join(f'{s} AS z{q}' for q, s in enumerate(steps))} FROM d JOIN f ON f.g = d.g AND f.i = d.i + 1)),
+ b AS (SELECT g, list_min([z0, z3]) AS best FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY i DESC) AS last FROM d) WHERE last = 1),
+ l AS (SELECT g, k, best.a AS a, substr(best.a, k, 1) AS ch, length(replace(substr(best.a, 1, k), 'I', '')) AS i, length(replace(substr(best.a, 1, k), 'D', '')) AS o,
+  length(replace(best.a, 'D', '')) % 2 AS odd FROM (SELECT *, unnest(range(1, length(best.a) + 1)) AS k FROM b)),
+ t AS (SELECT l.g, string_agg(CASE ch WHEN 'K' THEN f.role WHEN 'R' THEN CASE WHEN (o - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END ELSE CASE WHEN (o - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END END
+   || ':' || CASE WHEN ch = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY k) AS lines FROM l LEFT JOIN f ON f.g = l.g AND f.i = l.i WHERE ch <> 'D' GROUP BY l.g),
+ n AS (SELECT g, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated,
+  count(*) FILTER (next_kind IS NOT NULL AND kind || next_kind NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY g)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+ best.c AS cost, best.a AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT g, conv_id FROM k) c JOIN b USING (g) LEFT JOIN n USING (g) LEFT JOIN t USING (g)
+"""
+
+
+@query("op13_turn_repair", _repair_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.digest(table(spark, sf_dir, "conversations"))
