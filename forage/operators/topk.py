@@ -19,7 +19,7 @@ def top_k(
     ``salts`` slices of every key (slices by hash of ``spread_by``), then over
     the survivors, so no task ever sorts a whole hot key.
     """
-    if k > int(df.sparkSession.conf.get(GROUP_LIMIT, "0")):
+    if k > int(df.sparkSession.conf.get(GROUP_LIMIT)):
         slice_of = F.pmod(F.xxhash64(spread_by), F.lit(salts))
         inner = Window.partitionBy(*keys, slice_of).orderBy(*order)
         df = df.withColumn(rank, F.row_number().over(inner)).filter(F.col(rank) <= k).drop(rank)
