@@ -158,6 +158,7 @@ REFRESH_KEYWORDS = [
     "韩餐", "泰餐", "越南菜", "寿司",
     "vegan", "halal", "gluten free",
 ]
+REFRESH_FIRST_SECONDS, REFRESH_INTERVAL_SECONDS = 30, 3600
 UNDERSERVED_BELOW = 5
 TRIGGER_LOCK_SECONDS = 300
 TRIGGER_INGEST_CAP = 30

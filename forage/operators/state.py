@@ -6,7 +6,7 @@ large share of the log never lands in one task as raw rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from forage.session import cut
@@ -40,21 +40,42 @@ def with_key(batch: DataFrame) -> DataFrame:
     return batch.withColumn("restaurant_id", key)
 
 
+def _keyed(batch: DataFrame, strict: bool) -> DataFrame:
+    keyed = with_key(batch)
+    if strict:
+        message = F.raise_error(F.lit("document must have a restaurant_id")).cast("string")
+        keyed = keyed.withColumn("restaurant_id", F.coalesce("restaurant_id", message))
+    return keyed
+
+
+def replace(current: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Whole documents of ``fresh`` in the place of those with their key; one row per key in ``fresh``."""
+    kept = current.join(fresh.select("restaurant_id"), "restaurant_id", "left_anti")
+    return kept.unionByName(fresh, allowMissingColumns=True)
+
+
 def upsert(current: DataFrame, batch: DataFrame, order: list[str], strict: bool = False) -> DataFrame:
     """Replace whole documents by key; the last batch row of a key wins.
 
     Rows without a key are left out, or raise when ``strict``.
     """
-    keyed = with_key(batch)
-    if strict:
-        keyed = keyed.withColumn(
-            "restaurant_id",
-            F.coalesce("restaurant_id", F.raise_error(F.lit("document must have a restaurant_id")).cast("string")),
-        )
-    keyed = keyed.filter(F.col("restaurant_id").isNotNull())
-    fresh = latest(keyed, ["restaurant_id"], order).drop(*[c for c in order if c not in current.columns])
-    kept = current.join(fresh.select("restaurant_id"), "restaurant_id", "left_anti")
-    return kept.unionByName(fresh, allowMissingColumns=True)
+    keyed = _keyed(batch, strict).filter(F.col("restaurant_id").isNotNull())
+    fresh = latest(keyed, ["restaurant_id"], order)
+    return replace(current, fresh.drop(*[c for c in order if c not in current.columns]))
+
+
+def upsert_table(current: DataFrame, batch: DataFrame, order: list[str], path: str, strict: bool = False) -> tuple[DataFrame, dict[str, int]]:
+    """Write the catalog after an upsert; returns it and the rows ``indexed`` and ``rejected``.
+
+    The batch is read once: its rows are counted on their way into the table of
+    new documents, which both sides of the merge then read.
+    """
+    seen = Observation()
+    has_key = F.col("restaurant_id").isNotNull()
+    counted = _keyed(batch, strict).observe(seen, F.count_if(has_key).alias("indexed"), F.count_if(~has_key).alias("rejected"))
+    fresh = cut(latest(counted.filter(has_key), ["restaurant_id"], order), "fresh-documents")
+    merged = replace(current, fresh.drop(*[c for c in order if c not in current.columns]))
+    return rebuild(merged, path), dict(seen.get)
 
 
 def upsert_counts(batch: DataFrame) -> DataFrame:

@@ -41,3 +41,30 @@ def cut(df: DataFrame, purpose: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """Let streams of this session keep list, map and timer state, unless it names a store of its own."""
+    if "HDFSBackedStateStoreProvider" in spark.conf.get(STATE_STORE):
+        spark.conf.set(STATE_STORE, _ROCKSDB)
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none where there is no such folder."""
+    files, folder = _folder(spark, path)
+    return sorted(status.getPath().getName() for status in files.listStatus(folder)) if files.exists(folder) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that this library wrote."""
+    files, folder = _folder(spark, path)
+    files.delete(folder, True)

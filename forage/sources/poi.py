@@ -26,8 +26,8 @@ def read_pois(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.MAP_POI).json(path)
 
 
-def normalize_features(features: DataFrame) -> DataFrame:
-    """Map features -> restaurants; features without any name are dropped."""
+def normalize_features(features: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Map features -> restaurants; features without any name are dropped.  ``keep`` names input columns to carry along."""
     tags = F.col("tags")
     tag = lambda key: poi.tag(tags, key)
     name = poi.filled(tag("name"), tag("name:zh"), tag("name:en"))
@@ -35,6 +35,7 @@ def normalize_features(features: DataFrame) -> DataFrame:
     blank = F.lit("")
     address = F.concat_ws(" ", *[F.nullif(tag(f"addr:{part}"), blank) for part in ("street", "housenumber", "city")])
     return features.withColumn("_name", name).filter(F.col("_name").isNotNull()).select(
+        *keep,
         F.concat(F.lit("osm_"), F.coalesce("type", F.lit("node")), F.lit("_"), F.coalesce(F.col("id").cast("string"), blank)).alias("restaurant_id"),
         F.col("_name").alias("name"),
         F.coalesce(tag("description"), blank).alias("description"),
@@ -101,6 +102,11 @@ def _of_kind(kinds: dict[str, tuple[str, ...]], amenity: Column) -> Column:
     return wanted
 
 
+def of_kinds(features: DataFrame, kinds: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Elements whose amenity and type a selection takes."""
+    return features.filter(_of_kind(kinds, poi.tag(F.col("tags"), "amenity")))
+
+
 def _named_like(features: DataFrame, keyword: str | None) -> DataFrame:
     return features.filter(poi.tag(F.col("tags"), "name").rlike(f"(?i){keyword}")) if keyword else features
 
@@ -134,13 +140,17 @@ def in_cities(features: DataFrame, requests: DataFrame) -> DataFrame:
         "resolved",
         F.when(F.lower("city").isin(list(fixed.CITY_BOXES)), F.lower("city")).otherwise(F.lit(fixed.DEFAULT_CITY)),
     ).distinct()
+    tagged = in_boxes(of_kinds(features, fixed.BOX_KINDS), place_of(features, "lat"), place_of(features, "lon"), "resolved")
+    return tagged.join(asked, "resolved")
+
+
+def in_boxes(places: DataFrame, lat: Column, lng: Column, name: str = "city") -> DataFrame:
+    """Each place once for every city box that holds it."""
     inside = [
-        F.when(place_of(features, "lat").between(s, n) & place_of(features, "lon").between(w, e), F.lit(city))
+        F.when(lat.between(s, n) & lng.between(w, e), F.lit(city))
         for city, (s, w, n, e) in fixed.CITY_BOXES.items()
     ]
-    kept = features.filter(_of_kind(fixed.BOX_KINDS, poi.tag(F.col("tags"), "amenity")))
-    tagged = kept.withColumn("resolved", F.explode_outer(F.array_compact(F.array(*inside))))
-    return tagged.join(asked, "resolved")
+    return places.withColumn(name, F.explode(F.array_compact(F.array(*inside))))
 
 
 def _keyword(pois: DataFrame, keyword: str | None, category: str | None, city: str | None) -> DataFrame:

@@ -4,55 +4,92 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from forage.functions import fixed
 from forage.operators.trigger import MICROS, requests_to_check
+from forage.session import keyed_state
 
+FIRED = "trigger_key string, t long, q string, lat double, lng double"
 
-def stream_triggers(log: DataFrame, delay: str = "10 minutes", lock_seconds: int = fixed.TRIGGER_LOCK_SECONDS) -> DataFrame:
-    """(trigger_key, ts) of each firing event.
-
-    Whether an event fires depends on earlier ones, so a key's times wait in its
-    state until the watermark has passed them and are then taken in event-time
-    order, whatever order they came in.  State per key is the last trigger and
-    the waiting times; it goes when the watermark shows that nothing waits and
-    the lock is over.  Events later than ``delay`` are not considered, and the
-    last ``delay`` of a stream waits for the events that close it.
+
+def _order(event: tuple) -> tuple:
+    """Events of one moment in a fixed order, null first."""
+    return tuple((v is not None, v) for v in event)
+
+
+class Lock(StatefulProcessor):
+    """Searches of a key in event-time order; one that fires holds the next ones back.
+
+    Every waiting millisecond is an entry of its own in map state with a timer
+    of its own, so an arriving search touches one entry, and a timer that the
+    watermark has passed takes one out.  The last trigger is forgotten by a
+    timer at the end of its lock.
     """
-    lock = lock_seconds * MICROS
 
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, waiting = state.get if state.exists else (None, [])
-        waiting = np.unique(np.concatenate([np.array(waiting, dtype=np.int64), *([] if state.hasTimedOut else [f["t"].to_numpy() for f in frames])]))
-        passed = state.getCurrentWatermarkMs()
-        ready, waiting = waiting[waiting // 1000 <= passed], waiting[waiting // 1000 > passed]
+    def __init__(self, lock: int):
+        self.lock = lock
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "t long")
+        self.waiting = handle.getMapState("waiting", "ms long", "t array<long>, q array<string>, lat array<double>, lng array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        arrived: dict[int, dict[int, tuple]] = {}
+        for frame in rows:
+            none = frame.astype(object).where(frame.notna(), None)
+            for t, *search in zip(none["t"], none["q"], none["lat"], none["lng"]):
+                moment = arrived.setdefault(int(t) // 1000, {})
+                moment[int(t)] = min(moment.get(int(t), tuple(search)), tuple(search), key=_order)
+        for ms, moment in arrived.items():
+            if self.waiting.containsKey((ms,)):
+                for t, *search in zip(*self.waiting.getValue((ms,))):
+                    moment[t] = min(moment.get(t, tuple(search)), tuple(search), key=_order)
+            times = sorted(moment)
+            self.waiting.updateValue((ms,), (times, *([moment[t][k] for t in times] for k in range(3))))
+            self.handle.registerTimer(ms)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ms = expiredTimerInfo.getExpiryTimeInMs()
+        last = self.last.get()[0] if self.last.exists() else None
         fired = []
-        at = 0 if last is None else int(np.searchsorted(ready, last + lock))
-        while at < len(ready):
-            last = int(ready[at])
-            fired.append(last)
-            at = int(np.searchsorted(ready, last + lock))
-        # a timeout comes once the watermark is beyond it
-        wake = int(waiting[0]) // 1000 - 1 if len(waiting) else -1 if last is None else (last + lock) // 1000
-        if len(waiting) or wake > passed:
-            state.update((last, waiting.tolist()))
-            state.setTimeoutTimestamp(max(wake, passed + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame({"trigger_key": [key[0]] * len(fired), "t": fired})
-
-    times = (
+        if self.waiting.containsKey((ms,)):
+            for search in zip(*self.waiting.getValue((ms,))):
+                if last is None or search[0] >= last + self.lock:
+                    last = search[0]
+                    fired.append((key[0], *search))
+            self.waiting.removeKey((ms,))
+        if fired:
+            self.last.update((last,))
+            self.handle.registerTimer((last + self.lock) // 1000)
+            yield pd.DataFrame(fired, columns=["trigger_key", "t", "q", "lat", "lng"])
+        elif last is not None and (last + self.lock) // 1000 <= ms:
+            self.last.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_triggers(log: DataFrame, delay: str = "10 minutes", lock_seconds: int = fixed.TRIGGER_LOCK_SECONDS) -> DataFrame:
+    """(trigger_key, ts, q, lat, lng) of each search that fires.
+
+    Whether a search fires depends on earlier ones, so searches wait until the
+    watermark has passed them and are then taken in event-time order, whatever
+    order they came in.  Searches later than ``delay`` are not considered, and
+    the last ``delay`` of a stream waits for searches that close it.  Searches
+    of one key at the same microsecond count once.
+    """
+    keyed_state(log.sparkSession)
+    searches = (
         requests_to_check(log)
-        .select("trigger_key", F.col("ts").cast("timestamp").alias("at"))
+        .select("trigger_key", F.col("ts").cast("timestamp").alias("at"), "q", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"))
         .withWatermark("at", delay)
         .withColumn("t", F.unix_micros("at"))
     )
-    fired = times.groupBy("trigger_key").applyInPandasWithState(
-        step, "trigger_key string, t long", "last long, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout
-    )
-    return fired.select("trigger_key", F.timestamp_micros("t").alias("ts"))
+    fired = searches.groupBy("trigger_key").transformWithStateInPandas(Lock(lock_seconds * MICROS), FIRED, "append", "EventTime")
+    return fired.select("trigger_key", F.timestamp_micros("t").alias("ts"), "q", "lat", "lng")

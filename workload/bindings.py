@@ -83,6 +83,15 @@ SELECT event_id, event_type AS q, event_id % 12 AS total, CASE WHEN event_id % 3
 FROM {events}
 """
 
+# searches for dishes and places that the dumps may hold, a third of them without a place
+CRAVINGS = """
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'tofu' WHEN 1 THEN ' Vegan ' WHEN 2 THEN 'hotpot' WHEN 3 THEN 'supplier#' WHEN 4 THEN 'peanut sauce' ELSE 'missing dish' END AS q,
+       event_id % 7 AS total, CASE WHEN event_id % 5 = 0 THEN 20 ELSE 0 END AS page_offset,
+       CASE WHEN user_id % 3 <> 0 THEN 39.75e0 + (user_id * 13 % 45) / 100e0 END AS lat,
+       CASE WHEN user_id % 3 <> 0 THEN 116.10e0 + (user_id * 7 % 60) / 100e0 END AS lng, ts
+FROM {events}
+"""
+
 # odd multiples of 4 reuse the id of the preceding multiple of 8
 POI_MAP = """
 SELECT CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey - s_suppkey % 8 ELSE s_suppkey END AS id, s_suppkey AS arrival,
@@ -164,6 +173,7 @@ VIEWS = {
     "saved_log": SAVED_LOG,
     "feedback": FEEDBACK,
     "search_log": SEARCH_LOG,
+    "cravings": CRAVINGS,
     "poi_map": POI_MAP,
     "poi_osm": POI_OSM,
     "query_log": QUERY_LOG,

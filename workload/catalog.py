@@ -130,6 +130,18 @@ def upsert_counts(spark, sf_dir):
     return state.upsert_counts(_batch(spark, sf_dir))
 
 
+@query(
+    "upsert_observed",
+    ctes("restaurants") + MERGED + " SELECT (SELECT count(*) FROM keyed WHERE k IS NOT NULL) AS indexed, (SELECT count(*) FROM keyed WHERE k IS NULL) AS rejected, "
+    "count(*) AS documents, count(*) FILTER (description LIKE 'fresh %') AS fresh FROM merged",
+)
+def upsert_observed(spark, sf_dir):
+    """Counts taken while the catalog is written, beside what was written."""
+    written, counts = state.upsert_table(restaurants(spark, sf_dir), _batch(spark, sf_dir), ["arrival"], work_path(spark, "catalog"))
+    fresh = F.count_if(F.startswith("description", F.lit("fresh ")))
+    return written.agg(*(F.lit(counts[c]).cast("bigint").alias(c) for c in ("indexed", "rejected")), F.count("*").alias("documents"), fresh.alias("fresh"))
+
+
 @query("catalog_rebuild", ctes("restaurants") + MERGED + " SELECT * FROM merged")
 def catalog_rebuild(spark, sf_dir):
     return _flat(state.rebuild(_merge(spark, sf_dir), work_path(spark, "snapshot")))
