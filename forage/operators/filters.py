@@ -35,13 +35,17 @@ def menu_listing(catalog: DataFrame) -> DataFrame:
 def autocomplete(prefixes: DataFrame, catalog: DataFrame, size: int = 8) -> DataFrame:
     """Up to ``size`` distinct names per prefix, ignoring case, in name order.
 
-    A name offers its openings of every length up to the longest prefix and
-    meets prefixes on the whole text, so nothing is compared that does not match.
+    A name offers its openings of the lengths that prefixes have and meets them
+    on the whole text, so nothing is compared that does not match.  Names are
+    cut per opening, in each map task first, before prefixes that differ only
+    in case take them.
     """
     asked = prefixes.select("prefix").distinct().filter(F.char_length("prefix") >= 1).withColumn("_key", F.lower("prefix"))
-    longest = asked.agg(F.coalesce(F.max(F.char_length("_key")), F.lit(0)).alias("n")).scalar()
-    names = catalog.select("name").filter(F.char_length("name") >= 1).distinct().withColumn("_most", longest)
+    keys = asked.select("_key").distinct()
+    lengths = keys.agg(F.collect_set(F.char_length("_key")).alias("n")).scalar()
+    names = catalog.select("name").filter(F.char_length("name") >= 1).distinct().withColumn("_lengths", lengths)
     lowered = F.lower("name")
-    openings = F.transform(F.sequence(F.lit(1), F.least(F.char_length(lowered), "_most")), lambda n: F.substring(lowered, F.lit(1), n))
-    offered = names.withColumn("_key", F.explode(F.when(F.col("_most") >= 1, openings)))
-    return top_k(offered.join(asked, "_key").select("prefix", "name"), ["prefix"], [F.asc("name")], size, "name")
+    fitting = F.filter("_lengths", lambda n: n <= F.char_length(lowered))
+    offered = names.select("name", F.explode(F.transform(fitting, lambda n: F.substring(lowered, F.lit(1), n))).alias("_key"))
+    best = top_k(offered.join(keys, "_key", "left_semi"), ["_key"], [F.asc("name")], size, "name")
+    return asked.join(best, "_key").select("prefix", "name", "position")

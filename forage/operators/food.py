@@ -16,7 +16,6 @@ from forage.operators.topk import top_k
 
 NAMES = ["name_zh", "name_en", "name_pinyin"]
 WORD = r"[^\p{L}\p{N}]+"
-LEAD = 3
 RARE_FLOOR = 1e-6
 SCORE_DIGITS = 6
 
@@ -45,12 +44,14 @@ def food_search(requests: DataFrame, foods: DataFrame, limit: int = 10) -> DataF
     asked = requests.select("query_id", query_words("q").alias("words"))
     prefixes = asked.select("words").distinct().select("words", F.explode("words").alias("prefix"))
     index = name_words(foods)
-    lead = lambda c: F.least(F.char_length(c), F.lit(LEAD))
-    openings = prefixes.select("prefix").distinct().withColumn("_key", F.substring("prefix", F.lit(1), lead("prefix")))
-    # prefixes meet the distinct words, not the postings; words offer their leads of one to LEAD characters
-    leads = F.transform(F.sequence(F.lit(1), lead("word")), lambda n: F.substring("word", F.lit(1), n))
-    vocabulary = index.select("word").distinct().withColumn("_key", F.explode_outer(leads))
-    expanded = vocabulary.join(openings, "_key").filter(F.startswith("word", "prefix")).select("prefix", "word")
+    asked_words = prefixes.select("prefix").distinct()
+    lengths = asked_words.agg(F.collect_set(F.char_length("prefix")).alias("n")).scalar()
+    # prefixes meet the distinct words, not the postings; a word offers its openings of
+    # the lengths that prefixes have, so only words that match meet one
+    words = index.select("word").distinct().withColumn("_lengths", lengths)
+    fitting = F.filter("_lengths", lambda n: n <= F.char_length("word"))
+    openings = words.select("word", F.explode(F.transform(fitting, lambda n: F.substring("word", F.lit(1), n))).alias("prefix"))
+    expanded = openings.join(asked_words, "prefix", "left_semi")
     hits = index.join(expanded, "word").groupBy("prefix", "food_id", "n_words").agg(F.sum("freq").alias("freq"))
     with_hits = hits.groupBy("prefix").agg(F.count("*").alias("n_hits"))
     size = foods.agg(F.count("*").alias("n")).scalar()

@@ -1,9 +1,11 @@
 """BM25 retrieval as joins: query terms against catalog terms.
 
 One table of *needs* (distinct retrieval requests) is answered against one
-catalog.  The catalog text is cut to terms, semi-joined with the query
-vocabulary and counted per document while still in the scan stage; what is
-shuffled has one row per document and asked term.
+catalog.  The catalog text is cut to terms once: every field of a document adds
+a mark to its terms, the asked terms and the marks are counted inside the scan
+stage, and the narrow table that leaves it holds a row per document, field and
+asked term.  The rows of the mark carry the field lengths, so statistics,
+document frequencies and scores all come from this one table.
 """
 
 from __future__ import annotations
@@ -18,72 +20,61 @@ FIELDS = list(fixed.FIELD_BOOSTS)
 SCORE_DIGITS = 6
 
 
-def field_words(fields: list[str]) -> Column:
-    """Term lists of all fields, in field order."""
-    return F.transform(F.array(*fields), analyze)
+#: Stands in every field that has text; no term is empty.
+MARK = ""
+POSTING = ["restaurant_id", "field", "dl", "term"]
 
 
-def corpus_stats(catalog: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
-    """One row: per field ``i`` the number of documents with text (``n_i``) and their mean length (``avgdl_i``)."""
-    lengths = catalog.select(*fields).select(F.transform(field_words(fields), F.size).alias("dl"))
-    aggregates = []
-    for i in range(len(fields)):
-        aggregates += [
-            f"count_if(dl[{i}] > 0) AS n_{i}",
-            f"coalesce(sum(dl[{i}]) / nullif(count_if(dl[{i}] > 0), 0), 0D) AS avgdl_{i}",
-        ]
-    return lengths.agg(*map(F.expr, aggregates))
-
-
-def occurrences(catalog: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
-    """One row per term occurrence: document, its field lengths, field number, term.
+def _terms(catalog: DataFrame, fields: list[str], words) -> DataFrame:
+    """One row per term of ``words`` and one for the mark, of every field with text: id, field, its length, term.
 
     The outer form of the first explode keeps the optimizer from testing the
-    term lists for emptiness below the shuffle, which would cut all text twice.
+    term lists for emptiness below it, which would cut all text twice.
     """
+    each = F.transform(F.array(*fields), lambda text: F.transform(F.array(analyze(text)), lambda w: F.struct(F.size(w).alias("dl"), words(w).alias("words")))[0])
     return (
-        catalog.select("restaurant_id", *fields)
-        .select("restaurant_id", field_words(fields).alias("words"))
-        .select("restaurant_id", F.transform("words", F.size).alias("dl"), F.posexplode_outer("words").alias("field", "words"))
-        .select("restaurant_id", "dl", "field", F.explode("words").alias("term"))
+        catalog.select("restaurant_id", F.posexplode_outer(each).alias("field", "_in"))
+        .filter(F.col("_in.dl") > 0)
+        .select("restaurant_id", "field", F.col("_in.dl").alias("dl"), F.explode(F.array_append("_in.words", F.lit(MARK))).alias("term"))
     )
 
 
 def postings(catalog: DataFrame, vocabulary: DataFrame | None = None, fields: list[str] = FIELDS) -> DataFrame:
-    """One row per (document, term) with a frequency ``tf_i`` per field.
+    """(restaurant_id, field, dl, term, tf) of every term and of the mark.
 
     With a vocabulary, terms nobody asks for are dropped first.  A document is
     one row of the scan, so counting before the shuffle takes in all of its
     occurrences, and each term of it is sent once.
     """
-    found = occurrences(catalog, fields)
+    found = _terms(catalog, fields, lambda w: w)
     if vocabulary is not None:
-        found = found.join(vocabulary, "term", "left_semi")
-    return found.groupBy("restaurant_id", "dl", "term").agg(
-        *[F.expr(f"count_if(field = {i}) AS tf_{i}") for i in range(len(fields))]
-    )
+        found = found.join(asked(vocabulary), "term", "left_semi")
+    return found.groupBy(*POSTING).agg(F.count(F.lit(1)).alias("tf"))
+
+
+def asked(vocabulary: DataFrame) -> DataFrame:
+    """The vocabulary and the mark."""
+    return vocabulary.select("term").unionByName(vocabulary.sparkSession.createDataFrame([(MARK,)], "term string"))
+
+
+def corpus_stats(posting_rows: DataFrame) -> DataFrame:
+    """(field, n, avgdl): documents with text in the field, and their mean length, from the rows of the mark."""
+    return posting_rows.filter(F.col("term") == MARK).groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def corpus_frequency(catalog: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
-    """(field, term, df) of the whole corpus.
+    """(field, term, df, total) of the whole corpus; ``total`` adds up the lengths of the documents that have the term.
 
     Each document's distinct terms are found inside its own row, so only counts
-    are shuffled, never document rows.
+    are shuffled, never document rows.  The mark's row has the field's size and
+    length.
     """
-    return (
-        catalog.select(*fields)
-        .select(F.transform(field_words(fields), F.array_distinct).alias("words"))
-        .select(F.posexplode_outer("words").alias("field", "words"))
-        .select("field", F.explode("words").alias("term"))
-        .groupBy("field", "term")
-        .agg(F.count("*").alias("df"))
-    )
+    distinct = _terms(catalog, fields, F.array_distinct)
+    return distinct.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total"))
 
 
-def document_frequency(posting_rows: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
-    return posting_rows.groupBy("term").agg(
-        *[F.expr(f"count_if(tf_{i} > 0) AS df_{i}") for i in range(len(fields))]
-    )
+def document_frequency(posting_rows: DataFrame) -> DataFrame:
+    return posting_rows.filter(F.col("term") != MARK).groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def idf(n: str, df: str) -> str:
@@ -114,83 +105,33 @@ def required_matches(n: Column, percent: int = fixed.MIN_MATCH_PERCENT) -> Colum
     return F.greatest(F.lit(1), F.floor(n * percent / 100)).cast("bigint")
 
 
-def matching_postings(
-    terms: DataFrame, catalog: DataFrame, fields: list[str] = FIELDS, posting_rows: DataFrame | None = None
-) -> DataFrame:
-    """Postings of the asked terms, cut from the catalog or from saved postings."""
+def matching_postings(terms: DataFrame, catalog: DataFrame, posting_rows: DataFrame | None = None, fields: list[str] = FIELDS) -> DataFrame:
+    """Postings of the asked terms and the mark, cut from the catalog or taken from a table of all postings."""
     vocabulary = terms.select("term").distinct()
     if posting_rows is None:
         return postings(catalog, vocabulary, fields)
-    if "bucket" in posting_rows.columns:
-        # the bucket column is a folder of the saved table: unwanted buckets are never opened
-        vocabulary = vocabulary.withColumn("bucket", _bucket())
-    kept = posting_rows.join(vocabulary, vocabulary.columns, "left_semi")
-    return kept.select("restaurant_id", "dl", "term", *[f"tf_{i}" for i in range(len(fields))]).repartition("restaurant_id")
-
-
-INDEX_BUCKETS = 256
-
+    return posting_rows.join(asked(vocabulary), "term", "left_semi").select(*POSTING, "tf")
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("term"), F.lit(INDEX_BUCKETS)).cast("int")
 
-
-def save_postings(catalog: DataFrame, path: str, fields: list[str] = FIELDS) -> None:
-    """Write all postings and the corpus statistics once, for many search runs over one catalog.
-
-    Folders by hash of the term, rows sorted by term inside, so that a run
-    reads only the folders and row groups of its own terms.
-    """
-    rows = postings(catalog, fields=fields).withColumn("bucket", _bucket())
-    # frequent terms spread over several files of their folder
-    spread_key = F.pmod(F.xxhash64("restaurant_id"), F.lit(8))
-    rows.repartition("bucket", spread_key).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy(
-        "bucket"
-    ).parquet(f"{path}/postings")
-    corpus_stats(catalog, fields).write.mode("overwrite").parquet(f"{path}/stats")
-
-
-def load_postings(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, statistics) for the ``posting_rows`` and ``stats`` of a search."""
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
-
-
-def field_scores(
-    terms: DataFrame,
-    found: DataFrame,
-    catalog: DataFrame,
-    expansion: str = "flat",
-    fields: dict[str, float] = fixed.FIELD_BOOSTS,
-    stats: DataFrame | None = None,
-) -> DataFrame:
+def field_scores(terms: DataFrame, found: DataFrame, expansion: str = "flat", fields: dict[str, float] = fixed.FIELD_BOOSTS) -> DataFrame:
     """Per (need, document) the boosted score and match count of every field.
 
     Adaptive execution broadcasts the term side where its size at run time
     allows, and otherwise shuffles by term and splits hot terms.
     """
-    names = list(fields)
-    row = stats if stats is not None else corpus_stats(catalog, names)
-    row = row.select(F.struct(*row.columns).alias("s")).scalar()
-
-    fields_at = range(len(names))
     weighted = (
-        terms.join(document_frequency(found, names), "term")
-        .withColumn("corpus", row)
-        .select(
-            "need", "n_terms", "n_groups", "term", "groups", "mult",
-            *[F.expr(f"mult * {idf(f'corpus.n_{i}', f'df_{i}')} AS w_{i}") for i in fields_at],
-            *[f"corpus.avgdl_{i}" for i in fields_at],
-        )
+        terms.join(document_frequency(found), "term")
+        .join(corpus_stats(found), "field")
+        .select("need", "n_terms", "n_groups", "term", "field", "groups", "mult", "avgdl", F.expr(f"mult * {idf('n', 'df')} AS w"))
     )
-    matched = found.join(weighted, "term")
+    matched = found.join(weighted, ["field", "term"]).withColumn("part", F.expr(f"w * {saturation('tf', 'dl', 'avgdl')}"))
     aggregates = ["max(n_terms) AS n_terms", "max(n_groups) AS n_groups"]
     for i, boost in enumerate(fields.values()):
-        part = f"w_{i} * {saturation(f'tf_{i}', f'dl[{i}]', f'avgdl_{i}')}"
-        aggregates.append(f"{boost}D * sum(CASE WHEN tf_{i} > 0 THEN {part} END) AS score_{i}")
+        aggregates.append(f"{boost}D * sum(CASE WHEN field = {i} THEN part END) AS score_{i}")
         if expansion == "grouped":
-            count = f"CAST(size(array_distinct(flatten(collect_set(CASE WHEN tf_{i} > 0 THEN groups END)))) AS BIGINT)"
+            count = f"CAST(size(array_distinct(flatten(collect_set(CASE WHEN field = {i} THEN groups END)))) AS BIGINT)"
         else:
-            count = f"coalesce(sum(CASE WHEN tf_{i} > 0 THEN mult END), 0)"
+            count = f"coalesce(sum(CASE WHEN field = {i} THEN mult END), 0)"
         aggregates.append(f"{count} AS matched_{i}")
     return matched.groupBy("need", "restaurant_id").agg(*map(F.expr, aggregates))
 

@@ -71,11 +71,16 @@ def upsert_table(current: DataFrame, batch: DataFrame, order: list[str], path: s
     new documents, which both sides of the merge then read.
     """
     seen = Observation()
+    keyed = _keyed(batch, strict)
+    rest = F.struct(*(c for c in keyed.columns if c != "restaurant_id"))
+    grouped = keyed.groupBy("restaurant_id").agg(F.max_by(rest, F.struct(*order)).alias("_row"), F.count(F.lit(1)).alias("_rows"))
+    # counted after the shuffle, where the rows of a lost task are not counted again
     has_key = F.col("restaurant_id").isNotNull()
-    counted = _keyed(batch, strict).observe(seen, F.count_if(has_key).alias("indexed"), F.count_if(~has_key).alias("rejected"))
-    fresh = cut(latest(counted.filter(has_key), ["restaurant_id"], order), "fresh-documents")
+    total = lambda which: F.coalesce(F.sum(F.when(which, F.col("_rows"))), F.lit(0))
+    counted = grouped.observe(seen, total(has_key).alias("indexed"), total(~has_key).alias("rejected"))
+    fresh = cut(counted.filter(has_key).select("restaurant_id", "_row.*").select(*keyed.columns), "fresh-documents")
     merged = replace(current, fresh.drop(*[c for c in order if c not in current.columns]))
-    return rebuild(merged, path), dict(seen.get)
+    return rebuild(merged, path), {"indexed": 0, "rejected": 0, **seen.get}
 
 
 def upsert_counts(batch: DataFrame) -> DataFrame:

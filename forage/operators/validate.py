@@ -11,7 +11,7 @@ from forage.functions import fixed
 def with_problems(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """``checks`` maps a problem name to the condition under which a row has it."""
     found = [F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in checks.items()]
-    return rows.withColumn("problems", F.array_compact(F.array(*found)))
+    return rows.withColumn("problems", F.array_compact(F.array(*found).cast("array<string>")))
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,14 +10,15 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forage.functions import fixed, scores, text
 from forage.functions.display import page_number
 from forage.operators import facets as facet_ops
 from forage.operators import geo, retrieval
-from forage.operators.topk import top_k
+from forage.operators.topk import top_rows
+from forage.operators.validate import check_requests, split_valid, with_problems
 
 ATTRIBUTES = [
     "restaurant_id", "cuisine_type", "price_level", "rating", "geo", "diet_labels", "allergens", "allergen_free",
@@ -28,15 +29,17 @@ NEED_COLUMNS = ["terms", "n_groups", "labels", "price_levels", "lat", "lng", "ra
 class Search:
     """Answers to one table of requests; each result is planned when it is first asked for."""
 
-    def __init__(self, requests: DataFrame, candidates: DataFrame, page_end: int, rerank_scope: str, cached: tuple[DataFrame, ...]):
+    def __init__(self, requests: DataFrame, rejected: DataFrame, candidates: DataFrame, deepest: int, rerank_scope: str, cached: tuple[DataFrame, ...]):
         self.requests = requests
+        #: Requests that are not answered, with their ``problems``.
+        self.rejected = rejected
         self.candidates = candidates
-        self._page_end, self._scope, self._cached = page_end, rerank_scope, cached
+        self._deepest, self._scope, self._cached = deepest, rerank_scope, cached
 
     @cached_property
     def hits(self) -> DataFrame:
         """The requested page of every request, in final order."""
-        return page_and_rerank(self.requests, self.candidates, self._page_end, self._scope)
+        return page_and_rerank(self.requests, self.candidates, self._deepest, self._scope)
 
     @cached_property
     def facets(self) -> DataFrame:
@@ -122,9 +125,14 @@ def _request_terms(synonyms) -> Column:
     )
 
 
+def page_end() -> Column:
+    """Last rank that a request asks for; 0 for an empty page."""
+    return F.when(F.col("limit") > 0, F.col("offset") + F.col("limit")).otherwise(0)
+
+
 def deepest_page(parsed: DataFrame) -> int:
     """Last rank that any request asks for."""
-    return int(parsed.agg(F.coalesce(F.max(F.when(F.col("limit") > 0, F.col("offset") + F.col("limit"))), F.lit(1))).first()[0])
+    return int(parsed.agg(F.coalesce(F.max(page_end()), F.lit(0))).first()[0])
 
 
 def distinct_needs(parsed: DataFrame) -> DataFrame:
@@ -146,7 +154,7 @@ def match_all(needs: DataFrame, attributes: DataFrame) -> DataFrame:
 
     Each need reaches its documents through its most selective filter: grid
     cells, then labels, then price levels, and only the one need without any
-    filter through the key that all documents share.  Identical needs are
+    filter through a key that all documents share, where there is such a need.  Identical needs are
     already merged, so the number of needs per key is bounded by the number of
     distinct filter combinations.
     """
@@ -158,14 +166,20 @@ def match_all(needs: DataFrame, attributes: DataFrame) -> DataFrame:
         .otherwise(F.array(F.lit("*")))
     )
     left = needs.filter(F.size("terms") == 0).withColumn("access", F.explode(access))
-    place = F.array(geo.cell_of(F.col("geo.lat"), F.col("geo.lng")))
-    offered = F.concat(
-        F.when(F.col("geo.lat").isNotNull() & F.col("geo.lng").isNotNull(), tagged("g", place)).otherwise(_empty("string")),
-        tagged("l", F.array_distinct(F.coalesce(F.col("diet_labels"), _empty("string")))),
-        F.when(F.col("price_level").isNotNull(), tagged("p", F.array("price_level"))).otherwise(_empty("string")),
-        F.array(F.lit("*")),
-    )
-    right = attributes.withColumn("access", F.explode_outer(offered))
+    place = geo.cells_of(F.col("geo.lat"), F.col("geo.lng"), F.col("_levels"))
+    # documents offer keys of the kinds that some need uses, so often not the one they all share
+    used = left.agg(F.collect_set(F.substring("access", 1, 1)).alias("kinds")).scalar()
+    offered = [
+        F.when(F.array_contains("_kinds", kind) & there, keys).otherwise(_empty("string"))
+        for kind, there, keys in (
+            ("g", F.col("geo.lat").isNotNull() & F.col("geo.lng").isNotNull(), tagged("g", place)),
+            ("l", F.lit(True), tagged("l", F.array_distinct(F.coalesce(F.col("diet_labels"), _empty("string"))))),
+            ("p", F.col("price_level").isNotNull(), tagged("p", F.array("price_level"))),
+            ("*", F.lit(True), F.array(F.lit("*"))),
+        )
+    ]
+    right = attributes.withColumns({"_kinds": used, "_levels": geo.levels_in(left)})
+    right = right.withColumn("access", F.explode(F.concat(*offered))).drop("_kinds", "_levels")
     # a document reached through several wanted labels counts through the first one
     shared = F.array_intersect("labels", F.coalesce(F.col("diet_labels"), _empty("string")))
     once = ~F.col("access").startswith("l") | (F.col("access") == F.concat(F.lit("l"), F.get(shared, F.lit(0))))
@@ -182,12 +196,11 @@ def find_candidates(
     found: DataFrame,
     catalog: DataFrame,
     expansion: str = "flat",
-    stats: DataFrame | None = None,
 ) -> DataFrame:
     """(need, document attributes, text_score, km) of every matching document."""
     attributes = catalog.select(*ATTRIBUTES)
     with_terms = needs.filter(F.size("terms") > 0)
-    scores_by_field = retrieval.field_scores(terms, found, catalog, expansion, stats=stats)
+    scores_by_field = retrieval.field_scores(terms, found, expansion)
     scored = retrieval.best_field(scores_by_field, len(retrieval.FIELDS), expansion)
     by_text = (
         scored.join(attributes, "restaurant_id")
@@ -222,30 +235,28 @@ def with_signals(rows: DataFrame) -> DataFrame:
     return signals.withColumn("final_score", F.round(final, retrieval.SCORE_DIGITS))
 
 
-def page_and_rerank(parsed: DataFrame, candidates: DataFrame, page_end: int, rerank_scope: str = "page") -> DataFrame:
+def page_and_rerank(parsed: DataFrame, candidates: DataFrame, deepest: int, rerank_scope: str = "page") -> DataFrame:
     """The requested page of every request.
 
     ``page``: cut the page by text score, then order that page by final score.
     ``all``: order every candidate by final score, then cut the page.
+    Every need and request is cut at its own last rank; ``deepest`` is the largest.
     """
-    asked = parsed.select("query_id", "need", "sort_mode", "offset", "limit", "labels", "user_allergens")
+    asked = parsed.select("query_id", "need", "sort_mode", "offset", "limit", "labels", "user_allergens", page_end().alias("_end"))
     by_final = [F.desc("final_score"), F.desc("text_score"), F.asc("restaurant_id")]
     if rerank_scope == "all":
-        ranked = top_k(
-            with_signals(candidates.join(asked, "need")), ["query_id"], by_final, page_end, "restaurant_id"
-        )
-        return ranked.filter(
-            (F.col("position") > F.col("offset")) & (F.col("position") <= F.col("offset") + F.col("limit"))
-        )
+        ranked = top_rows(with_signals(candidates.join(asked, "need")), ["query_id"], by_final, "_end", deepest, "restaurant_id")
+        return ranked.filter(F.col("position") > F.col("offset")).drop("_end")
     by_text = [F.desc("text_score"), F.asc("restaurant_id")]
-    best = top_k(candidates, ["need"], by_text, page_end, "restaurant_id", rank="text_rank")
+    ends = asked.groupBy("need").agg(F.max("_end").alias("_end"))
+    best = top_rows(candidates.join(ends, "need"), ["need"], by_text, "_end", deepest, "restaurant_id", rank="text_rank").drop("_end")
     # each request names the ranks of its page, so the join yields page rows only
     # an empty page (limit 0) names none
     ranks = F.explode(F.when(F.col("limit") > 0, F.sequence(F.col("offset") + 1, F.col("offset") + F.col("limit"))))
     rows = best.join(asked.withColumn("text_rank", ranks), ["need", "text_rank"])
     # a page holds at most ``limit`` rows per request
-    ordered = top_k(with_signals(rows), ["query_id"], by_final, page_end, "restaurant_id")
-    return ordered.withColumn("position", F.col("position") + F.col("offset"))
+    position = F.row_number().over(Window.partitionBy("query_id").orderBy(*by_final)) + F.col("offset")
+    return with_signals(rows).withColumn("position", position).drop("_end")
 
 
 def summarise(parsed: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -284,29 +295,30 @@ def search(
     rerank_scope: str = "page",
     expansion: str = "flat",
     phrases: bool = False,
-    stats: DataFrame | None = None,
     posting_rows: DataFrame | None = None,
     stage_path: str | None = None,
+    check: bool = True,
 ) -> Search:
-    """Answer all requests against the catalog.
+    """Answer all valid requests against the catalog; the others come back as ``rejected``.
 
-    ``stage_path`` writes the candidates once as a table that hits, facets and
+    Without ``check`` all requests are taken to be valid.  ``posting_rows`` is a table of all its postings, if there is one.  ``stage_path`` writes the candidates once as a table that hits, facets and
     summary then share; without it they are kept in the block cache.
     """
     # the request rows are read by every later step; looking for the deepest page
     # fills their cache, after which the optimizer knows the size of the request
     # side and broadcasts it by that, or shuffles
-    parsed = parse_requests(attach_profiles(requests, profiles), phrases).persist()
-    page_end = deepest_page(parsed)
+    valid, rejected = split_valid(check_requests(requests) if check else with_problems(requests, {}))
+    parsed = parse_requests(attach_profiles(valid, profiles), phrases).persist()
+    deepest = deepest_page(parsed)
     needs = distinct_needs(parsed)
     terms = retrieval.need_terms(needs.filter(F.size("terms") > 0))
-    # matching postings serve document frequencies and scores, candidates serve
-    # page, facets and totals: both are cut once and kept, spilling to disk
-    found = retrieval.matching_postings(terms, catalog, posting_rows=posting_rows).persist()
-    candidates = find_candidates(needs, terms, found, catalog, expansion, stats)
+    # matching postings serve statistics, document frequencies and scores,
+    # candidates serve page, facets and totals: the text is cut once for all
+    found = retrieval.matching_postings(terms, catalog, posting_rows).persist()
+    candidates = find_candidates(needs, terms, found, catalog, expansion)
     if stage_path is not None:
         candidates.write.mode("overwrite").parquet(stage_path)
         candidates = candidates.sparkSession.read.parquet(stage_path)
     else:
         candidates = candidates.persist()
-    return Search(parsed, candidates, page_end, rerank_scope, (parsed, found, candidates))
+    return Search(parsed, rejected, candidates, deepest, rerank_scope, (parsed, found, candidates))

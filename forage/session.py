@@ -43,6 +43,16 @@ def cut(df: DataFrame, purpose: str) -> DataFrame:
 
 
 
+def dealt(table: DataFrame) -> DataFrame:
+    """A table of files for work that is heavy per row.
+
+    Files that split into fewer parts than there are cores, such as one row
+    group, are dealt out once; larger ones are left as they are read.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 

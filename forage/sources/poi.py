@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forage import schemas
@@ -10,6 +10,7 @@ from forage.functions import fixed, poi
 from forage.functions.scores import haversine_km
 from forage.operators.geo import geo_join, radius_filter
 from forage.operators.state import earliest
+from forage.operators.topk import top_rows
 
 
 def _none(kind: str = "array<string>") -> Column:
@@ -194,9 +195,11 @@ def pages_around(pois: DataFrame, requests: DataFrame) -> DataFrame:
     met = geo_join(asked, placed)
     holds = [F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.col("_keyword")) for c in ("name", "tag", "type")]
     met = met.filter(F.col("_keyword").isNull() | holds[0] | holds[1] | holds[2])
-    last = F.col("page") * F.col("page_size")
-    ranked = met.withColumn("position", F.row_number().over(Window.partitionBy("request_id").orderBy("km", "arrival")))
-    return ranked.filter((F.col("position") > last - F.col("page_size")) & (F.col("position") <= last)).drop("_keyword", "lat", "lng", "radius_km", "page", "page_size")
+    met = met.withColumn("_last", F.col("page") * F.col("page_size"))
+    deepest = requests.agg(F.coalesce(F.max(F.col("page") * F.col("page_size")), F.lit(0))).first()[0]
+    ranked = top_rows(met, ["request_id"], [F.asc("km"), F.asc("arrival")], "_last", int(deepest), "arrival")
+    asked_page = F.col("position") > F.col("_last") - F.col("page_size")
+    return ranked.filter(asked_page).drop("_keyword", "_last", "lat", "lng", "radius_km", "page", "page_size")
 
 
 def first_seen(pois: DataFrame, key: str, order: list[str]) -> DataFrame:

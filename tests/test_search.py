@@ -1,10 +1,11 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from forage.operators import facets, filters, geo, retrieval
-from forage.operators.topk import top_k
+from forage.operators.topk import top_k, top_rows
 from forage.plans import search as plan
 
 REQUEST = (
@@ -52,22 +53,27 @@ def profiles(spark):
     return spark.createDataFrame([(1, ["egg", "soy"]), (2, [])], "user_id bigint, allergens array<string>")
 
 
+def search(*tables, **options):
+    """Without checks, so that a page may hold more than a request may ask for."""
+    return plan.search(*tables, check=False, **options)
+
+
 def hits(result):
     return sorted((r["query_id"], r["position"], r["restaurant_id"], r["final_score"]) for r in result.hits.collect())
 
 
 def test_same_text_is_one_need(catalog, requests, profiles):
-    result = plan.search(requests, catalog, profiles)
+    result = search(requests, catalog, profiles)
     needs = {r["query_id"]: r["need"] for r in result.requests.collect()}
     assert needs[1] == needs[2] and len(set(needs.values())) == 6
 
 
 def test_shuffled_joins_give_the_same(spark, catalog, requests, profiles):
-    small = plan.search(requests, catalog, profiles)
+    small = search(requests, catalog, profiles)
     expected, facet_rows = hits(small), sorted(map(tuple, small.facets.collect()))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        big = plan.search(requests, catalog, profiles)
+        big = search(requests, catalog, profiles)
         assert hits(big) == expected
         assert sorted(map(tuple, big.facets.collect())) == facet_rows
     finally:
@@ -76,13 +82,15 @@ def test_shuffled_joins_give_the_same(spark, catalog, requests, profiles):
 
 def test_an_empty_page_has_no_hits_whatever_is_asked_beside_it(catalog, requests, profiles):
     """Limit 0 gives nothing, also next to requests with hits."""
-    alone = hits(plan.search(requests.withColumn("limit", F.lit(0)), catalog, profiles))
-    beside = hits(plan.search(requests.withColumn("limit", F.when(F.col("query_id") == 1, 0).otherwise(F.col("limit"))), catalog, profiles))
+    alone = hits(search(requests.withColumn("limit", F.lit(0)), catalog, profiles))
+    mixed = requests.withColumn("limit", F.when(F.col("query_id") == 1, 0).otherwise(F.col("limit")))
+    beside = hits(search(mixed, catalog, profiles))
+    assert [(r.query_id, r.problems) for r in plan.search(mixed, catalog, profiles).rejected.orderBy("query_id").collect()] == [(1, ["limit"]), *((k, ["limit"]) for k in (4, 6, 7))]
     assert not alone and beside and not [h for h in beside if h[0] == 1]
 
 
 def test_page_is_part_of_all(catalog, requests, profiles):
-    result = plan.search(requests, catalog, profiles)
+    result = search(requests, catalog, profiles)
     found = {(r["query_id"], r["restaurant_id"]) for r in result.requests.join(result.candidates, "need").select("query_id", "restaurant_id").collect()}
     page = {(q, r) for q, _, r, _ in hits(result)}
     assert page and page <= found
@@ -94,7 +102,7 @@ def test_page_is_part_of_all(catalog, requests, profiles):
 
 
 def test_match_all_against_brute_force(catalog, requests, profiles):
-    result = plan.search(requests, catalog, profiles)
+    result = search(requests, catalog, profiles)
     got = result.requests.join(result.candidates, "need").select("query_id", "restaurant_id").collect()
     places = catalog.collect()
     near = {r["restaurant_id"] for r in geo.radius_filter(catalog.select("restaurant_id", "geo.*"), 40.0, 116.4, 8.0).collect()}
@@ -108,35 +116,35 @@ def test_match_all_against_brute_force(catalog, requests, profiles):
 
 
 def test_expansion_modes(catalog, requests, profiles):
-    flat = plan.search(requests.filter("query_id = 5"), catalog, phrases=True)
-    grouped = plan.search(requests.filter("query_id = 5"), catalog, phrases=True, expansion="grouped")
+    flat = search(requests.filter("query_id = 5"), catalog, phrases=True)
+    grouped = search(requests.filter("query_id = 5"), catalog, phrases=True, expansion="grouped")
     row = grouped.requests.first()
     assert row["detected_labels"] == ["low-carb"] and row["n_groups"] == 2
     # one word of two groups is enough, while the flat count needs most synonyms
     assert flat.summary.first()["total"] == 0
-    assert plan.search(requests.filter("query_id = 5").withColumn("q", F.lit("soup carb")), catalog, expansion="grouped").summary.first()["total"] > 0
+    assert search(requests.filter("query_id = 5").withColumn("q", F.lit("soup carb")), catalog, expansion="grouped").summary.first()["total"] > 0
 
 
 def test_rerank_scopes(catalog, requests, profiles):
-    everything = plan.search(requests.filter("query_id = 4"), catalog, profiles, rerank_scope="all")
-    page = plan.search(requests.filter("query_id = 4"), catalog, profiles)
+    everything = search(requests.filter("query_id = 4"), catalog, profiles, rerank_scope="all")
+    page = search(requests.filter("query_id = 4"), catalog, profiles)
     assert hits(everything) == hits(page)  # the page holds all rows
 
 
 def test_staged_candidates(spark, catalog, requests, profiles):
     from forage.session import work_path
 
-    staged = plan.search(requests, catalog, profiles, stage_path=work_path(spark, "candidates"))
-    assert hits(staged) == hits(plan.search(requests, catalog, profiles))
+    staged = search(requests, catalog, profiles, stage_path=work_path(spark, "candidates"))
+    assert hits(staged) == hits(search(requests, catalog, profiles))
 
 
 def test_saved_postings(spark, catalog, requests, profiles):
     from forage.session import work_path
 
     path = work_path(spark, "postings")
-    retrieval.save_postings(catalog, path)
-    rows, stats = retrieval.load_postings(spark, path)
-    assert hits(plan.search(requests, catalog, profiles, posting_rows=rows, stats=stats)) == hits(plan.search(requests, catalog, profiles))
+    retrieval.postings(catalog).write.parquet(path)
+    rows = spark.read.parquet(path)
+    assert hits(search(requests, catalog, profiles, posting_rows=rows)) == hits(search(requests, catalog, profiles))
 
 
 def test_geo_join_at_the_edges(spark):
@@ -163,3 +171,55 @@ def test_facet_maps(spark):
     rows = spark.createDataFrame([(1, "price_level", "2", 5), (1, "diet_labels", "vegan", 3)], "query_id int, facet string, key string, n bigint")
     row = facets.facet_maps(rows).first()
     assert row["price_level"] == {"2": 5} and row["diet_labels"] == {"vegan": 3} and row["cuisine_type"] == {}
+
+
+@pytest.mark.parametrize("deepest", [7, 1500])
+def test_rows_per_key_as_asked(spark, deepest):
+    df = spark.range(9000).select((F.col("id") % 3).alias("key"), "id").withColumn("k", F.element_at(F.array(F.lit(0), F.lit(5), F.lit(deepest)), (F.col("key") + 1).cast("int")))
+    got = top_rows(df, ["key"], [F.desc("id")], "k", deepest, "id").groupBy("key").agg(F.count("*").alias("n"), F.max("position").alias("m"), F.min("id").alias("low"))
+    assert sorted(map(tuple, got.collect())) == [(1, 5, 5, 8998 - 3 * 4), (2, deepest, deepest, 8999 - 3 * (deepest - 1))]
+
+
+def test_a_small_cut_is_one_window(spark):
+    plan_text = top_k(spark.range(100).withColumn("k", F.lit(1)), ["k"], [F.asc("id")], 20, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan_text.count("Window [") == 1
+
+
+def test_text_is_scanned_once(spark, catalog, requests, profiles, tmp_path):
+    """Statistics, frequencies and scores come from one pass over the text."""
+    path = str(tmp_path / "catalog")
+    catalog.write.parquet(path)
+    found = retrieval.matching_postings(spark.createDataFrame([("tofu",)], "term string"), spark.read.parquet(path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    sizes = {r.field: (r.n, r.avgdl) for r in retrieval.corpus_stats(found).collect()}
+    words = [[len(r[f].split()) for r in catalog.collect() if r[f]] for f in retrieval.FIELDS]
+    plain = {i: (len(w), pytest.approx(sum(w) / len(w))) for i, w in enumerate(words) if w}
+    assert {i: s[0] for i, s in sizes.items()} == {i: p[0] for i, p in plain.items()}
+    result = search(requests, spark.read.parquet(path), profiles)
+    text_scans = re.findall(r"FileScan parquet \[[^]]*description", result.candidates._jdf.queryExecution().executedPlan().toString())
+    assert len(set(text_scans)) <= 1  # one kept relation, shown wherever it is read
+
+
+def test_geo_join_of_any_radius_equals_brute_force(spark):
+    import math
+    import random
+
+    rng = random.Random(8)
+    points = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(150)]
+    points += [(40 + rng.gauss(0, 0.02), 116 + rng.gauss(0, 0.02)) for _ in range(200)] + [(90.0, 10.0), (-90.0, 0.0), (0.0, 180.0), (0.0, -180.0), (40.0, 116.0)]
+    asked = [(k, *points[rng.randrange(len(points))], rng.choice([0.01, 0.3, 2.0, 40.0, 900.0, 7000.0, 20100.0])) for k in range(60)] + [(90, 89.99, 10.0, 30.0), (91, 0.0, 179.9999, 1.0), (92, None, 1.0, 5.0)]
+    places = spark.createDataFrame([(k, *p) for k, p in enumerate(points)] + [(999, None, 1.0)], "p int, place_lat double, place_lng double")
+    table = spark.createDataFrame(asked, "id int, lat double, lng double, radius_km double")
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+        return 2 * 6371.0 * math.asin(min(1, math.sqrt(h)))
+
+    found = geo.geo_join(table, places)
+    got = [(r.id, r.p) for r in found.collect()]
+    sure = {(i, k) for i, a, b, r in asked if a is not None for k, (c, d) in enumerate(points) if km(a, b, c, d) <= r * (1 - 1e-9)}
+    near = {(i, k) for i, a, b, r in asked if a is not None for k, (c, d) in enumerate(points) if km(a, b, c, d) <= r * (1 + 1e-9) + 1e-6}
+    assert len(got) == len(set(got)) and sure <= set(got) <= near
+    cells = table.filter("lat IS NOT NULL").select(F.size(geo.cells_around(F.col("lat"), F.col("lng"), F.col("radius_km"))).alias("n"))
+    assert cells.agg(F.max("n")).first()[0] <= 49

@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forage.session import dealt
+
 RESTAURANTS = """
 SELECT concat('doc_', CAST(doc_id AS STRING)) AS restaurant_id,
        concat('Kitchen ', source, ' ', lang, ' ', CAST(doc_id % 97 AS STRING)) AS name,
@@ -218,7 +220,7 @@ def _plain(sql: str) -> str:
 
 def restaurants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bound catalog in the restaurant layout."""
-    rows = view(spark, sf_dir, "restaurants")
+    rows = view(spark, sf_dir, "restaurants", documents=dealt(table(spark, sf_dir, "documents")))
     return rows.select(
         "restaurant_id", "name", "description", "cuisine_type", "address", "price_level", "rating",
         F.struct("lat", "lng").alias("geo"),

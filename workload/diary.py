@@ -126,8 +126,17 @@ FOOD_QUERIES = [
 ]
 
 
+# one lookup per supplier beside the literal ones
+FOOD_ASKED = """
+SELECT 100 + s_suppkey AS query_id, CASE s_suppkey % 7 WHEN 0 THEN concat('brand#', CAST(s_suppkey % 5 + 1 AS STRING)) WHEN 1 THEN 'econ' WHEN 2 THEN concat('Snack ', CAST(s_suppkey % 50 AS STRING))
+       WHEN 3 THEN 'blue b' WHEN 4 THEN 'std pl' WHEN 5 THEN concat('zz', CAST(s_suppkey AS STRING)) ELSE 'promo ring' END AS q
+FROM {supplier}
+"""
+
+
 def _queries_sql():
-    return "fq AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{q}')" for i, q in FOOD_QUERIES) + ") v(query_id, q))"
+    literal = "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{q}')" for i, q in FOOD_QUERIES) + ") v(query_id, q)"
+    return f"fq AS ({literal} UNION ALL {FOOD_ASKED.format(supplier='supplier')})"
 
 
 FOOD_SEARCH = ctes("food_items", "responses") + ", " + _queries_sql() + r""",
@@ -143,13 +152,14 @@ found AS (SELECT query_id, food_id, score, CAST(row_number() OVER (PARTITION BY
 """
 
 
-def _food_queries(spark):
-    return spark.createDataFrame(FOOD_QUERIES, "query_id bigint, q string")
+def _food_queries(spark, sf_dir):
+    asked = spark.sql(FOOD_ASKED, supplier=table(spark, sf_dir, "supplier"))
+    return spark.createDataFrame(FOOD_QUERIES, "query_id bigint, q string").unionByName(asked)
 
 
 @query("food_search", FOOD_SEARCH + "SELECT query_id, food_id, score, position FROM found WHERE position <= 10")
 def food_search(spark, sf_dir):
-    return food.food_search(_food_queries(spark), view(spark, sf_dir, "food_items"))
+    return food.food_search(_food_queries(spark, sf_dir), view(spark, sf_dir, "food_items"))
 
 
 ASOF = "2024-01-20 00:00:00"
@@ -190,7 +200,7 @@ def nutrition_cache(spark, sf_dir):
     FROM fq LEFT JOIN cache c ON c.cache_key = lower({sql.squish('q')}) WHERE query_id NOT IN (SELECT query_id FROM found)""",
 )
 def food_cascade(spark, sf_dir):
-    return food.food_cascade(_food_queries(spark), view(spark, sf_dir, "food_items"), _cache(spark, sf_dir))
+    return food.food_cascade(_food_queries(spark, sf_dir), view(spark, sf_dir, "food_items"), _cache(spark, sf_dir))
 
 
 @query(

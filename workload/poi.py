@@ -205,21 +205,23 @@ def poi_dedup(spark, sf_dir):
     return poi.first_seen(pois(spark, sf_dir), "id", ["arrival"]).select("id", "arrival", "name")
 
 
+# areas are tenths of a degree, taken from the places themselves
+_AREA = "concat(CAST(floor({lat} * 10) AS BIGINT), ',', CAST(floor({lng} * 10) AS BIGINT))"
+
+
 @query(
     "source_fallback",
-    MAP + OSM.replace("WITH ", ", ", 1) + f""", p AS (SELECT *, arrival % 7 AS area FROM ({_normal_sql('gaode_', 'gaode', 5, '')}))
-    , f AS (SELECT id % 7 AS area, concat('osm_', type, '_', CAST(id AS VARCHAR)) AS restaurant_id, coalesce(tag_name, tag_name_zh) AS name, {_CUISINE} AS cuisine_type,
+    MAP + OSM.replace("WITH ", ", ", 1) + f""", p AS (SELECT *, {_AREA.format(lat='lat', lng='lng')} AS area FROM ({_normal_sql('gaode_', 'gaode', 5, '')}))
+    , f AS (SELECT {_AREA.format(lat=_OSM_LAT, lng='lon')} AS area, concat('osm_', type, '_', CAST(id AS VARCHAR)) AS restaurant_id, coalesce(tag_name, tag_name_zh) AS name, {_CUISINE} AS cuisine_type,
       CASE WHEN tag_price_level = '2' THEN 2 END AS price_level, CAST(NULL AS DOUBLE) AS rating, {_OSM_LAT} AS lat, lon AS lng, 'osm' AS source FROM poi_osm WHERE coalesce(tag_name, tag_name_zh) IS NOT NULL)
-    SELECT area, restaurant_id, name, cuisine_type, price_level, rating, lat, lng, source FROM p WHERE area < 4
-    UNION ALL SELECT * FROM f WHERE area NOT IN (SELECT area FROM p WHERE area < 4)""",
+    SELECT area, restaurant_id, name, cuisine_type, price_level, rating, lat, lng, source FROM p
+    UNION ALL SELECT * FROM f WHERE area NOT IN (SELECT area FROM p)""",
 )
 def source_fallback(spark, sf_dir):
-    """Whole documents: four areas have the first source, the others only the second."""
-    first = poi.normalize_pois(pois(spark, sf_dir), keep=("arrival",)).withColumn("area", F.col("arrival") % 7).filter("area < 4")
-    first = first.drop("arrival")
-    numbered = F.regexp_extract("restaurant_id", "[0-9]+$", 0).cast("bigint")
-    second = poi.normalize_features(features(spark, sf_dir)).withColumn("area", numbered % 7)
-    found = primary_or_fallback(first, second, "area")
+    """Whole documents of the first source, and of the second in areas where the first has none."""
+    part = lambda name: F.floor(F.col(f"geo.{name}") * 10).cast("bigint").cast("string")
+    placed = lambda rows: rows.withColumn("area", F.concat(part("lat"), F.lit(","), part("lng")))
+    found = primary_or_fallback(placed(poi.normalize_pois(pois(spark, sf_dir))), placed(poi.normalize_features(features(spark, sf_dir))), "area")
     return found.select("area", "restaurant_id", "name", "cuisine_type", "price_level", "rating", "geo.lat", "geo.lng", "source")
 
 

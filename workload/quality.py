@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from forage.operators import evaluation, guard
+from forage.plans.search import search
 from workload import sql
 from workload.bindings import ctes, profiles, restaurants, view
 from workload.registry import query
+from workload.requests import requests
+from workload.retrieval import SEARCH
 
 JUDGED = ctes("feedback") + ", j AS (SELECT query_id, rank_position, max(CAST(is_relevant AS INT)) AS rel FROM feedback GROUP BY ALL) "
 KEYS = ["query_id"]
@@ -41,19 +44,18 @@ def eval_mrr(spark, sf_dir):
 
 @query(
     "eval_allergen_recall",
-    ctes("restaurants", "profiles", "feedback") + f""", shown AS (SELECT DISTINCT user_id, restaurant_id FROM feedback),
-    top AS (SELECT DISTINCT user_id, restaurant_id FROM feedback WHERE rank_position <= 10),
-    p AS (SELECT s.user_id, s.restaurant_id, list_has_any({sql.words('p.allergens')}, {sql.words('r.allergens')}) AS flagged, t.user_id IS NOT NULL AS in_top
-      FROM shown s JOIN restaurants r USING (restaurant_id) LEFT JOIN profiles p ON p.user_id = s.user_id LEFT JOIN top t ON t.user_id = s.user_id AND t.restaurant_id = s.restaurant_id)
-    SELECT user_id, count(*) FILTER (flagged AND in_top) AS warned, count(*) FILTER (flagged) AS flagged,
-    round(count(*) FILTER (flagged AND in_top) / nullif(count(*) FILTER (flagged), 0), 6) AS recall FROM p GROUP BY 1""",
+    SEARCH + f""", shown AS (SELECT DISTINCT q.user_id, h.restaurant_id, len(h.warning) > 0 AS warned FROM hits h JOIN requests q USING (query_id) WHERE q.user_id IS NOT NULL),
+    p AS (SELECT s.user_id, s.restaurant_id, bool_or(s.warned) AS warned, coalesce(bool_or(list_has_any({sql.words('p.allergens')}, {sql.words('r.allergens')})), false) AS flagged
+      FROM shown s JOIN restaurants r USING (restaurant_id) LEFT JOIN profiles p USING (user_id) GROUP BY ALL)
+    SELECT user_id, count(*) FILTER (flagged AND warned) AS warned, count(*) FILTER (flagged) AS flagged,
+    round(count(*) FILTER (flagged AND warned) / nullif(count(*) FILTER (flagged), 0), 6) AS recall FROM p GROUP BY 1""",
 )
 def eval_allergen_recall(spark, sf_dir):
-    """Pairs that need a warning, against those warned about among the first ten results."""
-    feedback, catalog, people = view(spark, sf_dir, "feedback"), restaurants(spark, sf_dir), profiles(spark, sf_dir)
-    flagged = guard.allergen_guard(feedback, catalog, people).select("user_id", "restaurant_id", (F.size("triggered") > 0).alias("flagged"))
-    warned = guard.allergen_guard(feedback.filter("rank_position <= 10"), catalog, people).filter(F.size("triggered") > 0)
-    pairs = flagged.join(warned.select("user_id", "restaurant_id", F.lit(True).alias("hit")), ["user_id", "restaurant_id"], "left")
-    pairs = pairs.withColumn("warned", F.col("hit").isNotNull())
-    scores = evaluation.allergen_recall(pairs, ["user_id"])
+    """Shown pairs that profile and catalog say need a warning, against the warnings on the hits themselves."""
+    catalog, people = restaurants(spark, sf_dir), profiles(spark, sf_dir)
+    result = search(requests(spark, sf_dir), catalog, people)
+    users = result.requests.filter(F.col("user_id").isNotNull()).select("query_id", "user_id")
+    shown = result.hits.join(users, "query_id").groupBy("user_id", "restaurant_id").agg(F.bool_or(F.size("allergen_warning") > 0).alias("warned"))
+    flagged = guard.allergen_guard(shown, catalog, people).select("user_id", "restaurant_id", (F.size("triggered") > 0).alias("flagged"))
+    scores = evaluation.allergen_recall(shown.join(flagged, ["user_id", "restaurant_id"]), ["user_id"])
     return scores.select("user_id", "warned", "flagged", F.round("recall", 6).alias("recall"))

@@ -1,4 +1,4 @@
-"""The literal request workload: text, filters, places, users, modes and pages."""
+"""The request workload: a few literal requests, and one per supplier, so that the request side grows; some are not valid."""
 
 from __future__ import annotations
 
@@ -37,8 +37,31 @@ ROWS = [
 ]
 
 
-def requests(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(ROWS, SCHEMA)
+# repeated words, filters and places under different modes, pages and users
+GROWING = """
+SELECT 100 + s_suppkey AS query_id,
+       CASE s_suppkey % 9 WHEN 0 THEN '' WHEN 1 THEN 'ther tion' WHEN 2 THEN concat('kitchen src', CAST(s_suppkey % 20 AS STRING)) WHEN 3 THEN NULL WHEN 4 THEN 'vegan kitchn'
+            WHEN 5 THEN 'que les' WHEN 6 THEN concat('rue street ', CAST(s_suppkey % 211 AS STRING)) WHEN 7 THEN 'erer anan' ELSE 'find halal food' END AS q,
+       CASE s_suppkey % 4 WHEN 0 THEN 'vegan' WHEN 1 THEN 'halal,organic' ELSE NULL END AS labels,
+       CASE s_suppkey % 5 WHEN 0 THEN '1,2' WHEN 1 THEN '4' ELSE NULL END AS prices,
+       CASE WHEN s_suppkey % 41 = 0 THEN 95e0 WHEN s_suppkey % 3 = 0 THEN 39.8e0 + (s_suppkey % 30) / 100e0 END AS lat,
+       CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 41 = 0 THEN 116.2e0 + (s_suppkey % 40) / 100e0 END AS lng,
+       CASE WHEN s_suppkey % 37 = 0 THEN 60e0 WHEN s_suppkey % 2 = 0 THEN 2e0 + s_suppkey % 15 END AS radius_km,
+       CASE s_suppkey % 4 WHEN 0 THEN 'default' WHEN 1 THEN 'diet_first' WHEN 2 THEN 'rating_first' ELSE 'distance_first' END AS sort_mode,
+       CAST(CASE WHEN s_suppkey % 43 = 0 THEN -1 WHEN s_suppkey % 6 = 0 THEN 20 ELSE 0 END AS INT) AS page_offset,
+       CAST(CASE WHEN s_suppkey % 31 = 0 THEN 0 WHEN s_suppkey % 29 = 0 THEN 101 WHEN s_suppkey % 10 = 0 THEN 50 ELSE 10 END AS INT) AS page_limit,
+       CASE WHEN s_suppkey % 8 <> 0 THEN s_suppkey END AS user_id
+FROM {supplier}
+"""
+#: Oracle of the request checks, problem by problem.
+PROBLEMS = """concat_ws(',', CASE WHEN length(q) > 500 THEN 'q' END, CASE WHEN lat NOT BETWEEN -90 AND 90 THEN 'lat' END,
+    CASE WHEN lng NOT BETWEEN -180 AND 180 THEN 'lng' END, CASE WHEN radius_km NOT BETWEEN 0.1e0 AND 50 THEN 'radius_km' END,
+    CASE WHEN page_offset < 0 THEN 'offset' END, CASE WHEN page_limit NOT BETWEEN 1 AND 100 THEN 'limit' END)"""
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grown = spark.sql(GROWING, supplier=spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+    rows = spark.createDataFrame(ROWS, SCHEMA).unionByName(grown)
     return rows.select(
         "query_id", "q",
         words("labels").alias("diet_labels"),
@@ -52,4 +75,6 @@ def requests_cte() -> str:
     rows = ",\n  ".join(
         "(" + ", ".join(f"{v}e0" if isinstance(v, float) else quote(v) for v in row) + ")" for row in ROWS
     )
-    return f"requests AS (SELECT * REPLACE (CAST(query_id AS BIGINT) AS query_id) FROM (VALUES\n  {rows}) r({', '.join(COLUMNS)}))"
+    literal = f"SELECT * REPLACE (CAST(query_id AS BIGINT) AS query_id) FROM (VALUES\n  {rows}) r({', '.join(COLUMNS)})"
+    grown = GROWING.replace("{supplier}", "supplier")
+    return f"asked AS ({literal} UNION ALL BY NAME {grown}), requests AS (SELECT * FROM asked WHERE {PROBLEMS} = '')"

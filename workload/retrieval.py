@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from forage.functions import fixed, scores
-from forage.operators import facets, filters, geo, retrieval
+from forage.operators import facets, filters, geo, retrieval, validate
 from forage.plans import search as plan
-from forage.session import work_path
+from forage.session import cut
 from workload import sql
 from workload.bindings import RESTAURANTS, PROFILES, _plain, profiles, restaurants
 from workload.registry import query
-from workload.requests import requests, requests_cte
+from workload.requests import PROBLEMS, requests, requests_cte
 
 # --- oracle: the search pipeline as one chain of CTEs ------------------------
 
@@ -87,7 +87,7 @@ def _hits(frame):
 
 
 def _search(spark, sf_dir, mode=None, personal=True, **options):
-    asked = requests(spark)
+    asked = requests(spark, sf_dir)
     if mode is not None:
         asked = asked.withColumn("sort_mode", F.lit(mode))
     return plan.search(asked, restaurants(spark, sf_dir), profiles(spark, sf_dir) if personal else None, **options)
@@ -107,23 +107,20 @@ def _with_query(result, rows):
 )
 def bm25_stats(spark, sf_dir):
     """Document frequency of every term of every field, with the field's size and mean length."""
-    catalog = restaurants(spark, sf_dir)
-    row = retrieval.corpus_stats(catalog)
-    row = row.select(F.struct(*row.columns).alias("s")).scalar()
-    fields = range(len(retrieval.FIELDS))
-    n_docs = F.element_at(F.array(*[F.col(f"s.n_{i}") for i in fields]), F.col("field") + 1)
-    avgdl = F.element_at(F.array(*[F.col(f"s.avgdl_{i}") for i in fields]), F.col("field") + 1)
-    return retrieval.corpus_frequency(catalog).withColumn("s", row).select(
-        "field", "term", "df", n_docs.alias("n_docs"), F.round(avgdl, 6).alias("avgdl")
-    )
+    counted = retrieval.corpus_frequency(restaurants(spark, sf_dir))
+    counted = cut(counted, "frequencies")
+    size = counted.filter(F.col("term") == retrieval.MARK).select("field", F.col("df").alias("n_docs"), (F.col("total") / F.col("df")).alias("avgdl"))
+    # one row per field
+    return counted.filter(F.col("term") != retrieval.MARK).join(F.broadcast(size), "field").select("field", "term", "df", "n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
 def _field_scores(spark, sf_dir, expansion="flat"):
     catalog = restaurants(spark, sf_dir)
-    parsed = plan.parse_requests(plan.attach_profiles(requests(spark), None)).persist()
+    asked, _ = validate.split_valid(validate.check_requests(requests(spark, sf_dir)))
+    parsed = plan.parse_requests(plan.attach_profiles(asked, None))
     terms = retrieval.need_terms(plan.distinct_needs(parsed).filter(F.size("terms") > 0))
-    found = retrieval.matching_postings(terms, catalog).persist()
-    return parsed.select("query_id", "need"), retrieval.field_scores(terms, found, catalog, expansion)
+    found = cut(retrieval.matching_postings(terms, catalog), "postings")
+    return parsed.select("query_id", "need"), retrieval.field_scores(terms, found, expansion)
 
 
 @query("bm25_search", SEARCH + "SELECT query_id, restaurant_id, text_score FROM best")
@@ -239,7 +236,7 @@ def geo_join(spark, sf_dir):
     SEARCH + "SELECT c.query_id, c.restaurant_id, c.text_score FROM cand c JOIN qs USING (query_id) WHERE n_terms = 0",
 )
 def search_match_all(spark, sf_dir):
-    asked = requests(spark)
+    asked = requests(spark, sf_dir)
     result = plan.search(asked, restaurants(spark, sf_dir))
     empty = result.requests.filter(F.size("terms") == 0).select("query_id", "need")
     return empty.join(result.candidates, "need").select("query_id", "restaurant_id", "text_score")
@@ -322,17 +319,23 @@ def search_rerank_all(spark, sf_dir):
 
 @query("search_saved_postings", SEARCH + f"SELECT {HIT_COLUMNS} FROM hits")
 def search_saved_postings(spark, sf_dir):
-    """Postings and statistics written once, then searched from the table."""
-    path = work_path(spark, "postings")
-    retrieval.save_postings(restaurants(spark, sf_dir), path)
-    posting_rows, stats = retrieval.load_postings(spark, path)
-    return _hits(_search(spark, sf_dir, posting_rows=posting_rows, stats=stats).hits)
+    """All postings written once as a plain table, then searched from it."""
+    posting_rows = cut(retrieval.postings(restaurants(spark, sf_dir)), "postings")
+    return _hits(_search(spark, sf_dir, posting_rows=posting_rows).hits)
 
 
-@query("search_personal", SEARCH + f"SELECT {HIT_COLUMNS} FROM hits WHERE len(user_allergens) > 0")
+@query("search_personal", SEARCH + f"SELECT {HIT_COLUMNS}, len(user_allergens) > 0 AS personal FROM hits")
 def search_personal(spark, sf_dir):
+    """Hits of every request; those of users with allergens may carry warnings."""
     hits = _search(spark, sf_dir).hits
-    return _hits(hits.filter(F.size("user_allergens") > 0))
+    personal = hits.select("query_id", (F.size("user_allergens") > 0).alias("personal")).distinct()
+    return _hits(hits).join(personal, "query_id")
+
+
+@query("search_rejected", SEARCH + f"SELECT query_id, {PROBLEMS} AS problems FROM asked WHERE {PROBLEMS} <> ''")
+def search_rejected(spark, sf_dir):
+    """Requests that search refuses, with what is wrong with them."""
+    return _search(spark, sf_dir).rejected.select("query_id", F.array_join("problems", ",").alias("problems"))
 
 
 @query(
