@@ -216,23 +216,51 @@ def find_candidates(
     return found.withColumn("km", km).drop("lat", "lng")
 
 
+def _diet_score(avoided: Column) -> Column:
+    return scores.diet_score(F.col("diet_labels"), F.col("allergens"), F.col("allergen_free"), F.col("labels"), avoided)
+
+
 def with_signals(rows: DataFrame) -> DataFrame:
     """Ranking signals, final score, distance and triggered allergens of (request, document) rows."""
-    diet = scores.diet_score(
-        F.col("diet_labels"), F.col("allergens"), F.col("allergen_free"), F.col("labels"), F.col("user_allergens")
-    )
     signals = rows.withColumns(
         {
-            "diet_score": diet,
+            "diet_score": _diet_score(F.col("user_allergens")),
             "rating_score": scores.rating_score(F.col("rating")),
             "distance_score": scores.distance_score(F.col("km")),
             "distance_m": scores.distance_m(F.col("km")),
             "allergen_warning": scores.triggered_allergens(F.col("user_allergens"), F.col("allergens")),
         }
     )
-    parts = ("sort_mode", "text_score", "diet_score", "rating_score", "distance_score")
-    final = scores.final_score(*map(F.col, parts))
-    return signals.withColumn("final_score", F.round(final, retrieval.SCORE_DIGITS))
+    return signals.withColumn("final_score", _final(F.col("diet_score")))
+
+
+def _final(diet: Column) -> Column:
+    """Final score of rows with their other signals."""
+    final = scores.final_score(F.col("sort_mode"), F.col("text_score"), diet, scores.rating_score(F.col("rating")), scores.distance_score(F.col("km")))
+    return F.round(final, retrieval.SCORE_DIGITS)
+
+
+def within_reach(candidates: DataFrame, rankings: DataFrame, deepest: int) -> DataFrame:
+    """Candidates of each (need, sort_mode) that can be on a page of some ranking of it.
+
+    ``rankings`` has need, sort_mode, labels, user_allergens and ``_end``.
+    Allergens of a user are all that rankings of one need and mode differ in.
+    With a of them a diet score lies between the one without users less 2a (-2
+    at the least) and that plus a / 2, and the final score never falls as the
+    diet score rises.  So the k-th best lower bound is reached by k candidates
+    in every ranking, and one whose upper bound is below it is on no first k
+    places.
+    """
+    modes = rankings.groupBy("need", "sort_mode").agg(F.first("labels").alias("labels"), F.max(F.size("user_allergens")).alias("_most"), F.max("_end").alias("_end"))
+    plain = _diet_score(_empty("string"))
+    rows = candidates.join(modes, "need").withColumns(
+        {"_low": _final(F.greatest(plain - 2.0 * F.col("_most"), F.lit(-2.0))), "_high": _final(plain + 0.5 * F.col("_most"))}
+    )
+    narrow = rows.select("need", "sort_mode", "restaurant_id", "_low", "_end")
+    best = top_rows(narrow, ["need", "sort_mode"], [F.desc("_low"), F.asc("restaurant_id")], "_end", deepest, "restaurant_id")
+    reached = best.filter(F.col("position") == F.col("_end")).select("need", "sort_mode", F.col("_low").alias("_reached"))
+    kept = rows.join(reached, ["need", "sort_mode"], "left").filter(F.col("_reached").isNull() | (F.col("_high") >= F.col("_reached")))
+    return kept.drop("_low", "_high", "_most", "_end", "_reached", "labels")
 
 
 def page_and_rerank(parsed: DataFrame, candidates: DataFrame, deepest: int, rerank_scope: str = "page") -> DataFrame:
@@ -242,11 +270,20 @@ def page_and_rerank(parsed: DataFrame, candidates: DataFrame, deepest: int, rera
     ``all``: order every candidate by final score, then cut the page.
     Every need and request is cut at its own last rank; ``deepest`` is the largest.
     """
-    asked = parsed.select("query_id", "need", "sort_mode", "offset", "limit", "labels", "user_allergens", page_end().alias("_end"))
+    asked = parsed.select("query_id", "need", F.coalesce("sort_mode", F.lit("default")).alias("sort_mode"), "offset", "limit", "labels", "user_allergens", page_end().alias("_end"))
     by_final = [F.desc("final_score"), F.desc("text_score"), F.asc("restaurant_id")]
     if rerank_scope == "all":
-        ranked = top_rows(with_signals(candidates.join(asked, "need")), ["query_id"], by_final, "_end", deepest, "restaurant_id")
-        return ranked.filter(F.col("position") > F.col("offset")).drop("_end")
+        # requests of one need, mode and set of allergens have one ranking
+        key = F.sha2(F.to_json(F.struct("need", "sort_mode", F.array_sort("user_allergens").alias("avoided"))), 256)
+        asked = asked.withColumn("_ranking", key)
+        rankings = asked.groupBy("_ranking", "need", "sort_mode").agg(F.first("labels").alias("labels"), F.first("user_allergens").alias("user_allergens"), F.max("_end").alias("_end"))
+        rankings = rankings.filter("_end > 0")
+        rows = with_signals(within_reach(candidates, rankings, deepest).join(rankings, ["need", "sort_mode"]))
+        ranked = top_rows(rows, ["_ranking"], by_final, "_end", deepest, "restaurant_id").drop("_end", "need", "sort_mode", "labels", "user_allergens")
+        pages = ranked.join(asked, "_ranking").filter((F.col("position") > F.col("offset")) & (F.col("position") <= F.col("_end")))
+        # each request names its user's allergens in the user's own order
+        warning = scores.triggered_allergens(F.col("user_allergens"), F.col("allergens"))
+        return pages.withColumn("allergen_warning", warning).drop("_end", "_ranking")
     by_text = [F.desc("text_score"), F.asc("restaurant_id")]
     ends = asked.groupBy("need").agg(F.max("_end").alias("_end"))
     best = top_rows(candidates.join(ends, "need"), ["need"], by_text, "_end", deepest, "restaurant_id", rank="text_rank").drop("_end")

@@ -223,3 +223,28 @@ def test_geo_join_of_any_radius_equals_brute_force(spark):
     assert len(got) == len(set(got)) and sure <= set(got) <= near
     cells = table.filter("lat IS NOT NULL").select(F.size(geo.cells_around(F.col("lat"), F.col("lng"), F.col("radius_km"))).alias("n"))
     assert cells.agg(F.max("n")).first()[0] <= 49
+
+
+def test_bounds_keep_every_page_and_skip_candidates(spark):
+    """Pages by threshold equal the full order, for users with and without allergens."""
+    from forage.plans.search import page_and_rerank, with_signals, within_reach
+
+    rng = random.Random(11)
+    names = ["egg", "soy", "gluten", "peanut"]
+    pick = lambda n: rng.sample(names, rng.randrange(n + 1))
+    places = [(f"n{k % 2}", f"r{k}", rng.choice(["a", "b"]), rng.randrange(1, 5), round(rng.uniform(0, 5), 1), (40.0, 116.0), pick(2), pick(3), pick(2), round(rng.uniform(0, 12), 2), rng.choice([None, 1.5])) for k in range(400)]
+    candidates = spark.createDataFrame(places, "need string, restaurant_id string, cuisine_type string, price_level int, rating double, geo struct<lat:double,lng:double>, diet_labels array<string>, allergens array<string>, allergen_free array<string>, text_score double, km double")
+    asked = [(q, f"n{q % 2}", rng.choice(["default", "diet_first", "odd", None]), rng.choice([0, 3]), rng.choice([0, 4, 9]), ["egg"], rng.choice([[], ["egg"], ["soy", "egg"], ["egg", "soy"]])) for q in range(40)]
+    parsed = spark.createDataFrame(asked, "query_id int, need string, sort_mode string, offset int, limit int, labels array<string>, user_allergens array<string>")
+    shape = lambda rows: sorted((r.query_id, r.position, r.restaurant_id, r.final_score, tuple(r.allergen_warning)) for r in rows)
+    by = {}
+    for r in with_signals(candidates.join(parsed, "need")).collect():
+        by.setdefault(r.query_id, []).append(r)
+    want = []
+    for rows in by.values():
+        rows.sort(key=lambda r: (-r.final_score, -r.text_score, r.restaurant_id))
+        want += [(r.query_id, k + 1, r.restaurant_id, r.final_score, tuple(r.allergen_warning)) for k, r in enumerate(rows) if r.offset <= k < r.offset + r.limit]
+    assert shape(page_and_rerank(parsed, candidates, 12, "all").collect()) == sorted(want)
+    alone = parsed.filter("size(user_allergens) = 0 and sort_mode is not null").withColumn("_end", F.lit(5))
+    kept = within_reach(candidates, alone, 5).groupBy("need", "sort_mode").count().collect()
+    assert kept and all(5 <= r["count"] < 50 for r in kept)  # of 200

@@ -37,16 +37,16 @@ ROWS = [
 ]
 
 
-# repeated words, filters and places under different modes, pages and users
+# words, filters and places that many ask for, under different modes, pages and users
 GROWING = """
 SELECT 100 + s_suppkey AS query_id,
-       CASE s_suppkey % 9 WHEN 0 THEN '' WHEN 1 THEN 'ther tion' WHEN 2 THEN concat('kitchen src', CAST(s_suppkey % 20 AS STRING)) WHEN 3 THEN NULL WHEN 4 THEN 'vegan kitchn'
-            WHEN 5 THEN 'que les' WHEN 6 THEN concat('rue street ', CAST(s_suppkey % 211 AS STRING)) WHEN 7 THEN 'erer anan' ELSE 'find halal food' END AS q,
+       CASE s_suppkey % 9 WHEN 0 THEN '' WHEN 1 THEN 'ther tion' WHEN 2 THEN concat('kitchen src', CAST(s_suppkey % 4 AS STRING)) WHEN 3 THEN NULL WHEN 4 THEN 'vegan kitchn'
+            WHEN 5 THEN 'que les' WHEN 6 THEN concat('rue street ', CAST(s_suppkey % 4 AS STRING)) WHEN 7 THEN 'erer anan' ELSE 'find halal food' END AS q,
        CASE s_suppkey % 4 WHEN 0 THEN 'vegan' WHEN 1 THEN 'halal,organic' ELSE NULL END AS labels,
-       CASE s_suppkey % 5 WHEN 0 THEN '1,2' WHEN 1 THEN '4' ELSE NULL END AS prices,
-       CASE WHEN s_suppkey % 41 = 0 THEN 95e0 WHEN s_suppkey % 3 = 0 THEN 39.8e0 + (s_suppkey % 30) / 100e0 END AS lat,
-       CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 41 = 0 THEN 116.2e0 + (s_suppkey % 40) / 100e0 END AS lng,
-       CASE WHEN s_suppkey % 37 = 0 THEN 60e0 WHEN s_suppkey % 2 = 0 THEN 2e0 + s_suppkey % 15 END AS radius_km,
+       CASE s_suppkey % 4 WHEN 2 THEN '1,2' WHEN 3 THEN '4' ELSE NULL END AS prices,
+       CASE WHEN s_suppkey % 41 = 0 THEN 95e0 WHEN s_suppkey % 3 = 0 THEN 39.8e0 + (s_suppkey % 4) / 10e0 END AS lat,
+       CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 41 = 0 THEN 116.2e0 + (s_suppkey % 4) / 10e0 END AS lng,
+       CASE WHEN s_suppkey % 37 = 0 THEN 60e0 WHEN s_suppkey % 2 = 0 THEN 2e0 + 6 * (s_suppkey % 4) END AS radius_km,
        CASE s_suppkey % 4 WHEN 0 THEN 'default' WHEN 1 THEN 'diet_first' WHEN 2 THEN 'rating_first' ELSE 'distance_first' END AS sort_mode,
        CAST(CASE WHEN s_suppkey % 43 = 0 THEN -1 WHEN s_suppkey % 6 = 0 THEN 20 ELSE 0 END AS INT) AS page_offset,
        CAST(CASE WHEN s_suppkey % 31 = 0 THEN 0 WHEN s_suppkey % 29 = 0 THEN 101 WHEN s_suppkey % 10 = 0 THEN 50 ELSE 10 END AS INT) AS page_limit,
