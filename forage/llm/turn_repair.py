@@ -165,7 +165,8 @@ def _coded(rows: DataFrame) -> DataFrame:
     conversation = [F.col("conv_id").isNull().cast("string"), F.coalesce(F.col("conv_id").cast("string"), F.lit(""))]
     parts = F.to_json(F.array(*conversation, "role"))
     rows = _ordered(rows).select("conv_id", *ORDER, _code().alias("code"), F.unhex(F.md5(F.concat(F.hex("_mark"), parts))).alias("_same"))
-    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
+    # written, because both sides of the join below read it
+    rows = cut(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies")), "coded")
     first = rows.groupBy("_same").agg(F.min("_dated").alias("_any"), F.min("turn").alias("_first"), F.count(F.lit(1)).alias("_turns")).filter("_turns > 1")
     rows = rows.join(first.drop("_turns"), "_same", "left")
     # _any is false where an undated row has this role and text; that one comes first.
