@@ -1,18 +1,23 @@
 """Secrets: fixed patterns, and strings that no dictionary or neighbour explains.
 
-A candidate is a run of token characters with a letter and a digit that stands
-shortly after a sensitive word.  It is compressed behind the text around it and
-a dictionary of ordinary text and identifiers, without copies of itself; the
-bytes that it adds, as a share of what random strings of its alphabet and
-length add there, are its novelty.  Words and identifiers cost little, random
-keys cost as much as random strings and are reported, and so are their copies
-in the same text.
+A candidate is any run without blanks and quotes that is long enough and stands
+after a sensitive word.  It is compressed behind the text around it and a
+dictionary of identifiers, without copies of itself; the bytes that it adds, as
+a share of what random strings of its alphabet and length add there, are its
+novelty.  Words and identifiers cost little, random keys cost as much as random
+strings and are reported, and so are their copies in the same text.
+
+The dictionary holds the most frequent words of all texts that stand behind
+several different words.  A key in copies of one text always stands behind the
+same word, so however often a text is copied, its keys do not explain
+themselves.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -22,28 +27,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forage.llm import scan
-from forage.llm.frames import extended, sampled, set_aside
+from forage.llm.frames import extended, set_aside
 
 KINDS = ["assign", "access", "hex", "novel"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 SENSITIVE = re.compile(rb"(?i)pass(word|wd|phrase|code)|secret|token|api.?key|credential|auth|bearer|private|access.?key|signature|pwd|login")
+#: Addresses are no secrets.
+ADDRESS = re.compile(rb"\W*[\w.+-]+@([\w-]+\.)+[A-Za-z]{2,}\W*")
 ASSIGN_LENGTH, ACCESS_LENGTH, HEX_LENGTH = 12, 18, 16
 
-CANDIDATE_LENGTH = 16
+#: Letters, digits and symbols that a candidate must have, and those that one of letters alone must have.
+CANDIDATE_LENGTH, LETTERS_LENGTH = 16, 20
 #: Bytes before a candidate in which a sensitive word must stand, and bytes on either side that explain it.
-CONTEXT, AROUND = 48, 2048
+CONTEXT, AROUND = 160, 2048
 #: Share of the bytes that random strings add, or added bytes per character, from which a candidate is reported.
 NOVELTY, PER_CHARACTER = 0.85, 0.9
 #: Random strings that a candidate is compared with; long ones differ little, so one will do.
 DRAWS, LONG = 9, 256
-#: The bound of the sample that the dictionary is built from: chosen by hash, whole texts.
-DICTIONARY_ROWS, DICTIONARY_BYTES, MAX_TEXT_BYTES = 1000, 64 << 10, 1 << 18
+#: Size of the dictionary, bytes of a word in it, and the fewest different words (by 64 hash values) that it must stand behind.
+DICTIONARY_BYTES, WORD_BYTES, BEHIND = 256 << 10, (4, 64), 8
 
 _HEX = scan.byte_class(lambda b: chr(b) in "0123456789abcdef")
-_TOKEN = scan.byte_class(lambda b: b < 0x80 and (chr(b).isalnum() or chr(b) in "+/_=-"))
-_DIGIT = scan.byte_class(lambda b: 48 <= b <= 57)
+_TOKEN = scan.byte_class(lambda b: 0x20 < b < 0x7F and chr(b) not in "\"'`")
 _LETTER = scan.byte_class(lambda b: b < 0x80 and chr(b).isalpha())
+_SYMBOL = scan.byte_class(lambda b: 48 <= b <= 57 or chr(b) in "!#$%&*@^")
+#: Marks that belong to the sentence around a candidate.
+_OPENING, _CLOSING = b"([{<", b")]}>.,;:"
 _SIGN = scan.byte_class(lambda b: chr(b) in ":=")
 _FIRST = scan.byte_class(lambda b: b & 0xC0 != 0x80)
 
@@ -56,7 +66,9 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
 
 class Novelty:
     def __init__(self, dictionary: bytes):
-        known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        known = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None
+        if known:
+            known.precompute_compress(level=19)
         self.compressor = zstandard.ZstdCompressor(level=19, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def __call__(self, before: bytes, candidate: bytes, after: bytes) -> float:
@@ -77,7 +89,7 @@ def without_copies(text: bytes, candidate: bytes) -> bytes:
     return text
 
 
-_KINDS = [np.frombuffer(k, np.uint8) for k in (b"0123456789", b"abcdef", b"ghijklmnopqrstuvwxyz", b"ABCDEF", b"GHIJKLMNOPQRSTUVWXYZ")]
+_KINDS = [np.frombuffer(k, np.uint8) for k in (b"0123456789", b"abcdef", b"ghijklmnopqrstuvwxyz", b"ABCDEF", b"GHIJKLMNOPQRSTUVWXYZ", b"!#$%&*@^")]
 
 
 def random_like(candidate: bytes) -> list[bytes]:
@@ -96,16 +108,45 @@ def random_like(candidate: bytes) -> list[bytes]:
     return out
 
 
-def dictionary(docs: DataFrame, rows: int = DICTIONARY_ROWS) -> bytes:
-    """Ordinary text of about ``rows`` documents without what the patterns find; empty where there is too little text."""
-    usable = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.octet_length("text") <= MAX_TEXT_BYTES))
-    texts = sorted(r.text for r in sampled(usable, rows, "doc_id", "text").select("text").collect())
-    clean = [re.sub("[0-9a-f]{16,}", " ", ACCESS.sub(" ", ASSIGN.sub(" ", t))).encode() for t in texts]
-    blocks = [t[i : i + 1024] for t in clean for i in range(0, len(t), 1024)]
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, blocks).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(blocks)[:DICTIONARY_BYTES]
+def _words(part: scan.Slice) -> dict[str, pa.Array]:
+    """Words of a slice, how often they occur, and which hash values the words before them have, as bits."""
+    starts, ends, bounds = part.spans(scan.NON_BLANK[part.data])
+    if not len(starts):
+        return {"word": pa.array([], pa.binary()), "n": pa.array([], pa.int64()), "behind": pa.array([], pa.int64())}
+    hashes = part.hashes(part.prefix(False), starts, ends)
+    before = np.concatenate([np.zeros(1, np.uint64), hashes[:-1]])
+    before[bounds[:-1][bounds[:-1] < len(before)]] = 0
+    fits = np.flatnonzero((ends - starts >= WORD_BYTES[0]) & (ends - starts <= WORD_BYTES[1]))
+    _, first, word, n = np.unique(hashes[fits], return_index=True, return_inverse=True, return_counts=True)
+    behind = np.zeros(len(first), dtype=np.uint64)
+    np.bitwise_or.at(behind, word, np.uint64(1) << (before[fits] & np.uint64(63)))
+    raw = part.data.tobytes()
+    return {
+        "word": pa.array([raw[starts[k] : ends[k]] for k in fits[first]], pa.binary()),
+        "n": pa.array(n, pa.int64()), "behind": pa.array(behind.view(np.int64), pa.int64()),
+    }
+
+
+def identifiers(docs: DataFrame) -> DataFrame:
+    """word (binary) and n, over all texts, of words that stand behind at least ``BEHIND`` different words."""
+
+    def run(batches):
+        for batch in batches:
+            for part in scan.slices(batch.column("text")):
+                found = _words(part)
+                yield pa.RecordBatch.from_arrays(list(found.values()), list(found))
+
+    counted = docs.select("text").mapInArrow(run, "word binary, n long, behind long").groupBy("word")
+    return counted.agg(F.sum("n").alias("n"), F.bit_or("behind").alias("behind")).filter(F.bit_count("behind") >= BEHIND).drop("behind")
+
+
+def dictionary(docs: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
+    """The most frequent identifiers up to ``size`` bytes, the most frequent last, without what the patterns find; empty where there are none."""
+    found = identifiers(docs).orderBy(F.desc("n"), "word").limit(size // (WORD_BYTES[0] + 1)).collect()
+    words = [ACCESS.sub(" ", ASSIGN.sub(" ", bytes(r.word).decode())) for r in found]
+    clean = [re.sub("[0-9a-f]{16,}", " ", w).encode() for w in words]
+    total = np.cumsum([len(w) + 1 for w in clean])
+    return b"\n".join(reversed(clean[: int(np.searchsorted(total, size, side="right"))]))
 
 
 def slice_spans(part: scan.Slice, novelty: Novelty) -> dict[int, list[tuple[int, int, int]]]:
@@ -134,31 +175,46 @@ def slice_spans(part: scan.Slice, novelty: Novelty) -> dict[int, list[tuple[int,
         if spans:
             found.setdefault(row, []).extend(spans)
     starts, ends, bounds = part.spans(_TOKEN[data])
-    digits, letters = (np.concatenate([[0], np.cumsum(table[data])]) for table in (_DIGIT, _LETTER))
-    mixed = (digits[ends] > digits[starts]) & (letters[ends] > letters[starts])
-    tokens = np.flatnonzero((ends - starts >= CANDIDATE_LENGTH) & mixed)
+    letters, symbols = (np.concatenate([[0], np.cumsum(table[data])]) for table in (_LETTER, _SYMBOL))
+    letters, symbols = letters[ends] - letters[starts], symbols[ends] - symbols[starts]
+    tokens = []
+    for k in np.flatnonzero(letters + symbols >= np.where(symbols > 0, CANDIDATE_LENGTH, LETTERS_LENGTH)):
+        token = raw[starts[k] : ends[k]]
+        start = int(ends[k]) - len(token.lstrip(_OPENING))
+        end = max(start, int(starts[k]) + len(token.rstrip(_CLOSING)))
+        tokens.append((int(np.searchsorted(bounds, k, side="right")) - 1, start, end))
+
+    reach: dict[int, tuple[list[int], np.ndarray]] = {}
+
+    def known(row: int, b: int) -> bool:
+        """A pattern found a span that begins before ``b`` and holds the character before it."""
+        if row not in found:
+            return False
+        if row not in reach:
+            spans = sorted(found[row])
+            reach[row] = [x for x, _, _ in spans], np.maximum.accumulate([y for _, _, y in spans])
+        starts, ends = reach[row]
+        at = bisect_left(starts, b)
+        return at > 0 and ends[at - 1] >= b
+
     novel: dict[int, set[bytes]] = {}
-    for k in tokens:
-        row, start, end = int(np.searchsorted(bounds, k, side="right")) - 1, int(starts[k]), int(ends[k])
+    for row, start, end in tokens:
         low, high = int(offsets[row]), int(offsets[row + 1])
         if not SENSITIVE.search(raw[max(low, start - CONTEXT) : start]):
             continue
-        a, b = characters(row, start, end)
-        if any(x < b and a < y for x, _, y in found.get(row, [])):
-            continue
-        if raw[start:end] in novel.get(row, ()):
+        if ADDRESS.fullmatch(raw, start, end) or raw[start:end] in novel.get(row, ()) or known(row, characters(row, start, end)[1]):
             continue
         # Copies leave the surroundings, so these are taken wider by one: a copy that is cut off at the border would explain its other half.
         wide = AROUND + end - start
         if novelty(raw[max(low, start - wide) : start], raw[start:end], raw[end : min(high, end + wide)]) >= NOVELTY:
             novel.setdefault(row, set()).add(raw[start:end])
-    for k in tokens if novel else ():
-        row, start, end = int(np.searchsorted(bounds, k, side="right")) - 1, int(starts[k]), int(ends[k])
+    more: dict[int, list[tuple[int, int, int]]] = {}
+    for row, start, end in tokens if novel else ():
         if raw[start:end] in novel.get(row, ()):
             a, b = characters(row, start, end)
-            if not any(x < b and a < y for x, _, y in found.get(row, [])):
-                found.setdefault(row, []).append((a, 3, b))
-    return {row: sorted(spans) for row, spans in found.items()}
+            if not known(row, b):
+                more.setdefault(row, []).append((a, 3, b))
+    return {row: sorted(found.get(row, []) + more.get(row, [])) for row in found.keys() | more.keys()}
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.IntegerType())]))

@@ -102,6 +102,61 @@ def test_uuids_are_found_and_identifiers_are_not(prose, known):
     assert sum(bool(spans_of(f"{prose(k, 60)} bearer {n} {prose(k + 1, 60)}", known)) for k, n in enumerate(names)) <= 2
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz0123456789!@#$%^&*", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_."])
+@pytest.mark.parametrize("distance", [1, 15])
+def test_keys_of_letters_and_of_symbols_are_found_further_from_the_word(prose, known, alphabet, distance):
+    rng = random.Random(8)
+    found = 0
+    for k in range(40):
+        key = "".join(rng.choice(alphabet) for _ in range(40))
+        text = f"{prose(k, 60)} bearer {prose(k + 2, distance)} ({key}). {prose(k + 1, 60)}"
+        found += any(abs(a - text.index(key)) <= 1 and abs(b - text.index(key) - 40) <= 2 for a, kind, b in spans_of(text, known) if kind == 3)
+    assert found >= 36
+
+
+def test_words_addresses_and_lines_of_one_sign_are_no_secrets(prose, known):
+    for k, odd in enumerate(["=" * 60, "-" * 40, "#" * 30, "jo.smithson77@mail3.example.com", "".join(prose(3, 5).split()), '"' * 30, "é" * 40]):
+        assert spans_of(f"{prose(k, 40)} bearer {odd} {prose(k, 30)}", known) == []
+
+
+def test_many_patterns_in_one_text_take_one_pass(known):
+    line = "token {:016x} bearer {:016x}\n"
+    text = "".join(line.format(k * 7919, k * 104729) for k in range(20_000))
+    assert len(spans_of(text, known)) == 40_000
+
+
+def test_the_end_of_a_key_behind_a_pattern_is_found(prose, known):
+    text = f"{prose(1, 40)} token: abcdefgh1234!X9$w@Q7#kZ2%vB5^ {prose(2, 20)}"
+    kinds = [kind for _, kind, _ in spans_of(text, known)]
+    assert kinds == [0, 3] or kinds == [3, 0]
+
+
+def test_dictionary_holds_words_of_many_contexts_and_no_copied_key(documents, prose):
+    copies = [(k, f"{prose(1, 60)} bearer {KEY} end") for k in range(300)]
+    texts = [(1000 + k, prose(k, 60) + " sharedIdentifier") for k in range(200)]
+    rows = {bytes(r.word).decode(): r.n for r in novelty.identifiers(documents([*copies, *texts, (None, None), (1, "")])).collect()}
+    assert rows["sharedIdentifier"] == 200 and KEY not in rows
+    found = novelty.dictionary(documents(texts), 4096)
+    assert b"sharedIdentifier" in found and len(found) <= 4096
+    assert novelty.dictionary(documents([])) == b"" == novelty.dictionary(documents([(1, None), (2, "")]))
+    spans = {r.doc_id: r.spans for r in novelty.report(documents([*copies, *texts])).collect()}
+    assert all(spans[k].startswith("novel:") for k in range(300)) and not any(spans[1000 + k] for k in range(200))
+
+
+def test_identifiers_equal_brute_force(documents, prose):
+    texts = [(k, prose(k, 50) + (" \n\té" if k % 3 else "")) for k in range(80)]
+    count, behind = {}, {}
+    for _, t in texts:
+        words = re.findall(r"[^ \t-\r]+", t)
+        for before, word in zip([None, *words], words):
+            if 4 <= len(word.encode()) <= 64:
+                count[word] = count.get(word, 0) + 1
+                behind.setdefault(word, set()).add(before)
+    rows = {bytes(r.word).decode(): r.n for r in novelty.identifiers(documents(texts)).collect()}
+    assert all(count[w] == n and len(behind[w]) >= novelty.BEHIND for w, n in rows.items())
+    assert all(w in rows for w, b in behind.items() if len(b) >= 3 * novelty.BEHIND)
+
+
 def language(rng, letters, n):
     return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(n))
 
