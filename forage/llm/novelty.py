@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forage.llm import scan
-from forage.llm.frames import extended, set_aside
+from forage.llm.frames import chance, extended, set_aside
+from forage.session import cut
 
 KINDS = ["assign", "access", "hex", "novel"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -141,8 +142,22 @@ def identifiers(docs: DataFrame) -> DataFrame:
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
-    """The most frequent identifiers up to ``size`` bytes, the most frequent last, without what the patterns find; empty where there are none."""
-    found = identifiers(docs).orderBy(F.desc("n"), "word").limit(size // (WORD_BYTES[0] + 1)).collect()
+    """The most frequent identifiers up to ``size`` bytes, the most frequent last, without what the patterns find; empty where there are none.
+
+    Bytes are counted by level of frequency first.  All words of the levels
+    that fit are fetched, and of the next one the share that fits, by hash.
+    """
+    level, length = F.floor(8 * F.log2("n")), F.octet_length("word") + 1
+    words = cut(identifiers(docs).withColumn("level", level), "identifiers")
+    sizes = words.groupBy("level").agg(F.sum(length).alias("bytes")).orderBy(F.desc("level")).collect()
+    wanted, room = F.lit(False), size
+    for r in sizes:
+        wanted = F.col("level") > r.level
+        if r.bytes > room:
+            wanted |= (F.col("level") == r.level) & (chance("word") < room / r.bytes)
+            break
+        wanted, room = F.col("level") >= r.level, room - r.bytes
+    found = sorted(words.filter(wanted).collect(), key=lambda r: (-r.n, bytes(r.word)))
     words = [ACCESS.sub(" ", ASSIGN.sub(" ", bytes(r.word).decode())) for r in found]
     clean = [re.sub("[0-9a-f]{16,}", " ", w).encode() for w in words]
     total = np.cumsum([len(w) + 1 for w in clean])

@@ -133,11 +133,15 @@ def test_the_end_of_a_key_behind_a_pattern_is_found(prose, known):
 
 def test_dictionary_holds_words_of_many_contexts_and_no_copied_key(documents, prose):
     copies = [(k, f"{prose(1, 60)} bearer {KEY} end") for k in range(300)]
-    texts = [(1000 + k, prose(k, 60) + " sharedIdentifier") for k in range(200)]
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(800)]
+    texts = [(1000 + k, " ".join(rng.choice(vocabulary) for _ in range(100)) + " sharedIdentifier") for k in range(200)]
     rows = {bytes(r.word).decode(): r.n for r in novelty.identifiers(documents([*copies, *texts, (None, None), (1, "")])).collect()}
     assert rows["sharedIdentifier"] == 200 and KEY not in rows
     found = novelty.dictionary(documents(texts), 4096)
-    assert b"sharedIdentifier" in found and len(found) <= 4096
+    assert b"sharedIdentifier" in found and 3000 < len(found) <= 4096
+    whole = novelty.dictionary(documents(texts))
+    assert set(found.split(b"\n")) <= set(whole.split(b"\n")) and whole == novelty.dictionary(documents(list(reversed(texts))))
     assert novelty.dictionary(documents([])) == b"" == novelty.dictionary(documents([(1, None), (2, "")]))
     spans = {r.doc_id: r.spans for r in novelty.report(documents([*copies, *texts])).collect()}
     assert all(spans[k].startswith("novel:") for k in range(300)) and not any(spans[1000 + k] for k in range(200))
