@@ -1,6 +1,6 @@
 """Word languages in mixed text by a linear-chain conditional random field.
 
-Words are runs of letters.  A word's features are its character n-grams of one
+Words are runs of letters.  A word's features are its character n-grams of two
 to four bytes with word borders (so prefixes and suffixes are features of their
 own) and, for words of the learned lexicon, the word itself; all are hashed to
 rows of one weight table.  Labels follow each other with learned transition
@@ -9,11 +9,14 @@ the whole text, and their sums decide the text's language.
 
 Texts are cut into blocks of ``BLOCK`` words only to run many of them side by
 side: a block's product of transition matrices is exact, so the chain passes
-through all blocks as it would word by word.
+through all blocks as it would word by word.  A very long text is worked on in
+pieces between words; the products of its pieces carry the chain over their
+borders in both directions, so its labels do not depend on the pieces.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,11 +40,14 @@ EPOCHS, RATE, DECAY = 3, 0.25, 1e-5
 SWITCH_WORDS = 24
 BATCH = 128
 UNKNOWN = "und"
-#: Bytes of text worked on at once, and the length from which one text is cut into pieces with chains of their own.
+#: Most training texts over all languages; with more than this many divided by ``ROWS_PER_LANGUAGE``, each has fewer.
+TRAINING_ROWS = 20_000
+#: Bytes of text worked on at once, and the length from which one text is worked on in pieces.
 SLICE, LONG = 1 << 19, 1 << 22
 
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint64)
 _BORDER = np.uint64(1)
+_FIRST = scan.byte_class(lambda b: b & 0xC0 != 0x80)
 _PLAIN = scan.byte_class(lambda b: b < 0x80 and chr(b).isalpha())
 
 
@@ -93,38 +99,66 @@ def lexicon_rows(hashes: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
     return np.where(lexicon[place] == hashes, place + (1 << BITS) + 1, 1 << BITS)
 
 
-def marginals(scores: np.ndarray, bounds: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Label probabilities of every word given its whole text, and the summed probabilities of neighbouring label pairs."""
+class _Chain:
+    """Words of texts laid out in blocks; ``fresh``: the first word of a text has none before it."""
+
+    def __init__(self, scores: np.ndarray, bounds: np.ndarray, transition: np.ndarray, fresh: bool = True):
+        n, labels = scores.shape
+        sizes = np.diff(bounds)
+        self.blocks = -(-sizes // BLOCK)
+        self.bounds = np.concatenate([[0], np.cumsum(self.blocks)])
+        self.count, self.labels = int(self.bounds[-1]), labels
+        owner = scan.owners(bounds)
+        offset = np.arange(n) - bounds[owner]
+        self.spot = (self.bounds[owner] + offset // BLOCK) * BLOCK + offset % BLOCK
+        filled, start = np.zeros((2, self.count * BLOCK), dtype=bool)
+        filled[self.spot] = True
+        start[self.spot[offset == 0]] = fresh
+        power = np.ones((self.count * BLOCK, labels))
+        power[self.spot] = np.exp(scores - scores.max(1, keepdims=True))
+        self.power, self.going = power.reshape(-1, BLOCK, labels), (filled & ~start).reshape(-1, BLOCK)
+        self.step = np.exp(transition - transition.max())
+
+    def move(self, vectors: np.ndarray, t: int) -> np.ndarray:
+        """Rows of ``vectors`` one word on; at a text's first word there is no transition, past its last nothing happens."""
+        shape = (self.count,) + (1,) * (vectors.ndim - 1)
+        moved = np.where(self.going[:, t].reshape(shape), vectors @ self.step, vectors) * self.power[:, t].reshape(shape[:-1] + (self.labels,))
+        return moved / moved.reshape(self.count, -1).max(1).reshape(shape)
+
+    def products(self) -> np.ndarray:
+        """For each block, what a vector before it is multiplied with on its way through."""
+        product = np.broadcast_to(np.eye(self.labels), (self.count, self.labels, self.labels)).copy()
+        for t in range(BLOCK):
+            product = self.move(product, t)
+        return product
+
+
+def across(scores: np.ndarray, transition: np.ndarray, fresh: bool) -> np.ndarray:
+    """The product of one piece of a text."""
+    total = np.eye(scores.shape[1])
+    for product in _Chain(scores, np.array([0, len(scores)]), transition, fresh).products() if len(scores) else ():
+        total = total @ product
+        total /= total.max()
+    return total
+
+
+def marginals(scores: np.ndarray, bounds: np.ndarray, transition: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Label probabilities of every word given its whole text, and the summed probabilities of neighbouring label pairs.
+
+    For one piece of a longer text, ``before`` and ``after`` are the forward
+    vector at the last word before it and the backward vector at its own last word.
+    """
     n, labels = scores.shape
     if n == 0:
         return scores, np.zeros((labels, labels))
-    sizes = np.diff(bounds)
-    blocks = -(-sizes // BLOCK)
-    block_bounds = np.concatenate([[0], np.cumsum(blocks)])
-    count = int(block_bounds[-1])
-    owner = scan.owners(bounds)
-    offset = np.arange(n) - bounds[owner]
-    spot = (block_bounds[owner] + offset // BLOCK) * BLOCK + offset % BLOCK
-    filled = np.zeros(count * BLOCK, dtype=bool)
-    filled[spot] = True
-    start = np.zeros(count * BLOCK, dtype=bool)
-    start[spot[offset == 0]] = True
-    power = np.ones((count * BLOCK, labels))
-    power[spot] = np.exp(scores - scores.max(1, keepdims=True))
-    power, filled, start = power.reshape(count, BLOCK, labels), filled.reshape(count, BLOCK), start.reshape(count, BLOCK)
-    step = np.exp(transition - transition.max())
-
-    def move(vectors: np.ndarray, t: int) -> np.ndarray:
-        """Rows of ``vectors`` one word on; at a text's first word there is no transition, past its last nothing happens."""
-        going = filled[:, t] & ~start[:, t]
-        shape = (count,) + (1,) * (vectors.ndim - 2) + (1,)
-        moved = np.where(going.reshape(shape), vectors @ step, vectors) * power[:, t].reshape((count,) + (1,) * (vectors.ndim - 2) + (labels,))
-        return moved / moved.reshape(count, -1).max(1).reshape(shape)
-
-    product = np.broadcast_to(np.eye(labels), (count, labels, labels)).copy()
-    for t in range(BLOCK):
-        product = move(product, t)
+    chain = _Chain(scores, bounds, transition, before is None)
+    count, block_bounds, blocks, step, power = chain.count, chain.bounds, chain.blocks, chain.step, chain.power
+    product = chain.products()
     into, out = np.ones((count, labels)), np.ones((count, labels))
+    if before is not None:
+        into[0] = before
+    if after is not None:
+        out[-1] = after
     most = int(blocks.max())
     order = np.argsort(-blocks, kind="stable")
     longer = np.searchsorted(-blocks[order], -np.arange(1, most), side="left")
@@ -138,7 +172,7 @@ def marginals(scores: np.ndarray, bounds: np.ndarray, transition: np.ndarray) ->
     forward = np.empty((BLOCK, count, labels))
     vector = into
     for t in range(BLOCK):
-        vector = move(vector, t)
+        vector = chain.move(vector, t)
         forward[t] = vector
     found = np.empty((count, BLOCK, labels))
     pairs = np.zeros((labels, labels))
@@ -146,7 +180,7 @@ def marginals(scores: np.ndarray, bounds: np.ndarray, transition: np.ndarray) ->
     for t in range(BLOCK - 1, -1, -1):
         joint = forward[t] * vector
         found[:, t] = joint / joint.sum(1, keepdims=True)
-        going = filled[:, t] & ~start[:, t]
+        going = chain.going[:, t]
         ahead = vector * power[:, t]
         if going.any():
             earlier = (forward[t - 1] if t else into)[going]
@@ -154,7 +188,7 @@ def marginals(scores: np.ndarray, bounds: np.ndarray, transition: np.ndarray) ->
             pairs += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
         vector = np.where(going[:, None], ahead @ step.T, ahead)
         vector = vector / vector.max(1, keepdims=True)
-    return found.reshape(-1, labels)[spot], pairs
+    return found.reshape(-1, labels)[chain.spot], pairs
 
 
 @dataclass
@@ -164,12 +198,67 @@ class Model:
     lexicon: np.ndarray
     transition: np.ndarray
 
-    def predict(self, part: scan.Slice) -> tuple[np.ndarray, np.ndarray]:
-        """For each text its words, and the summed label probabilities of them."""
-        grams, first, hashes, bounds, _ = words_of(part)
-        found, _ = marginals(emissions(grams, first, hashes, self.weights, self.lexicon), bounds, self.transition)
-        run = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(found, axis=0)])
-        return np.diff(bounds), run[bounds[1:]] - run[bounds[:-1]]
+    def scores(self, part: scan.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Label scores of every word, the first word of each text, and where words begin."""
+        grams, first, hashes, bounds, starts = words_of(part)
+        return emissions(grams, first, hashes, self.weights, self.lexicon), bounds, starts
+
+    def words(self, part: scan.Slice) -> Iterator[tuple[scan.Slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """Pieces of the slice with the label probabilities of their words, the first word of each text and where words begin.
+
+        There is one piece but for a very long text.
+        """
+        pieces = _pieces(part)
+        labels = len(self.languages)
+        before, after = [None] * len(pieces), [np.ones(labels)] * len(pieces)
+        if len(pieces) > 1:
+            products, vector = [], None
+            for k, piece in enumerate(pieces):
+                before[k] = vector
+                scores = self.scores(piece)[0]
+                products.append(across(scores, self.transition, vector is None))
+                if len(scores):
+                    vector = (np.ones(labels) if vector is None else vector) @ products[k]
+                    vector = vector / vector.max()
+            for k in range(len(pieces) - 1, 0, -1):
+                vector = products[k] @ after[k]
+                after[k - 1] = vector / vector.max()
+        for k, piece in enumerate(pieces):
+            scores, bounds, starts = self.scores(piece)
+            yield piece, marginals(scores, bounds, self.transition, before[k], after[k] if len(pieces) > 1 else None)[0], bounds, starts
+
+    def predict(self, part: scan.Slice, runs: list[list[dict]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each text its words, and the summed label probabilities of them; ``runs`` gets each text's runs of equally labelled words."""
+        n = part.last - part.first
+        words, sums = np.zeros(n, np.int64), np.zeros((n, len(self.languages)))
+        listed: list[list[dict]] = [[] for _ in range(n)]
+        passed = 0
+        for piece, found, bounds, starts in self.words(part):
+            total = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(found, axis=0)])
+            words += np.diff(bounds)
+            sums += total[bounds[1:]] - total[bounds[:-1]]
+            if runs is not None:
+                self._list_runs(listed, piece, found, bounds, starts, passed)
+                passed += int(_FIRST[piece.data].sum())
+        if runs is not None:
+            runs.extend(listed)
+        return words, sums
+
+    def _list_runs(self, listed: list[list[dict]], piece: scan.Slice, found: np.ndarray, bounds: np.ndarray, starts: np.ndarray, passed: int) -> None:
+        if not len(starts):
+            return
+        ends = piece.spans(scan.LETTERS[piece.data])[1]
+        place = np.concatenate([[0], np.cumsum(_FIRST[piece.data])])
+        best, owner = found.argmax(1), scan.owners(bounds)
+        change = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (owner[1:] != owner[:-1])]))
+        for a, b in zip(change, [*change[1:], len(best)]):
+            row = int(owner[a])
+            shift = passed - int(place[piece.offsets[row]])
+            run = {"start": int(place[starts[a]]) + shift, "end": int(place[ends[b - 1]]) + shift, "lang": self.languages[best[a]]}
+            if listed[row] and listed[row][-1]["lang"] == run["lang"]:
+                listed[row][-1]["end"] = run["end"]
+            else:
+                listed[row].append(run)
 
 
 def _sequences(texts: list[str], labels: list[int], rng) -> tuple[pa.Array, list[np.ndarray]]:
@@ -245,20 +334,21 @@ def fit(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Model | None:
     known = known.filter(F.octet_length("text") <= MAX_TRAINING_BYTES)
     # a written table has a known size, so the join with it moves no text
     counts = cut(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
-    chosen = known.join(counts, "lang").filter(chance("doc_id") < rows / F.col("n"))
-    sample = sorted(chosen.select("lang", "doc_id", "text").collect())
+    rows = min(rows, TRAINING_ROWS / max(1, counts.count()))
+    chosen = known.join(counts, "lang").filter(chance("doc_id", "text") < rows / F.col("n"))
+    sample = sorted(chosen.select("lang", "doc_id", "text").distinct().collect())
     return train([r.text for r in sample], [r.lang for r in sample])
 
 
 def _pieces(part: scan.Slice) -> list[scan.Slice]:
-    """A slice as it is, or a very long text cut at blanks into pieces whose chains begin anew."""
+    """A slice as it is, or a very long text cut between words."""
     if part.last - part.first > 1 or len(part.data) <= LONG:
         return [part]
-    blanks = np.flatnonzero(part.data == 0x20)
+    gaps = np.flatnonzero(~scan.LETTERS[part.data])
     made, at = [], 0
     while at < len(part.data):
-        k = np.searchsorted(blanks, at + LONG, side="right") - 1
-        end = int(blanks[k]) + 1 if at + LONG < len(part.data) and k >= 0 and blanks[k] >= at else min(at + LONG, len(part.data))
+        k = np.searchsorted(gaps, at + LONG)
+        end = int(gaps[k]) + 1 if k < len(gaps) else len(part.data)
         made.append(scan.Slice(part.first, part.last, part.data[at:end], np.array([0, end - at])))
         at = end
     return made
@@ -268,17 +358,24 @@ def _has_letter(text: bytes) -> bool:
     return any(c.isalpha() for c in text.decode())
 
 
-def label(docs: DataFrame, model: Model | None) -> DataFrame:
+RUNS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())]))
+
+
+def label(docs: DataFrame, model: Model | None, runs: bool = False) -> DataFrame:
     """Add ``lang_pred`` and ``score``, the mean probability of that language over the text's words.
 
-    Null texts and texts without a letter are ``und`` with score 0; so is every text without a model.
+    With ``runs``, also ``runs``: (start, end, lang) in characters of each run
+    of words that are most likely of one language, in order.
+
+    Null texts and texts without a letter are ``und`` with score 0 and no runs; so is every text without a model.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches):
         known = sent.value
         for batch in batches:
-            names, scores = [], []
+            names, scores, listed = [], [], []
             for part in scan.slices(batch.column("text"), SLICE):
                 n = part.last - part.first
                 plain = part.totals(_PLAIN[part.data]) > 0
@@ -286,17 +383,20 @@ def label(docs: DataFrame, model: Model | None) -> DataFrame:
                 if known is None:
                     names += [UNKNOWN] * n
                     scores += [0.0] * n
+                    listed += [[]] * n
                     continue
-                found = [known.predict(p) for p in _pieces(part)]
-                words, sums = sum(f[0] for f in found), sum(f[1] for f in found)
+                found: list[list[dict]] | None = [] if runs else None
+                words, sums = known.predict(part, found)
                 best = sums.argmax(1)
                 for i in range(n):
                     good = lettered[i] and words[i] > 0
                     names.append(known.languages[best[i]] if good else UNKNOWN)
                     scores.append(min(1.0, float(sums[i, best[i]] / words[i])) if good else 0.0)
-            yield scan.with_columns(batch, {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
+                    listed.append(found[i] if runs and good else [])
+            made = {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())}
+            yield scan.with_columns(batch, made | ({"runs": pa.array(listed, kind)} if runs else {}))
 
-    return extended(docs, run, lang_pred=T.StringType(), score=T.DoubleType())
+    return extended(docs, run, lang_pred=T.StringType(), score=T.DoubleType(), **({"runs": RUNS} if runs else {}))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 Statistics of every whole text come from one scan.  Ratios of them are the
 coordinates in which random trees isolate documents from well rated ones: the
 shorter the mean path to a document, the more unusual it is.  The trees grow on
-bounded samples of rows; the limit beyond which a document is refused comes from all labelled rows.
+a bounded sample of labelled rows inside the space that all rows span; the
+limit beyond which a document is refused comes from all labelled rows.
 """
 
 from __future__ import annotations
@@ -175,20 +176,39 @@ def _coordinates(rows: DataFrame) -> np.ndarray:
     return ratios({c: found[c].to_numpy() for c in found.columns})
 
 
+def box(stats: DataFrame) -> np.ndarray | None:
+    """Lowest and highest value of each coordinate over all rows; none without rows."""
+    size = ratios({c: np.zeros(0) for c in BASE + MORE}).shape[1]
+    names = [f"{side}_{k}" for side in ("low", "high") for k in range(size)]
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = ratios({c: batch.column(c).to_numpy() for c in BASE + MORE})
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*x.min(0), *x.max(0))], names)
+
+    ends = stats.select(*BASE, *MORE).mapInArrow(run, ", ".join(f"{n} double" for n in names))
+    found = ends.agg(*(F.min(n) for n in names[:size]), *(F.max(n) for n in names[size:])).first()
+    return None if found[0] is None else np.array(found, dtype=float).reshape(2, size)
+
+
 def fit_forest(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Forest | None:
     """Grow trees that isolate what is unlike well rated rows.
 
     Junk is so frequent that it is no rare point of its own, so the trees cut
-    the space that all rows span, and a path ends where no well rated rows
-    remain.  Both samples are chosen by hash among the rows that
-    pass the base rules.  Where fewer than two rows are rated, all rows
-    count as usual; without rows there is no forest.
+    the space that all rows which pass the base rules span, and a path ends
+    where no well rated rows remain.  These are a sample chosen by hash.  Where
+    fewer than two rows are rated, a sample of all rows counts as usual; without
+    rows there is no forest.
     """
     passed = stats.filter(~base_failed())
-    every = _coordinates(sampled(passed, sample_rows, "doc_id", *BASE))
+    space = box(passed)
+    if space is None:
+        return None
     usual = _coordinates(sampled(passed.join(labels.filter("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi"), sample_rows, "doc_id", *BASE))
-    usual = usual if len(usual) > 1 else every
-    return Forest.grow(usual, np.stack([every.min(0), every.max(0)])) if len(every) and len(usual) > 1 else None
+    if len(usual) < 2:
+        usual = _coordinates(sampled(passed, sample_rows, "doc_id", *BASE))
+    return Forest.grow(usual, space) if len(usual) > 1 else None
 
 
 def anomaly(stats: DataFrame, forest: Forest | None) -> DataFrame:

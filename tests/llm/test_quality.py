@@ -105,3 +105,13 @@ def test_forest_scores_what_is_alone_higher():
     forest = rule_forest.Forest.grow(usual, np.array([[-9.0] * 3, [9.0] * 3]))
     scores = forest.scores(np.concatenate([usual, [[8.0, 8.0, 8.0]]]))
     assert scores[-1] > scores[:-1].max()
+
+
+def test_the_space_of_the_forest_spans_all_rows(documents, prose):
+    docs = [(k, prose(k, 60)) for k in range(300)] + [(300, "A" * 70 + " " + prose(1, 60)), (301, "7 " * 3), (302, prose(2, 60) + " ####" * 30)]
+    stats = rule_forest.statistics(documents(docs).select("doc_id", "text"))
+    rows = stats.toPandas()
+    every = rule_forest.ratios({c: rows[c].to_numpy() for c in rule_forest.BASE + rule_forest.MORE})
+    low, high = rule_forest.box(stats)
+    assert (low == every.min(0)).all() and (high == every.max(0)).all()
+    assert rule_forest.box(stats.limit(0)) is None

@@ -228,3 +228,49 @@ def test_forward_backward_over_blocks_equals_word_by_word():
             pair = forward[t - 1 - a][:, None] * np.exp(transition) * (np.exp(scores[t]) * backward[t - a])[None, :]
             total += pair / pair.sum()
     assert np.allclose(total, pairs)
+
+
+@pytest.fixture(scope="module")
+def model(tongues):
+    return lang_crf.train([t for _, t, x in tongues[1] if x], [x for _, _, x in tongues[1] if x])
+
+
+@pytest.mark.parametrize("long", [1, 7, 60, 300])
+def test_pieces_of_a_long_text_do_not_change_its_labels(tongues, model, monkeypatch, long):
+    letters, _ = tongues
+    rng = random.Random(3)
+    texts = ["12 … " + language(rng, letters["aa"], 60) + " — 34, 5 " + language(rng, letters["bb"], 50) + " 6.", "abc" * 200, "1 2 3 4", "é", language(rng, letters["cc"], 3)]
+    for text in texts:
+        part = next(scan.slices(pa.array([text])))
+        monkeypatch.setattr(lang_crf, "LONG", 1 << 22)
+        whole, want = [], model.predict(part)
+        model.predict(part, whole)
+        monkeypatch.setattr(lang_crf, "LONG", long)
+        cut, got = [], model.predict(part)
+        model.predict(part, cut)
+        assert (want[0] == got[0]).all() and np.allclose(want[1], got[1]) and whole == cut
+
+
+def test_runs_name_the_parts_of_mixed_texts(documents, tongues, model):
+    letters, _ = tongues
+    rng = random.Random(4)
+    parts = [language(rng, letters[x], 40) for x in ("aa", "bb", "cc")]
+    text = "-- " + ", ".join(parts) + "!"
+    rows = {r.doc_id: r for r in lang_crf.label(documents([(1, text), (2, None), (3, ""), (4, "12 3"), (5, parts[1]), (5, parts[1])], ["runs", "lang_pred"]), model, runs=True).collect()}
+    runs = rows[1].runs
+    assert [r.lang for r in runs] == ["aa", "bb", "cc"] and runs[0].start == 3 and runs[-1].end == len(text) - 1
+    assert all(abs(r.start - text.index(p)) < 20 and abs(r.end - text.index(p) - len(p)) < 20 for r, p in zip(runs, parts))
+    assert rows[2].runs == rows[3].runs == rows[4].runs == []
+    assert [(r.start, r.end, r.lang) for r in rows[5].runs] == [(0, len(parts[1]), "bb")]
+    assert not lang_crf.label(documents([(1, "abc")]), None, runs=True).first().runs
+
+
+def test_repeated_rows_are_learned_from_once(documents, tongues, monkeypatch):
+    _, docs = tongues
+    seen = []
+    monkeypatch.setattr(lang_crf, "train", lambda texts, languages: seen.append(len(texts)))
+    lang_crf.fit(documents(docs, []))
+    lang_crf.fit(documents(docs * 3, []))
+    monkeypatch.setattr(lang_crf, "TRAINING_ROWS", 20)
+    lang_crf.fit(documents(docs, []))
+    assert seen[0] == seen[1] > 60 > seen[2] > 0
