@@ -10,7 +10,7 @@ CLASHING = ["size", "target", "taken", "score", "secrets", "hits", "item_ids", "
 def folder(spark, tmp_path_factory):
     """The shared folder of the session; one of our own only where the session names none."""
     if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+        spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
 
 
 @pytest.fixture(scope="session")
