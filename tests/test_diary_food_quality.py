@@ -29,6 +29,16 @@ def test_food_prefixes(spark):
     assert one["score"] == pytest.approx(score, abs=1e-6)
 
 
+def test_words_of_foods_are_not_broadcast(spark, tmp_path):
+    """A small file may hold very many words."""
+    spark.range(2000).selectExpr("id AS food_id", "'rice' AS name_zh", "'black rice' AS name_en", "'hei mi' AS name_pinyin").write.parquet(str(tmp_path / "foods"))
+    asked = spark.createDataFrame([(1, "ri"), (2, "hei")], "query_id bigint, q string")
+    found = food.food_search(asked, spark.read.parquet(str(tmp_path / "foods")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [word" in plan and "BroadcastHashJoin [word" not in plan
+    assert found.count() == 20
+
+
 def test_estimates(spark):
     from forage.sources.food import estimates
 
