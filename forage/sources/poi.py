@@ -173,13 +173,16 @@ def keyword_page(
 
 
 def around_page(
-    pois: DataFrame, lat: float, lng: float, radius_m: int, page: int, page_size: int = fixed.POI_VARIANTS["official"]["page"], keyword: str | None = None
+    pois: DataFrame, lat: float, lng: float, radius_m: int, page: int, page_size: int = fixed.POI_VARIANTS["official"]["page"], keyword: str | None = None, digits: int | None = None
 ) -> DataFrame:
-    """One numbered page of the POIs within a radius, nearest first, with ``km``."""
+    """One numbered page of the POIs within a radius, nearest first, with ``km``.
+
+    With ``digits`` distances are rounded to so many; those that are then equal come in arrival order.
+    """
     placed = _keyword(pois, keyword, None, None).withColumn("place", poi.location(F.col("location")))
     placed = placed.select("*", "place.lat", "place.lng")
     km = haversine_km(F.lit(lat), F.lit(lng), F.col("lat"), F.col("lng"))
-    near = radius_filter(placed, lat, lng, radius_m / 1000.0).withColumn("km", km)
+    near = radius_filter(placed, lat, lng, radius_m / 1000.0).withColumn("km", km if digits is None else F.round(km, digits))
     return near.orderBy("km", "arrival").offset((page - 1) * page_size).limit(page_size)
 
 

@@ -153,3 +153,18 @@ def test_pages_around_equal_single_pages(spark):
         found = poi.around_page(pois, lat, lng, int(km * 1000), page, size, word).collect()
         want += [(key, (page - 1) * size + i + 1, r["arrival"]) for i, r in enumerate(found)]
     assert got == sorted(want) and got
+
+
+def test_equally_far_places_of_a_page_come_in_arrival_order(spark, tmp_path):
+    """Suppliers in turn at two places less than a millimetre apart in distance from the centre, against the query's SQL."""
+    import duckdb
+
+    import __spark_entry__ as entry_points
+
+    path = str(tmp_path / "supplier.parquet")
+    db = duckdb.connect()
+    db.execute(f"COPY (SELECT k * 600 + p AS s_suppkey, 's' AS s_name, 1 AS s_nationkey FROM range(40) r(k), (VALUES (299), (301)) v(p)) TO '{path}' (FORMAT parquet)")
+    db.execute(f"CREATE VIEW supplier AS SELECT * FROM '{path}'")
+    want = db.execute(entry_points.oracle_sql()["poi_around_page"]).fetchall()
+    assert len(want) == 20 and len({a % 600 for a, _ in want}) == 2
+    assert [tuple(r) for r in entry_points.queries()["poi_around_page"](spark, str(tmp_path)).collect()] == want
