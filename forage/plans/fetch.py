@@ -39,7 +39,7 @@ def need_id() -> Column:
 def around_map(needs: DataFrame, pois: DataFrame) -> DataFrame:
     """First pages of the map service around each placed need: need_id, position and the restaurant, nearest first.
 
-    A source id counts once per need, where it comes first; places without id or name are left out.
+    Places without id or name are left out; of the others a source id counts once per need, where it comes first.
     """
     pages = PAGES * fixed.POI_VARIANTS["web"]["page"]
     asked = needs.select("need_id", F.lower("q").alias("_q"), "lat", "lng", F.lit(RADIUS_KM).alias("radius_km"))
@@ -48,7 +48,7 @@ def around_map(needs: DataFrame, pois: DataFrame) -> DataFrame:
     met = geo_join(asked, placed).filter(holds[0] | holds[1] | holds[2])
     nearest = Window.partitionBy("need_id").orderBy("km", "arrival")
     paged = met.withColumn("position", F.row_number().over(nearest)).filter(F.col("position") <= pages)
-    paged = paged.filter(F.col("id").isNotNull() & (F.col("id").cast("string") != ""))
+    paged = paged.filter(F.col("id").isNotNull() & (F.col("id").cast("string") != "") & poi.filled(F.col("name")).isNotNull())
     once = Window.partitionBy("need_id", "id").orderBy("position")
     paged = paged.withColumn("_once", F.row_number().over(once)).filter("_once = 1")
     return source.normalize_pois(paged, "web", keep=("need_id", "position"))

@@ -191,6 +191,13 @@ def test_documents_of_needs(spark):
     assert all(len(found[("soup", at)]) == 30 and found[("soup", at)][0][1].startswith("osm_node_") for at in (39.9, None))
 
 
+def test_a_named_place_counts_behind_an_unnamed_one_of_its_id(spark):
+    rows = [("7", "", "tofu", 1, "116.400,39.900"), ("7", "Tofu", "tofu", 2, "116.401,39.900"), ("7", "Tofu later", "tofu", 3, "116.402,39.900")]
+    pois = spark.createDataFrame([(i, n, "x", t, "", "", at, ("4", "60"), [], k) for i, n, t, k, at in rows], schemas.MAP_POI + ", arrival int")
+    needs = fetch.needs_of(spark.createDataFrame([("tofu", 39.9, 116.4)], "q string, lat double, lng double"))
+    assert [(r.restaurant_id, r["name"]) for r in fetch.around_map(needs, pois).collect()] == [("amap_7", "Tofu")]
+
+
 SEARCH = "ts timestamp_ntz, q string, total int, page_offset int, lat double, lng double"
 
 
