@@ -190,19 +190,24 @@ def pages_around(pois: DataFrame, requests: DataFrame) -> DataFrame:
     """The asked page of every request: (request_id, position, km and the POI), nearest first.
 
     ``requests``: request_id, lat, lng, radius_km, page, page_size and keyword
-    (null or empty: any).  Requests and places meet in grid cells; a request
-    for one page is the one-row case.
+    (null or empty: any).  Requests that ask for the same are answered once.
+    They and the places meet in grid cells; a request for one page is the
+    one-row case.
     """
     placed = pois.withColumn("_place", poi.location(F.col("location"))).withColumns({"place_lat": F.col("_place.lat"), "place_lng": F.col("_place.lng")}).drop("_place")
-    asked = requests.select("request_id", "lat", "lng", "radius_km", "page", "page_size", F.lower("keyword").alias("_keyword"))
-    met = geo_join(asked, placed)
+    asked = requests.select("request_id", "lat", "lng", "radius_km", "page", "page_size", F.nullif(F.lower("keyword"), F.lit("")).alias("_keyword"))
+    own = [c for c in asked.columns if c != "request_id"]
+    asked = asked.withColumn("_ask", F.sha2(F.to_json(F.struct(*own)), 256))
+    asks = asked.groupBy("_ask").agg(*[F.first(c).alias(c) for c in own])
+    met = geo_join(asks, placed)
     holds = [F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.col("_keyword")) for c in ("name", "tag", "type")]
     met = met.filter(F.col("_keyword").isNull() | holds[0] | holds[1] | holds[2])
     met = met.withColumn("_last", F.col("page") * F.col("page_size"))
     deepest = requests.agg(F.coalesce(F.max(F.col("page") * F.col("page_size")), F.lit(0))).first()[0]
-    ranked = top_rows(met, ["request_id"], [F.asc("km"), F.asc("arrival")], "_last", int(deepest), "arrival")
+    ranked = top_rows(met, ["_ask"], [F.asc("km"), F.asc("arrival")], "_last", int(deepest), "arrival")
     asked_page = F.col("position") > F.col("_last") - F.col("page_size")
-    return ranked.filter(asked_page).drop("_keyword", "_last", "lat", "lng", "radius_km", "page", "page_size")
+    pages = ranked.filter(asked_page).drop("_last", *own)
+    return asked.select("request_id", "_ask").join(pages, "_ask").drop("_ask")
 
 
 def first_seen(pois: DataFrame, key: str, order: list[str]) -> DataFrame:

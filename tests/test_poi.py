@@ -168,3 +168,12 @@ def test_equally_far_places_of_a_page_come_in_arrival_order(spark, tmp_path):
     want = db.execute(entry_points.oracle_sql()["poi_around_page"]).fetchall()
     assert len(want) == 20 and len({a % 600 for a, _ in want}) == 2
     assert [tuple(r) for r in entry_points.queries()["poi_around_page"](spark, str(tmp_path)).collect()] == want
+
+
+def test_equal_page_requests_are_answered_once(spark):
+    pois = spark.createDataFrame([(k, "n", "food", "tofu", "116.4,39.9") for k in range(3)], "arrival int, name string, type string, tag string, location string")
+    asked = "request_id int, lat double, lng double, radius_km double, page int, page_size int, keyword string"
+    table = spark.createDataFrame([(k, 39.9, 116.4, 1.0, 1, 2, w) for k, w in enumerate(["tofu", "TOFU", "", None] * 25)], asked)
+    found = poi.pages_around(pois, table)
+    assert "Aggregate [_ask" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.request_id, r.position, r.arrival) for r in found.collect()) == [(k, p + 1, p) for k in range(100) for p in range(2)]
