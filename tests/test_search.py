@@ -248,3 +248,12 @@ def test_bounds_keep_every_page_and_skip_candidates(spark):
     alone = parsed.filter("size(user_allergens) = 0 and sort_mode is not null").withColumn("_end", F.lit(5))
     kept = within_reach(candidates, alone, 5).groupBy("need", "sort_mode").count().collect()
     assert kept and all(5 <= r["count"] < 50 for r in kept)  # of 200
+
+
+def test_scores_are_counted_behind_their_shuffle(spark):
+    """No task holds the rows of all needs that its terms are asked by."""
+    terms = spark.createDataFrame([("n", 1, 1, "tofu", 1, [1])], "need string, n_terms int, n_groups int, term string, mult long, groups array<int>")
+    found = spark.createDataFrame([("a", 0, 1, "tofu", 1), ("a", 0, 1, "", 1)], "restaurant_id string, field int, dl int, term string, tf long")
+    plan = retrieval.field_scores(terms, found)._jdf.queryExecution().executedPlan().toString()
+    lines = [line for line in plan.split("\n") if "keys=[need" in line or "REPARTITION_BY_COL" in line]
+    assert lines and "REPARTITION_BY_COL" in lines[-1]
