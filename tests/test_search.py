@@ -257,3 +257,12 @@ def test_scores_are_counted_behind_their_shuffle(spark):
     plan = retrieval.field_scores(terms, found)._jdf.queryExecution().executedPlan().toString()
     lines = [line for line in plan.split("\n") if "keys=[need" in line or "REPARTITION_BY_COL" in line]
     assert lines and "REPARTITION_BY_COL" in lines[-1]
+
+
+def test_rows_of_a_need_reach_all_its_requests(spark):
+    from workload.retrieval import _per_request
+
+    asked = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(200)] + [(900, "none")], "query_id long, need string")
+    rows = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "x", 3.0)], "need string, restaurant_id string, text_score double")
+    got = sorted((r.query_id, r.restaurant_id, r.text_score) for r in _per_request(asked, rows).collect())
+    assert got == sorted((k, *row) for k in range(200) for row in ([("x", 3.0)] if k % 2 else [("x", 1.0), ("y", 2.0)]))
