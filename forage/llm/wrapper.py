@@ -18,10 +18,12 @@ from __future__ import annotations
 
 import hashlib
 import html
+import math
 import re
 from bisect import bisect_left
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -240,7 +242,7 @@ def tree_of(page: Page) -> tuple[Tree, dict[int, int]]:
     return Tree(labels, [place[p] if p >= 0 else -1 for _, p in rows]), place
 
 
-#: Children of two nodes are matched by a table up to so many pairs; longer lists by their k-th equal labels.
+#: Children of two nodes with more pairs than this are matched by rows of arrays instead of lists, with the same result.
 MOST_PAIRS = 1 << 14
 
 
@@ -261,12 +263,137 @@ def _in_order(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return found[::-1]
 
 
+class _Level:
+    """Nodes of one depth of a tree, one of each shape, and their scores against nodes of another tree."""
+
+    #: Rows kept for shapes met again have no more numbers than this.
+    KEPT = 1 << 21
+
+    def __init__(self, tree: Tree, nodes: list[int]):
+        self.place: dict[int, int] = {}
+        own = []
+        for y in nodes:
+            if tree.shape[y] not in self.place:
+                self.place[tree.shape[y]] = len(own)
+                own.append(y)
+        self.labels = np.array([tree.labels[y] for y in own], dtype=np.int64)
+        self.known = set(self.labels.tolist())
+        self.kept: dict[int, np.ndarray] = {}
+        self.below: _Level | None = None
+        self.sizes = np.array([len(tree.children[y]) for y in own])
+        self.children = [c for y in own for c in tree.children[y]]
+
+    @classmethod
+    def of(cls, tree: Tree, nodes: list[int]) -> _Level:
+        """The level of the nodes with all levels below it."""
+        top = level = cls(tree, nodes)
+        while level.children:
+            level.below = cls(tree, level.children)
+            level.at = np.array([level.below.place[tree.shape[c]] for c in level.children], dtype=np.int64)
+            level.owner = np.repeat(np.arange(len(level.sizes)), level.sizes)
+            level.first = np.concatenate([[True], level.owner[1:] != level.owner[:-1]])
+            level.last = (np.cumsum(level.sizes) - 1)[level.sizes > 0]
+            level = level.below
+        return top
+
+    def start(self) -> np.ndarray | None:
+        return np.zeros(len(self.at), dtype=np.int64) if self.below else None
+
+    def step(self, row: np.ndarray, gain: np.ndarray, high: int) -> np.ndarray:
+        """The next row of all tables at once.
+
+        The tables stand one after another, each lifted above the last, so that a running maximum stays inside its table.
+        """
+        before = np.roll(row, 1)
+        before[self.first] = 0
+        lift = self.owner * high
+        return np.maximum.accumulate(np.maximum(row, before + gain[self.at]) + lift) - lift
+
+    def scores(self, row: np.ndarray | None, label: int) -> np.ndarray:
+        total = np.ones(len(self.labels), dtype=np.int64)
+        if row is not None:
+            total[self.sizes > 0] += row[self.last]
+        return np.where(self.labels == label, total, 0)
+
+    def against(self, tree: Tree, x: int) -> np.ndarray:
+        """Size of the largest map between the subtree of ``x`` and that of each node."""
+        high = tree.size[x] + 1
+        todo = [(self, x, iter(tree.children[x]), [self.start()])]
+        found: np.ndarray | None = None
+        while todo:
+            level, node, rest, row = todo[-1]
+            if found is not None:
+                row[0] = level.step(row[0], found, high)
+                found = None
+            for child in rest if level.below else ():
+                if tree.labels[child] in level.below.known:
+                    found = level.below.kept.get(tree.shape[child])
+                    if found is None:
+                        todo.append((level.below, child, iter(tree.children[child]), [level.below.start()]))
+                    break
+            else:
+                found = level.scores(row[0], tree.labels[node])
+                if (len(level.kept) + 1) * len(found) > level.KEPT:
+                    level.kept.clear()
+                level.kept[tree.shape[node]] = found
+                todo.pop()
+        return found
+
+
+def _matched_lists(a: Tree, b: Tree, xs: list[int], ys: list[int]) -> tuple[int, list[tuple[int, int]]]:
+    """Size of the largest order-keeping map of two long lists of siblings, and its pairs of siblings.
+
+    Rows of the table are arrays.  Every k-th row is kept, k the root of their
+    number, and the rows between are computed anew on the way back, so memory
+    grows with the list and not with its square.
+    """
+    level = _Level.of(b, ys)
+    at = np.array([level.place[b.shape[y]] for y in ys], dtype=np.int64)
+
+    def gain(x: int) -> np.ndarray | None:
+        if a.labels[x] not in level.known:
+            return None
+        known = level.kept.get(a.shape[x])
+        return (level.against(a, x) if known is None else known)[at]
+
+    def next_row(row: np.ndarray, x: int) -> np.ndarray:
+        own = gain(x)
+        if own is None:
+            return row
+        out = row.copy()
+        np.maximum(row[1:], row[:-1] + own, out=out[1:])
+        return np.maximum.accumulate(out)
+
+    every = max(1, math.isqrt(len(xs)))
+    row = np.zeros(len(ys) + 1, dtype=np.int64)
+    held = []
+    for i, x in enumerate(xs):
+        if i % every == 0:
+            held.append(row)
+        row = next_row(row, x)
+    total, pairs, j = int(row[-1]), [], len(ys)
+    for k in range(len(held) - 1, -1, -1):
+        table = [held[k]]
+        for x in xs[k * every : (k + 1) * every]:
+            table.append(next_row(table[-1], x))
+        i = len(table) - 1
+        while i and j:
+            # as far left as the value stays, but up before left
+            if table[i][j] == table[i - 1][j]:
+                i -= 1
+            elif table[i][j] == table[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((xs[k * every + i], ys[j]))
+    return total, pairs
+
+
 def match(a: Tree, b: Tree) -> dict[int, int]:
     """Simple tree matching: the largest order-keeping map of nodes of ``a`` to nodes of ``b`` with equal labels and matched parents.
 
-    Where two nodes have more than ``MOST_PAIRS`` pairs of children, the k-th
-    child of a label is paired with the k-th of that label, and the longest run
-    in order of such pairs is taken, so cost stays in proportion to the trees.
+    Where two nodes have more than ``MOST_PAIRS`` pairs of children, the table
+    of their children is filled row by row with arrays; the map is the same.
     """
     scores: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
 
@@ -283,18 +410,8 @@ def match(a: Tree, b: Tree) -> dict[int, int]:
         pairs = list(zip(xs[:head], ys[:head])) + (list(zip(xs[-tail:], ys[-tail:])) if tail else [])
         return pairs, xs[head : len(xs) - tail], ys[head : len(ys) - tail]
 
-    def candidates(mx: list[int], my: list[int]) -> list[tuple[int, int]]:
-        if len(mx) * len(my) <= MOST_PAIRS:
-            return [(p, q) for p in mx for q in my if a.labels[p] == b.labels[q]]
-        queues: dict[int, list[int]] = {}
-        for q in reversed(my):
-            queues.setdefault(b.labels[q], []).append(q)
-        return _in_order([(p, queues[a.labels[p]].pop()) for p in mx if queues.get(a.labels[p])])
-
-    def solved(x: int, y: int, pairs: list, mx: list[int], my: list[int], open_: list[tuple[int, int]]) -> tuple[int, list[tuple[int, int]]]:
+    def solved(pairs: list, mx: list[int], my: list[int], open_: list[tuple[int, int]]) -> tuple[int, list[tuple[int, int]]]:
         total = 1 + sum(a.size[p] for p, _ in pairs)
-        if len(mx) * len(my) > MOST_PAIRS:
-            return total + sum(scores[pair][0] for pair in open_), pairs + open_
         if not open_:
             return total, pairs
         table = [[0] * (len(my) + 1)]
@@ -318,31 +435,40 @@ def match(a: Tree, b: Tree) -> dict[int, int]:
                 pairs.append((mx[i], my[j]))
         return total, pairs
 
+    parts: dict[tuple[int, int], tuple] = {}
+
+    def score(x: int, y: int) -> None:
+        todo = [(x, y)]
+        while todo:
+            x, y = todo[-1]
+            if (x, y) in scores:
+                todo.pop()
+            elif a.shape[x] == b.shape[y]:
+                scores[x, y] = a.size[x], list(zip(a.children[x], b.children[y]))
+            elif (x, y) in parts:
+                scores[x, y] = solved(*parts.pop((x, y)))
+            else:
+                pairs, mx, my = middle(x, y)
+                if len(mx) * len(my) > MOST_PAIRS:
+                    total, between = _matched_lists(a, b, mx, my)
+                    scores[x, y] = 1 + sum(a.size[p] for p, _ in pairs) + total, pairs + between
+                else:
+                    open_ = [(p, q) for p in mx for q in my if a.labels[p] == b.labels[q]]
+                    parts[x, y] = pairs, mx, my, open_
+                    todo += [pair for pair in open_ if pair not in scores]
+
     if a.labels[0] != b.labels[0]:
         return {}
-    todo = [(0, 0)]
-    parts: dict[tuple[int, int], tuple] = {}
-    while todo:
-        x, y = todo[-1]
-        if (x, y) in scores:
-            todo.pop()
-            continue
-        if a.shape[x] == b.shape[y]:
-            scores[x, y] = a.size[x], list(zip(a.children[x], b.children[y]))
-            continue
-        if (x, y) not in parts:
-            pairs, mx, my = middle(x, y)
-            open_ = candidates(mx, my)
-            parts[x, y] = pairs, mx, my, open_
-            todo += [pair for pair in open_ if pair not in scores]
-            continue
-        scores[x, y] = solved(x, y, *parts.pop((x, y)))
     found: dict[int, int] = {}
     todo = [(0, 0)]
     while todo:
         x, y = todo.pop()
         found[x] = y
-        todo += zip(a.children[x], b.children[y]) if a.shape[x] == b.shape[y] else scores[x, y][1]
+        if a.shape[x] == b.shape[y]:
+            todo += zip(a.children[x], b.children[y])
+        else:
+            score(x, y)  # of long lists' children only those that were paired
+            todo += scores[x, y][1]
     return found
 
 

@@ -1,5 +1,6 @@
 import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -149,3 +150,25 @@ def test_the_layout_is_not_told_by_content_or_numbers():
 
     assert name("<div class='post-12'><p>a</p></div>") == name("<div class='post-7'><h2>t</h2><p>a<b>b</b></p><ul><li>c</ul></div>")
     assert name("<div class='post'><p>a</p></div>") != name("<div class='list'><p>a</p></div>")
+
+
+@settings(max_examples=150, deadline=None)
+@given(trees, trees)
+def test_long_lists_are_matched_as_short_ones(a, b):
+    """The size of lists decides how the table is filled, not what is matched."""
+    x, y = tree_of(a), tree_of(b)
+    short = wrapper.match(x, y)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(wrapper, "MOST_PAIRS", 0)
+        assert wrapper.match(x, y) == short
+        patch.setattr(wrapper._Level, "KEPT", 0)
+        assert wrapper.match(x, y) == short
+
+
+def test_long_lists_keep_the_pairs_that_a_change_shifts():
+    """A list of 200 rows, of which the other page lacks one: only a table finds all others."""
+    row = lambda k: ("d", [("p", [])] * (1 + k * k % 11))
+    rows = [row(k) for k in range(200)]
+    a, b = ("u", [("h", []), *rows, ("f", [])]), ("u", [("k", []), *rows[:3], *rows[4:], ("g", [])])
+    found = wrapper.match(tree_of(a), tree_of(b))
+    assert len(found) == best(a, b) == 1 + sum(1 + len(r[1]) for k, r in enumerate(rows) if k != 3)
