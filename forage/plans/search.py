@@ -19,6 +19,7 @@ from forage.operators import facets as facet_ops
 from forage.operators import geo, retrieval
 from forage.operators.topk import top_rows
 from forage.operators.validate import check_requests, split_valid, with_problems
+from forage.session import cut
 
 ATTRIBUTES = [
     "restaurant_id", "cuisine_type", "price_level", "rating", "geo", "diet_labels", "allergens", "allergen_free",
@@ -252,13 +253,14 @@ def within_reach(candidates: DataFrame, rankings: DataFrame, deepest: int) -> Da
     places.
     """
     modes = rankings.groupBy("need", "sort_mode").agg(F.first("labels").alias("labels"), F.max(F.size("user_allergens")).alias("_most"), F.max("_end").alias("_end"))
+    modes = cut(modes, "modes")  # few rows, if few needs: their join then deals no candidates by need
     plain = _diet_score(_empty("string"))
     rows = candidates.join(modes, "need").withColumns(
         {"_low": _final(F.greatest(plain - 2.0 * F.col("_most"), F.lit(-2.0))), "_high": _final(plain + 0.5 * F.col("_most"))}
     )
     narrow = rows.select("need", "sort_mode", "restaurant_id", "_low", "_end")
     best = top_rows(narrow, ["need", "sort_mode"], [F.desc("_low"), F.asc("restaurant_id")], "_end", deepest, "restaurant_id")
-    reached = best.filter(F.col("position") == F.col("_end")).select("need", "sort_mode", F.col("_low").alias("_reached"))
+    reached = cut(best.filter(F.col("position") == F.col("_end")).select("need", "sort_mode", F.col("_low").alias("_reached")), "reached")
     kept = rows.join(reached, ["need", "sort_mode"], "left").filter(F.col("_reached").isNull() | (F.col("_high") >= F.col("_reached")))
     return kept.drop("_low", "_high", "_most", "_end", "_reached", "labels")
 
@@ -277,7 +279,7 @@ def page_and_rerank(parsed: DataFrame, candidates: DataFrame, deepest: int, rera
         key = F.sha2(F.to_json(F.struct("need", "sort_mode", F.array_sort("user_allergens").alias("avoided"))), 256)
         asked = asked.withColumn("_ranking", key)
         rankings = asked.groupBy("_ranking", "need", "sort_mode").agg(F.first("labels").alias("labels"), F.first("user_allergens").alias("user_allergens"), F.max("_end").alias("_end"))
-        rankings = rankings.filter("_end > 0")
+        rankings = cut(rankings.filter("_end > 0"), "rankings")
         rows = with_signals(within_reach(candidates, rankings, deepest).join(rankings, ["need", "sort_mode"]))
         ranked = top_rows(rows, ["_ranking"], by_final, "_end", deepest, "restaurant_id").drop("_end", "need", "sort_mode", "labels", "user_allergens")
         pages = ranked.join(asked, "_ranking").filter((F.col("position") > F.col("offset")) & (F.col("position") <= F.col("_end")))
@@ -285,7 +287,9 @@ def page_and_rerank(parsed: DataFrame, candidates: DataFrame, deepest: int, rera
         warning = scores.triggered_allergens(F.col("user_allergens"), F.col("allergens"))
         return pages.withColumn("allergen_warning", warning).drop("_end", "_ranking")
     by_text = [F.desc("text_score"), F.asc("restaurant_id")]
-    ends = asked.groupBy("need").agg(F.max("_end").alias("_end"))
+    # written before their join, whose size is known then: few needs are sent to the candidates, which are cut where they lie;
+    # dealt by need, all candidates of a need would be sorted in one task
+    ends = cut(asked.groupBy("need").agg(F.max("_end").alias("_end")), "ends")
     best = top_rows(candidates.join(ends, "need"), ["need"], by_text, "_end", deepest, "restaurant_id", rank="text_rank").drop("_end")
     # each request names the ranks of its page, so the join yields page rows only
     # an empty page (limit 0) names none

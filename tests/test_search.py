@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -266,3 +267,19 @@ def test_rows_of_a_need_reach_all_its_requests(spark):
     rows = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "x", 3.0)], "need string, restaurant_id string, text_score double")
     got = sorted((r.query_id, r.restaurant_id, r.text_score) for r in _per_request(asked, rows).collect())
     assert got == sorted((k, *row) for k in range(200) for row in ([("x", 3.0)] if k % 2 else [("x", 1.0), ("y", 2.0)]))
+
+
+@pytest.mark.parametrize("scope", ["page", "all"])
+def test_candidates_are_cut_before_they_are_dealt_by_need(spark, scope):
+    """However large the optimizer takes the requests to be, few needs are sent to the candidates."""
+    candidates = "need string, restaurant_id string, cuisine_type string, price_level int, rating double, geo struct<lat:double,lng:double>, diet_labels array<string>, allergens array<string>, allergen_free array<string>, text_score double, km double"
+    asked = [(1, "n", "default", 0, 5, ["egg"], ["soy"])]
+    parsed = spark.createDataFrame(asked, "query_id int, need string, sort_mode string, offset int, limit int, labels array<string>, user_allergens array<string>").repartition(3)
+    rows = [("n", f"r{k}", "a", 1, 4.0, (40.0, 116.0), [], [], [], float(k), None) for k in range(9)]
+    found = plan.page_and_rerank(parsed, spark.createDataFrame(rows, candidates).repartition(3), 5, scope)
+    lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    first = min(k for k, line in enumerate(lines) if "WindowGroupLimit" in line and "Partial" in line)
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    below = itertools.takewhile(lambda k: depth[k] > depth[first], range(first + 1, len(lines)))
+    assert not any("hashpartitioning(need" in lines[k] for k in below)
+    assert [r.restaurant_id for r in found.orderBy("position").collect()] == ["r8", "r7", "r6", "r5", "r4"]
