@@ -186,3 +186,35 @@ def test_edited_passages_are_verified_as_often_as_they_are_near():
             near += 1
             lost += not compact_windows.verified(near_stretch(words, 1), near_stretch(other, 2))
     assert near > 100 and lost == 0
+
+
+def test_near_texts_around_phrases_of_all_texts_are_found(documents):
+    rng = random.Random(5)
+
+    def own(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    one, two = own(17), own(17)
+    docs = []
+    for k in range(60):
+        a = [*own(10), *one, *own(9), *two, *own(10)]
+        b = list(a)
+        b[(4, 31, 58)[k % 3]] = "other"
+        docs += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    hit = {r.doc_id for r in compact_windows.passages(documents(docs)).select("doc_id").distinct().collect()}
+    assert sum(2 * k in hit and 2 * k + 1 in hit for k in range(60)) >= 57
+
+
+def test_signatures_of_texts_joined_together_are_those_of_each():
+    rng = np.random.default_rng(1)
+    parts = [rng.integers(1, 1 << 62, size=n).astype(np.uint64) for n in (46, 60, 300, 47)]
+    laid = [(f, *w) for f, w in enumerate(compact_windows._laid_windows(parts, compact_windows._SEEDS))]
+    f, owner, values, *places = (np.concatenate(x) for x in zip(*[(np.full(len(w[1]), w[0]), *w[1:]) for w in laid]))
+    rows = np.stack([f, *places], 1)
+    twice = np.concatenate([np.arange(len(rows)), np.arange(0, len(rows), 3)])
+    together = compact_windows._joined_intervals(owner[twice], rows[twice], values[twice], 3)
+    each = [compact_windows._joined_intervals(np.full((owner == k).sum(), k), rows[owner == k], values[owner == k], 3) for k in range(len(parts))]
+    assert sorted(zip(*(x.tolist() for x in together))) == sorted(row for e in each for row in zip(*(x.tolist() for x in e)))
+    # a signature's places are those where both functions have one window
+    _, keys, _, _, first, last = together
+    assert (first <= last).all() and len(keys) >= 3 * len(parts)
