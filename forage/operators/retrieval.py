@@ -23,6 +23,8 @@ SCORE_DIGITS = 6
 #: Stands in every field that has text; no term is empty.
 MARK = ""
 POSTING = ["restaurant_id", "field", "dl", "term"]
+#: Postings that one task adds up; its table of scores has no more rows.
+SCORED_ROWS = 1 << 19
 
 
 def _terms(catalog: DataFrame, fields: list[str], words) -> DataFrame:
@@ -113,6 +115,16 @@ def matching_postings(terms: DataFrame, catalog: DataFrame, posting_rows: DataFr
     return posting_rows.join(asked(vocabulary), "term", "left_semi").select(*POSTING, "tf")
 
 
+def score_tasks(terms: DataFrame, found: DataFrame) -> int | None:
+    """Tasks that add up the scores: as many as the matches ask for, which are counted, and no fewer than there are cores; none where one task may hold them all.
+
+    Packed by shuffled bytes, which are few for the rows they hold, a task would get more scores the more there are.
+    """
+    matches = document_frequency(found).join(terms.groupBy("term").agg(F.count(F.lit(1)).alias("needs")), "term")
+    rows = matches.agg(F.coalesce(F.sum(F.col("df") * F.col("needs")), F.lit(0))).first()[0]
+    return max(found.sparkSession.sparkContext.defaultParallelism, -(-rows // SCORED_ROWS)) if rows > SCORED_ROWS else None
+
+
 def field_scores(terms: DataFrame, found: DataFrame, expansion: str = "flat", fields: dict[str, float] = fixed.FIELD_BOOSTS) -> DataFrame:
     """Per (need, document) the boosted score and match count of every field.
 
@@ -134,7 +146,8 @@ def field_scores(terms: DataFrame, found: DataFrame, expansion: str = "flat", fi
             count = f"coalesce(sum(CASE WHEN field = {i} THEN mult END), 0)"
         aggregates.append(f"{count} AS matched_{i}")
     # a document's rows lie in as many tasks as it has terms, so counting before the shuffle would hold nearly all of them and merge few
-    return matched.repartition("need", "restaurant_id").groupBy("need", "restaurant_id").agg(*map(F.expr, aggregates))
+    tasks = score_tasks(terms, found)
+    return matched.repartition(*([tasks] if tasks else []), "need", "restaurant_id").groupBy("need", "restaurant_id").agg(*map(F.expr, aggregates))
 
 
 def best_field(scores: DataFrame, n_fields: int, expansion: str = "flat", percent: int = fixed.MIN_MATCH_PERCENT) -> DataFrame:

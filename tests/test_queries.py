@@ -35,3 +35,10 @@ def test_query(spark, db, name):
     assert len(got) == len(want)
     assert all(close(a, b) for g, w in zip(got, want) for a, b in zip(g, w))
     spark.catalog.clearCache()
+
+
+def test_requests_without_terms_are_answered_without_scores(spark):
+    from workload.registry import QUERIES
+
+    plan = QUERIES["search_match_all"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "score_0" not in plan and "InMemoryRelation" not in plan

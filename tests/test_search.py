@@ -283,3 +283,14 @@ def test_candidates_are_cut_before_they_are_dealt_by_need(spark, scope):
     below = itertools.takewhile(lambda k: depth[k] > depth[first], range(first + 1, len(lines)))
     assert not any("hashpartitioning(need" in lines[k] for k in below)
     assert [r.restaurant_id for r in found.orderBy("position").collect()] == ["r8", "r7", "r6", "r5", "r4"]
+
+
+def test_scores_are_added_up_by_as_many_tasks_as_their_matches_ask_for(spark, monkeypatch):
+    terms = spark.createDataFrame([(n, 1, 1, t, 1, [1]) for n in "abc" for t in ("tofu", "rice")], "need string, n_terms long, n_groups long, term string, mult long, groups array<long>")
+    found = spark.createDataFrame([(f"r{k}", 0, 2, t, 1) for k in range(40) for t in ("tofu", "rice", "")], "restaurant_id string, field int, dl int, term string, tf long")
+    assert retrieval.score_tasks(terms, found) is None
+    monkeypatch.setattr(retrieval, "SCORED_ROWS", 10)
+    assert retrieval.score_tasks(terms, found) == 24  # 3 needs, 2 terms, 40 documents
+    rows = retrieval.field_scores(terms, found)
+    assert rows.rdd.getNumPartitions() == 24 and rows.count() == 120
+    assert retrieval.score_tasks(terms.limit(0), found) is None

@@ -240,10 +240,12 @@ def geo_join(spark, sf_dir):
     SEARCH + "SELECT c.query_id, c.restaurant_id, c.text_score FROM cand c JOIN qs USING (query_id) WHERE n_terms = 0",
 )
 def search_match_all(spark, sf_dir):
-    asked = requests(spark, sf_dir)
-    result = plan.search(asked, restaurants(spark, sf_dir))
-    empty = result.requests.filter(F.size("terms") == 0).select("query_id", "need")
-    return empty.join(result.candidates, "need").select("query_id", "restaurant_id", "text_score")
+    """Requests without terms; those with terms have no part in it, so no text is cut or scored."""
+    asked, _ = validate.split_valid(validate.check_requests(requests(spark, sf_dir)))
+    empty = cut(plan.parse_requests(plan.attach_profiles(asked, None)).filter(F.size("terms") == 0), "requests")
+    needs = cut(plan.distinct_needs(empty), "needs")  # few rows, so their joins are planned by their size
+    found = plan.match_all(needs, restaurants(spark, sf_dir).select(*plan.ATTRIBUTES))
+    return _per_request(empty.select("query_id", "need"), found.select("need", "restaurant_id", "text_score")).select("query_id", "restaurant_id", "text_score")
 
 
 @query("search_total", SEARCH + "SELECT query_id, coalesce(total, 0) AS total FROM qs LEFT JOIN totals USING (query_id)")
