@@ -21,13 +21,18 @@ def _order(event: tuple) -> tuple:
     return tuple((v is not None, v) for v in event)
 
 
+#: Milliseconds whose waiting searches of a key are one entry.
+ENTRY = 3_600_000
+
+
 class Lock(StatefulProcessor):
     """Searches of a key in event-time order; one that fires holds the next ones back.
 
-    Every waiting millisecond is an entry of its own in map state with a timer
-    of its own, so an arriving search touches one entry, and a timer that the
-    watermark has passed takes one out.  The last trigger is forgotten by a
-    timer at the end of its lock.
+    The searches that wait in one hour are an entry of map state, with a timer
+    at the first of them.  A timer that the watermark has passed takes out all
+    searches of its hour that the watermark has passed, and leaves one at the
+    first that still waits.  The last trigger is forgotten by a timer at the
+    end of its lock.
     """
 
     def __init__(self, lock: int):
@@ -36,34 +41,48 @@ class Lock(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "t long")
-        self.waiting = handle.getMapState("waiting", "ms long", "t array<long>, q array<string>, lat array<double>, lng array<double>")
+        self.waiting = handle.getMapState("waiting", "hour long", "t array<long>, q array<string>, lat array<double>, lng array<double>")
+
+    def _wait(self, hour: int, moments: dict[int, tuple]) -> None:
+        times = sorted(moments)
+        self.waiting.updateValue((hour,), (times, *([moments[t][k] for t in times] for k in range(3))))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         arrived: dict[int, dict[int, tuple]] = {}
         for frame in rows:
             none = frame.astype(object).where(frame.notna(), None)
             for t, *search in zip(none["t"], none["q"], none["lat"], none["lng"]):
-                moment = arrived.setdefault(int(t) // 1000, {})
-                moment[int(t)] = min(moment.get(int(t), tuple(search)), tuple(search), key=_order)
-        for ms, moment in arrived.items():
-            if self.waiting.containsKey((ms,)):
-                for t, *search in zip(*self.waiting.getValue((ms,))):
-                    moment[t] = min(moment.get(t, tuple(search)), tuple(search), key=_order)
-            times = sorted(moment)
-            self.waiting.updateValue((ms,), (times, *([moment[t][k] for t in times] for k in range(3))))
-            self.handle.registerTimer(ms)
+                moments = arrived.setdefault(int(t) // 1000 // ENTRY, {})
+                moments[int(t)] = min(moments.get(int(t), tuple(search)), tuple(search), key=_order)
+        for hour, moments in arrived.items():
+            first = None
+            if self.waiting.containsKey((hour,)):
+                for t, *search in zip(*self.waiting.getValue((hour,))):
+                    first = t if first is None else first
+                    moments[t] = min(moments.get(t, tuple(search)), tuple(search), key=_order)
+            self._wait(hour, moments)
+            if first is None or min(moments) // 1000 < first // 1000:
+                self.handle.registerTimer(min(moments) // 1000)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         ms = expiredTimerInfo.getExpiryTimeInMs()
+        passed = max(ms, timerValues.getCurrentWatermarkInMs() - 1)  # searches of later ones may still arrive
+        hour = ms // ENTRY
         last = self.last.get()[0] if self.last.exists() else None
-        fired = []
-        if self.waiting.containsKey((ms,)):
-            for search in zip(*self.waiting.getValue((ms,))):
-                if last is None or search[0] >= last + self.lock:
-                    last = search[0]
-                    fired.append((key[0], *search))
-            self.waiting.removeKey((ms,))
+        fired, later = [], {}
+        if self.waiting.containsKey((hour,)):
+            for t, *search in zip(*self.waiting.getValue((hour,))):
+                if t // 1000 > passed:
+                    later[t] = tuple(search)
+                elif last is None or t >= last + self.lock:
+                    last = t
+                    fired.append((key[0], t, *search))
+            if later:
+                self._wait(hour, later)
+                self.handle.registerTimer(min(later) // 1000)
+            else:
+                self.waiting.removeKey((hour,))
         if fired:
             self.last.update((last,))
             self.handle.registerTimer((last + self.lock) // 1000)

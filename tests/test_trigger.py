@@ -99,3 +99,54 @@ def test_many_events_of_one_key_and_slot(spark):
     began = time.monotonic()
     assert trigger.fired(events).count() == 1
     assert time.monotonic() - began < 30
+
+
+def test_searches_of_an_hour_wait_in_one_entry_and_fire_in_order():
+    """As many state entries as hours, whatever the number of moments; the watermark takes out what it has passed."""
+    import pandas as pd
+
+    from forage.streaming.trigger import ENTRY, Lock
+
+    class Value:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+
+        def update(self, value):
+            self.held = value
+
+        def clear(self):
+            self.held = None
+
+    class Entries(dict):
+        containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.__delitem__
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.entries = set(), Entries()
+            self.getValueState, self.getMapState, self.registerTimer = lambda *a: Value(), lambda *a: self.entries, self.timers.add
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    rng = random.Random(3)
+    times = [rng.randrange(5 * ENTRY * 1000) for _ in range(3000)]
+    handle, lock = Handle(), Lock(300_000_000)
+    lock.init(handle)
+    want, last = [], None
+    for t in sorted(times):
+        if last is None or t >= last + 300_000_000:
+            want.append(t)
+            last = t
+    got = []
+    for part in (times[1000:], times[:1000]):
+        list(lock.handleInputRows(("k",), iter([pd.DataFrame({"t": part, "q": "k", "lat": None, "lng": None})]), None))
+    assert len(handle.entries) == 5 and len(handle.timers) <= 10
+    for watermark in (ENTRY // 2, 2 * ENTRY, 2 * ENTRY + 7, 9 * ENTRY):
+        while due := [ms for ms in handle.timers if ms < watermark]:
+            handle.timers.remove(min(due))
+            for frame in lock.handleExpiredTimer(("k",), Now(watermark), Now(min(due))):
+                got += frame["t"].tolist()
+        assert got == [t for t in want if t // 1000 < watermark]
+    assert not handle.entries and not lock.last.exists()
