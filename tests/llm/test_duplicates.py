@@ -218,3 +218,41 @@ def test_signatures_of_texts_joined_together_are_those_of_each():
     # a signature's places are those where both functions have one window
     _, keys, _, _, first, last = together
     assert (first <= last).all() and len(keys) >= 3 * len(parts)
+
+
+def test_texts_are_read_twice_at_most(spark, documents, docs):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    table = documents(docs, CLASHING)
+    rows = table.count()
+    compact_windows.passages(table.mapInArrow(counted, table.schema)).count()
+    assert rows <= read.value <= 2 * rows
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=40))
+def test_nearest_smaller_values(values):
+    low, high = compact_windows._smaller(np.array(values, dtype=np.uint64))
+    n = len(values)
+    assert low.tolist() == [max((j for j in range(i) if values[j] <= values[i]), default=-1) for i in range(n)]
+    assert high.tolist() == [min((j for j in range(i + 1, n) if values[j] < values[i]), default=n) for i in range(n)]
+
+
+def test_cells_whose_middle_is_in_a_passage_are_covered(spark):
+    links = spark.createDataFrame([(1, 2, 0, 60, 500, 560, 1.0), (1, 3, 50, 90, 0, 40, 1.0), (1, 3, 200, 250, 40, 90, 1.0), (4, 1, 0, 50, 10, 30, 1.0)], compact_windows.LINK)
+    cells = [(1, m, m) for m in (0, 57, 87, 88, 197, 198, 247, 248)] + [(2, 10, 10), (2, 510, 510), (5, 1, 1)]
+    left = compact_windows._not_covered(spark.createDataFrame(cells, "node long, low int, high int"), links)
+    assert left.columns == ["node", "low", "high"]
+    # A cell low..high of shingles has words up to high + 4, so the middle of one shingle is low + 2.
+    assert sorted((r.node, r.low) for r in left.collect()) == [(1, 88), (1, 197), (1, 248), (2, 10), (5, 1)]
+
+
+def test_first_and_last_places_of_a_texts_key_are_marked():
+    owner, keys, place = np.array([0, 0, 0, 1, 1]), np.array([7, 7, 8, 7, 7], dtype=np.uint64), np.array([5, 3, 9, 2, 2])
+    least, most = compact_windows._outermost(owner, keys, place)
+    assert least.tolist() == [False, True, True, True, True] and most.tolist() == [True, False, True, True, True]
