@@ -33,9 +33,10 @@ def containing(needs: DataFrame, word: str, places: DataFrame, text: str, place:
     words = needs.select(word, *also).distinct()
     parts = words.filter(F.col(word) != "").select(word, *also, F.explode(grams(F.col(word), size)).alias("_part"))
     # A stretch that no place has rules the word out, so inner is enough; the rarest decides.
-    rarity = parts.join(held, [F.col("_part") == F.col("_key"), *on], "left").groupBy(word, *also)
+    # The optimizer takes the exploded stretches to be as small as the places' files; on a merge the driver holds none of them.
+    rarity = parts.join(held.hint("merge"), [F.col("_part") == F.col("_key"), *on], "left").groupBy(word, *also)
     rarest = rarity.agg(F.min_by("_part", F.struct(F.coalesce("_places", F.lit(0)), "_part")).alias("_rare"))
-    met = rarest.join(keys, [F.col("_rare") == F.col("_key"), *on]).select(word, *also, place)
+    met = rarest.join(keys.hint("merge"), [F.col("_rare") == F.col("_key"), *on]).select(word, *also, place)
     every = words.filter(F.col(word) == "").join(narrow, on).select(word, *also, place) if on else None
     met = met if every is None else met.unionByName(every)
     found = met.join(places, place).filter(F.contains(F.col(text), F.col(word)))
