@@ -205,6 +205,35 @@ def test_near_texts_around_phrases_of_all_texts_are_found(documents):
     assert sum(2 * k in hit and 2 * k + 1 in hit for k in range(60)) >= 57
 
 
+def test_near_texts_that_share_most_of_their_words_with_all_are_found(documents):
+    """Pairs around a phrase of 40 words: their signatures are those of all texts, so only comparing with all that can be near tells them apart."""
+    rng = random.Random(9)
+
+    def own(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    phrase, docs = own(40), []
+    for k in range(150):
+        a = [*own(8), *phrase, *own(8)]
+        b = list(a)
+        b[rng.choice([*range(8), *range(48, 56)])] = "other"
+        docs += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    hit = {r.doc_id for r in compact_windows.passages(documents(docs)).select("doc_id").distinct().collect()}
+    assert sum(2 * k in hit and 2 * k + 1 in hit for k in range(150)) >= 148
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(46, 120).flatmap(lambda n: st.tuples(st.lists(st.integers(1, 5), min_size=n, max_size=n), st.randoms())))
+def test_every_run_has_its_rarest_places(values):
+    counts, rng = np.array(values[0]), values[1]
+    keys = np.array(rng.sample(range(1000), len(counts)))
+    got, span = compact_windows.rarest(counts, keys), compact_windows.SPAN
+    want = set()
+    for k in range(len(counts) - span + 1):
+        want |= set(sorted(range(k, k + span), key=lambda i: (counts[i], keys[i]))[: compact_windows._RAREST])
+    assert set(np.flatnonzero(got).tolist()) == want
+
+
 def test_signatures_of_texts_joined_together_are_those_of_each():
     rng = np.random.default_rng(1)
     parts = [rng.integers(1, 1 << 62, size=n).astype(np.uint64) for n in (46, 60, 300, 47)]
